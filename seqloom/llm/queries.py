@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import neardup
+from seqloom.llm import leakage, neardup, quality
 from seqloom.session import table
 
 
@@ -22,5 +22,26 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["members"].join(degree, "class", "left").select("seq_id", F.col("class").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold test material, with the items that leaked."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked, each with the number of documents and the longest stretch."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_stretch"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are hardly prose, with their kind."""
+    return quality.kinds(table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of each document, and its kind."""
+    return quality.kinds(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_found, p6_items, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
