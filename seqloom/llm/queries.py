@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import leakage, neardup, quality
+from seqloom.llm import leakage, mixture, neardup, quality, subset
 from seqloom.session import table
 
 
@@ -22,6 +22,22 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["members"].join(degree, "class", "left").select("seq_id", F.col("class").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
+def _train(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    rows = table(spark, sf_dir, "align_rows").where("split = 'Train'")
+    return subset.varied_subset(rows, table(spark, sf_dir, "families"))
+
+
+def p5_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied subset of each family's Train rows."""
+    return _train(spark, sf_dir)["selected"].select("family", "seq_id", "subfamily")
+
+
+def p5_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and quota of each subfamily."""
+    combos = _train(spark, sf_dir)["combinations"]
+    return combos.groupBy("family", "subfamily").agg(F.sum("count").alias("n_rows"), F.sum("quota").alias("n_selected"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold test material, with the items that leaked."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -33,6 +49,16 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_stretch"))
 
 
+def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each mixing plan, with how often each is used."""
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))["selected"]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each plan's sources reach."""
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))["report"]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are hardly prose, with their kind."""
     return quality.kinds(table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", "kind")
@@ -43,5 +69,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kinds(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_found, p6_items, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_selected, p5_quotas, p6_found, p6_items, p7_selected, p7_report, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
