@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import problems
+from seqloom.plans import alignments, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, alignments)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
