@@ -65,9 +65,9 @@ def compare(left: DataFrame, right: DataFrame | None, reduce: Callable[[np.ndarr
     def both(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["_side"] == 0], f[f["_side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({group: [], key: [], value: []})
+            return pd.DataFrame({group: np.zeros(0, object), key: np.zeros(0, np.int64), value: np.zeros(0)})
         d = distance(_matrix(a["_s"]), _matrix(b["_s"]), kind)
-        return pd.DataFrame({group: a[group], key: a["_k"], value: reduce(d, a["_k"].to_numpy(), b["_k"].to_numpy())})
+        return pd.DataFrame({group: np.full(len(a), f[group].iloc[0], object), key: a["_k"].to_numpy(), value: reduce(d, a["_k"].to_numpy(), b["_k"].to_numpy())})
 
     return x.unionByName(y).groupBy(group, "_x", "_y").applyInPandas(both, f"{group} string, {key} long, {value} double")
 
@@ -112,7 +112,7 @@ def distance_histogram(rows: DataFrame, bins: int = 20, group: str = "family", k
     def count(f: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(f["_x"].iloc[0]), int(f["_y"].iloc[0])
         a, b = f[f["_b"] == lo], f[f["_b"] == hi]
-        out = pd.DataFrame({group: [], "bin": [], "n": []})
+        out = pd.DataFrame({group: np.zeros(0, object), "bin": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})
         if len(a) and len(b):
             d = distance(_matrix(a["_s"]), _matrix(b["_s"]))
             if lo == hi:
@@ -120,7 +120,7 @@ def distance_histogram(rows: DataFrame, bins: int = 20, group: str = "family", k
             d = d[~np.isnan(d)]
             n = np.bincount(np.minimum(np.floor(np.round(d * bins, 9)).astype(int), bins - 1), minlength=bins)
             k = np.nonzero(n)[0]
-            out = pd.DataFrame({group: f[group].iloc[0], "bin": k.astype(np.int32), "n": n[k]})
+            out = pd.DataFrame({group: np.full(len(k), f[group].iloc[0], object), "bin": k.astype(np.int32), "n": n[k]})
         return out
 
     parts = x.groupBy(group, "_x", "_y").applyInPandas(count, f"{group} string, bin int, n long")

@@ -78,13 +78,13 @@ def block_strength(rows: DataFrame, group: str = "family", key: str = "seq_id",
 
     def norms(g: str, i: int, blocks: np.ndarray) -> pd.DataFrame:
         j = np.arange(i + 1, i + 1 + len(blocks), dtype=np.int32)
-        return pd.DataFrame({group: g, "i": np.int32(i), "j": j, "strength": _strength(blocks)})
+        return pd.DataFrame({group: np.full(len(j), g, object), "i": np.int32(i), "j": j, "strength": _strength(blocks)})
 
     if salts == 1:
 
         def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g, total in grams(frames):
-                yield pd.concat([norms(g, i, b) for i, b in columns(total)] or [pd.DataFrame({group: [], "i": [], "j": [], "strength": []})])
+                yield pd.concat([norms(g, i, b) for i, b in columns(total)] or [norms(g, 0, np.zeros((0, Q, Q)))])
 
         return spread.mapInPandas(whole, schema)
 
@@ -171,5 +171,5 @@ def triple_correlations(triples: DataFrame, pairs: DataFrame, single: DataFrame,
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded, without a negative zero."""
-    return F.round(x, digits) + 0.0
+    """Rounded, without a negative zero; a little above half a digit counts as half, whatever the order in which a sum was taken."""
+    return F.round(x + 1e-10, digits) + 0.0

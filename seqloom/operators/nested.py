@@ -75,8 +75,15 @@ def parse_shape(text: str | None) -> Shape:
 
 
 def merged_shape(df: DataFrame, body: str = BODY) -> Shape:
-    """The merged schema of all bodies; one text of the size of the schema comes to the driver."""
-    return parse_shape(df.agg(F.schema_of_variant_agg(body)).first()[0])
+    """The merged schema of all bodies; one text of the size of the schema comes to the driver.
+
+    Where bodies are of several types, it is that of the objects among them, or else of the arrays.
+    """
+    kind = F.schema_of_variant(body)
+    only = lambda k: F.schema_of_variant_agg(F.when(kind.startswith(k), F.col(body)))
+    r = df.agg(F.schema_of_variant_agg(body), only("OBJECT"), only("ARRAY")).first()
+    shapes = [parse_shape(x) for x in r]
+    return next((x for x in shapes if x.kind in ("OBJECT", "ARRAY")), shapes[0])
 
 
 def _path(names: Sequence[str]) -> str:
@@ -177,6 +184,8 @@ def flatten(
         for child, paths in places.items():
             if found := [p for p in paths if _has(inner, p)]:
                 visit(child, _union([children(at, p, dictionary=True) for p in found]), level + 1)
+        if shape.kind == "ARRAY":
+            visit(f"{name}.items" if name else "items", children(at, []), level + 1, shape.fields[""])
         for path, sub in _arrays(inner):
             if path not in taken:
                 visit(".".join((*([name] if name else []), *path)), children(at, path), level + 1, sub.fields.get("", sub))

@@ -169,7 +169,7 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select("family", "seq_id", A.state_sum(F.col("states")).alias("length_sum"), A.residues(F.col("states")).alias("n_residues"))
 
 
-@query(f"WITH {DENSE} SELECT d.family, d.pos, d.state, CASE WHEN s.n IS NULL THEN -10000.0::DOUBLE ELSE round(ln(d.f), 6) + 0.0 END AS v FROM d LEFT JOIN s USING (family, pos, state)")
+@query(f"WITH {DENSE} SELECT d.family, d.pos, d.state, CASE WHEN s.n IS NULL THEN -10000.0::DOUBLE ELSE round(ln(d.f) + 1e-10, 6) + 0.0 END AS v FROM d LEFT JOIN s USING (family, pos, state)")
 def p12_forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile fields in which a state that a column never has is forbidden."""
     r = rows(spark, sf_dir)
@@ -186,7 +186,7 @@ def a3_single_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return singles(rows(spark, sf_dir))
 
 
-@query(f"WITH {SINGLE} SELECT family, pos, state, round(n / total, 6) + 0.0 AS f FROM s JOIN t USING (family)")
+@query(f"WITH {SINGLE} SELECT family, pos, state, round(n / total + 1e-10, 6) + 0.0 AS f FROM s JOIN t USING (family)")
 def a2_single_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of the states at each column."""
     r = rows(spark, sf_dir)
@@ -195,7 +195,7 @@ def a2_single_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LONG}, n AS (SELECT l.family, l.seq_id, count(*) AS c FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR {GAPAWARE.format("l", "k")} < 0.3) GROUP BY ALL),
- e AS (SELECT family, sum(1.0::DOUBLE / c) AS neff FROM n GROUP BY family) SELECT x.family, pos, state, round(sum(1.0::DOUBLE / c / neff), 6) + 0.0 AS f FROM x JOIN n USING (family, seq_id) JOIN e ON e.family = x.family GROUP BY ALL"""
+ e AS (SELECT family, sum(1.0::DOUBLE / c) AS neff FROM n GROUP BY family) SELECT x.family, pos, state, round(sum(1.0::DOUBLE / c / neff) + 1e-10, 6) + 0.0 AS f FROM x JOIN n USING (family, seq_id) JOIN e ON e.family = x.family GROUP BY ALL"""
 )
 def a2_weighted_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of the states with rows weighted by their number of neighbours."""
@@ -207,7 +207,7 @@ def a2_weighted_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("family", "pos", "state", rounded(F.col("n")).alias("f"))
 
 
-@query(f"WITH {DENSE} SELECT family, pos, state, round(f, 6) + 0.0 AS f FROM d")
+@query(f"WITH {DENSE} SELECT family, pos, state, round(f + 1e-10, 6) + 0.0 AS f FROM d")
 def p4_pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense frequencies with the pseudocount 1 / rows."""
     return dense(rows(spark, sf_dir)).select("family", "pos", "state", rounded(F.col("f")).alias("f"))
@@ -218,7 +218,7 @@ def p4_pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
  u AS (SELECT family, pos, sum(pow(n::DOUBLE / total, 2)) AS u FROM s JOIN t USING (family) GROUP BY ALL),
  m AS (SELECT g.family, i, j, sum(pow(g.n::DOUBLE / total, 2) - 2 * (g.n::DOUBLE / total) * (l.n::DOUBLE / total) * (k.n::DOUBLE / total)) AS m FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a
  JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b GROUP BY ALL)
- SELECT m.family, i, j, round(sqrt(greatest(m + l.u * k.u, 0)), 5) + 0.0 AS strength FROM m JOIN u l ON l.family = m.family AND l.pos = i JOIN u k ON k.family = m.family AND k.pos = j"""
+ SELECT m.family, i, j, round(sqrt(greatest(m + l.u * k.u, 0)) + 1e-10, 5) + 0.0 AS strength FROM m JOIN u l ON l.family = m.family AND l.pos = i JOIN u k ON k.family = m.family AND k.pos = j"""
 )
 def a4_pair_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How strongly each two columns of a family vary together: the norm of their correlations, all columns and cells."""
@@ -232,14 +232,14 @@ def r2_variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.variable_columns(singles(rows(spark, sf_dir)))
 
 
-@query(f"WITH {PAIRS} SELECT family, i, j, a, b, round(n / total, 6) + 0.0 AS f FROM p JOIN t USING (family)")
+@query(f"WITH {PAIRS} SELECT family, i, j, a, b, round(n / total + 1e-10, 6) + 0.0 AS f FROM p JOIN t USING (family)")
 def a2_pair_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of state pairs at the chosen columns."""
     _, _, p, t = chosen(rows(spark, sf_dir))
     return N.frequencies(p, t).select("family", "i", "j", "a", "b", rounded(F.col("f")).alias("f"))
 
 
-@query(f"WITH {CORR} SELECT family, i, j, a, b, round(c, 6) + 0.0 AS c FROM c")
+@query(f"WITH {CORR} SELECT family, i, j, a, b, round(c + 1e-10, 6) + 0.0 AS c FROM c")
 def a4_pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations of state pairs at the chosen columns."""
     c = correlations(rows(spark, sf_dir))
@@ -249,7 +249,7 @@ def a4_pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {PAIRS}, {FREQ}, q AS (SELECT l.family, l.pos AS i, l.state AS a, k.pos AS j, k.state AS b, m.pos AS k, m.state AS c, count(*) AS n FROM y l JOIN y k ON l.seq_id = k.seq_id AND l.pos < k.pos
  JOIN y m ON m.seq_id = k.seq_id AND k.pos < m.pos GROUP BY ALL), g AS (SELECT p.family, i, a, j, b, n / total AS f FROM p JOIN t USING (family))
- SELECT q.family, q.i, q.j, q.k, q.a, q.b, q.c, round(q.n / t.total - ij.f * fk.f - ik.f * fj.f - jk.f * fi.f + 2 * fi.f * fj.f * fk.f, 6) + 0.0 AS c3 FROM q JOIN t USING (family)
+ SELECT q.family, q.i, q.j, q.k, q.a, q.b, q.c, round(q.n / t.total - ij.f * fk.f - ik.f * fj.f - jk.f * fi.f + 2 * fi.f * fj.f * fk.f + 1e-10, 6) + 0.0 AS c3 FROM q JOIN t USING (family)
  JOIN f fi ON fi.family = q.family AND fi.pos = q.i AND fi.state = q.a JOIN f fj ON fj.family = q.family AND fj.pos = q.j AND fj.state = q.b JOIN f fk ON fk.family = q.family AND fk.pos = q.k AND fk.state = q.c
  JOIN g ij ON ij.family = q.family AND ij.i = q.i AND ij.a = q.a AND ij.j = q.j AND ij.b = q.b JOIN g ik ON ik.family = q.family AND ik.i = q.i AND ik.a = q.a AND ik.j = q.k AND ik.b = q.c
  JOIN g jk ON jk.family = q.family AND jk.i = q.j AND jk.a = q.b AND jk.j = q.k AND jk.b = q.c"""
@@ -265,7 +265,7 @@ def a5_triple_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {LONG}, g AS (SELECT family, pos, state, split, count(*) AS n FROM x WHERE split IN ('Train', 'Test') GROUP BY ALL), h AS (SELECT family, split, count(*) AS total FROM r WHERE split IN ('Train', 'Test') GROUP BY ALL),
  z AS (SELECT family, pos, state, sum(CASE WHEN split = 'Train' THEN n::DOUBLE / total ELSE 0 END) AS a, sum(CASE WHEN split = 'Test' THEN n::DOUBLE / total ELSE 0 END) AS b FROM g JOIN h USING (family, split) GROUP BY ALL)
- SELECT family, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN round(corr(a, b), 6) + 0.0 END AS pearson FROM z GROUP BY family"""
+ SELECT family, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN round(corr(a, b) + 1e-10, 6) + 0.0 END AS pearson FROM z GROUP BY family"""
 )
 def a15_train_test_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the frequencies of the Test rows follow those of the Train rows."""
@@ -281,14 +281,14 @@ def a15_train_test_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- distances ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {ROWS} SELECT l.family, l.seq_id, count(*) AS neighbours, round(1.0::DOUBLE / count(*), 6) + 0.0 AS w FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR {GAPAWARE.format('l', 'k')} < 0.3) GROUP BY ALL")
+@query(f"WITH {ROWS} SELECT l.family, l.seq_id, count(*) AS neighbours, round(1.0::DOUBLE / count(*) + 1e-10, 6) + 0.0 AS w FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR {GAPAWARE.format('l', 'k')} < 0.3) GROUP BY ALL")
 def a1_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of each row: one by the rows nearer than 0.3, gaps left out."""
     return D.weights(rows(spark, sf_dir), 0.3).withColumn("w", rounded(F.col("w")))
 
 
 @query(
-    f"""WITH {ROWS} SELECT l.family, l.seq_id, count(*) AS neighbours, round(1.0::DOUBLE / count(*), 6) + 0.0 AS w FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR
+    f"""WITH {ROWS} SELECT l.family, l.seq_id, count(*) AS neighbours, round(1.0::DOUBLE / count(*) + 1e-10, 6) + 0.0 AS w FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR
  round(1 - list_sum(list_transform(range(1, len(l.states) + 1), lambda z: CAST(l.states[z] = k.states[z] AS INTEGER))) / len(l.states)::DOUBLE, 9) < 0.3) GROUP BY ALL"""
 )
 def a1_hamming_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,13 +304,13 @@ def _test_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.nearest(r.where("split = 'Test'"), r.where("split = 'Train'"))
 
 
-@query(f"WITH {_NEAREST} SELECT family, seq_id, round(d, 6) + 0.0 AS d FROM n WHERE d IS NOT NULL")
+@query(f"WITH {_NEAREST} SELECT family, seq_id, round(d + 1e-10, 6) + 0.0 AS d FROM n WHERE d IS NOT NULL")
 def j4_nearest_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each Test row to the nearest Train row of its family."""
     return _test_nearest(spark, sf_dir).withColumn("d", rounded(F.col("d")))
 
 
-@query(f"WITH {_NEAREST} SELECT family, count(*) AS n, round(min(1 - d), 6) + 0.0 AS low, round(quantile_cont(1 - d, 0.5), 6) + 0.0 AS median, round(max(1 - d), 6) + 0.0 AS high FROM n WHERE d IS NOT NULL GROUP BY family")
+@query(f"WITH {_NEAREST} SELECT family, count(*) AS n, round(min(1 - d) + 1e-10, 6) + 0.0 AS low, round(quantile_cont(1 - d, 0.5) + 1e-10, 6) + 0.0 AS median, round(max(1 - d) + 1e-10, 6) + 0.0 AS high FROM n WHERE d IS NOT NULL GROUP BY family")
 def a17_similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of the Test rows to the nearest Train row: least, median and greatest."""
     s = _test_nearest(spark, sf_dir).withColumn("s", 1 - F.col("d"))
@@ -319,7 +319,7 @@ def a17_similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {ROWS}, n AS (SELECT l.family, l.seq_id, min({GAPAWARE.format('l', 'k')}) AS d FROM r l JOIN r k ON l.family = k.family AND l.seq_id <> k.seq_id GROUP BY ALL) SELECT family, seq_id, round(d, 6) + 0.0 AS d FROM n WHERE d IS NOT NULL")
+@query(f"WITH {ROWS}, n AS (SELECT l.family, l.seq_id, min({GAPAWARE.format('l', 'k')}) AS d FROM r l JOIN r k ON l.family = k.family AND l.seq_id <> k.seq_id GROUP BY ALL) SELECT family, seq_id, round(d + 1e-10, 6) + 0.0 AS d FROM n WHERE d IS NOT NULL")
 def j3_nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each row to the nearest other row of its family."""
     return D.nearest(rows(spark, sf_dir)).withColumn("d", rounded(F.col("d")))
@@ -345,7 +345,7 @@ def t1_coupling_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.kept_couplings(correlations(rows(spark, sf_dir)).withColumnRenamed("c", "v"), 98, 10)
 
 
-@query(f"WITH {CORR}, k AS {_TOP.format('c', 'c', 441)} SELECT family, round(1 - 2 * count(*) / (10.0::DOUBLE * 10 * 441), 6) + 0.0 AS sparsity FROM k GROUP BY family")
+@query(f"WITH {CORR}, k AS {_TOP.format('c', 'c', 441)} SELECT family, round(1 - 2 * count(*) / (10.0::DOUBLE * 10 * 441) + 1e-10, 6) + 0.0 AS sparsity FROM k GROUP BY family")
 def a19_mask_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cells that the mask leaves out, the diagonal included."""
     k = P.kept_couplings(correlations(rows(spark, sf_dir)).withColumnRenamed("c", "v"), 98, 10)
@@ -366,7 +366,7 @@ _GROUND = f"""{DENSE}, b AS (SELECT family, (1 - 0.03) * sum(CASE WHEN state = 0
 _PHI = f"""{_GROUND}, o AS (SELECT d.family, pos, state, abs(ln(f * (1 - g) / ((1 - f) * g))) AS phi, f * ln(f / g) + (1 - f) * ln((1 - f) / (1 - g)) AS e FROM d JOIN g USING (family, state))"""
 
 
-@query(f"WITH {_GROUND} SELECT family, state, round(g, 6) + 0.0 AS g FROM g")
+@query(f"WITH {_GROUND} SELECT family, state, round(g + 1e-10, 6) + 0.0 AS g FROM g")
 def a8_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background frequencies with each family's own share of gaps."""
     r = rows(spark, sf_dir)
@@ -377,7 +377,7 @@ def _position_weights(r: DataFrame) -> DataFrame:
     return P.position_weights(dense(r), P.background(singles(r), totals(r)))
 
 
-@query(f"WITH {_PHI} SELECT family, pos, state, round(phi, 6) + 0.0 AS phi, round(e, 6) + 0.0 AS d FROM o")
+@query(f"WITH {_PHI} SELECT family, pos, state, round(phi + 1e-10, 6) + 0.0 AS phi, round(e + 1e-10, 6) + 0.0 AS d FROM o")
 def a7_position_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conservation of each cell against the background: its weight and its relative entropy."""
     return _position_weights(rows(spark, sf_dir)).withColumns({"phi": rounded(F.col("phi")), "d": rounded(F.col("d"))})
@@ -390,7 +390,7 @@ def t2_entropy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PHI}, {CORR.removeprefix(SINGLE + ", ")} SELECT c.family, i, j, a, b, round(l.phi * k.phi * c, 6) + 0.0 AS v FROM c JOIN o l ON l.family = c.family AND l.pos = i AND l.state = a JOIN o k ON k.family = c.family AND k.pos = j AND k.state = b"""
+    f"""WITH {_PHI}, {CORR.removeprefix(SINGLE + ", ")} SELECT c.family, i, j, a, b, round(l.phi * k.phi * c + 1e-10, 6) + 0.0 AS v FROM c JOIN o l ON l.family = c.family AND l.pos = i AND l.state = a JOIN o k ON k.family = c.family AND k.pos = j AND k.state = b"""
 )
 def a7_weighted_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations weighted by the conservation of both cells."""
@@ -398,7 +398,7 @@ def a7_weighted_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.weighted_correlations(correlations(r), _position_weights(r)).withColumn("v", rounded(F.col("v")))
 
 
-@query(f"WITH {DENSE} SELECT family, pos, state, round(ln(f), 6) + 0.0 AS v FROM d")
+@query(f"WITH {DENSE} SELECT family, pos, state, round(ln(f) + 1e-10, 6) + 0.0 AS v FROM d")
 def i9_profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the independent model."""
     return P.profile_fields(dense(rows(spark, sf_dir))).withColumn("v", rounded(F.col("v")))
@@ -408,7 +408,7 @@ _PACK = f"""{DENSE}, {CORR.removeprefix(SINGLE + ", ")}, k AS (SELECT family, CA
  UNION ALL SELECT family, CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 + pos * 21 + state AS "offset", ln(f) AS v FROM d JOIN w USING (family))"""
 
 
-@query(f"""WITH {_PACK} SELECT family, "offset", round(v, 6) + 0.0 AS v FROM k""")
+@query(f"""WITH {_PACK} SELECT family, "offset", round(v + 1e-10, 6) + 0.0 AS v FROM k""")
 def p2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and couplings of each family as one packed vector."""
     r = rows(spark, sf_dir)
@@ -416,7 +416,7 @@ def p2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(P.profile_fields(dense(r)), correlations(r).withColumnRenamed("c", "v"), w).withColumn("v", rounded(F.col("v")))
 
 
-@query(f"""WITH {_PACK} SELECT family, CAST(floor(o / 21) AS INTEGER) AS pos, CAST(o % 21 AS INTEGER) AS state, round(v / 0.75, 6) + 0.0 AS v FROM (SELECT k.*, "offset" - CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 AS o FROM k JOIN w USING (family)) WHERE o >= 0""")
+@query(f"""WITH {_PACK} SELECT family, CAST(floor(o / 21) AS INTEGER) AS pos, CAST(o % 21 AS INTEGER) AS state, round(v / 0.75 + 1e-10, 6) + 0.0 AS v FROM (SELECT k.*, "offset" - CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 AS o FROM k JOIN w USING (family)) WHERE o >= 0""")
 def p3_unpacked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields taken out of the packed vector, at temperature 0.75."""
     r = rows(spark, sf_dir)
@@ -439,7 +439,7 @@ def dense_couplings(r: DataFrame) -> DataFrame:
     return cells.join(c, ["family", "i", "j", "a", "b"], "left").select("family", "i", "j", "a", "b", F.coalesce("c", F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {_J} SELECT family, i, j, a, b, round(v - ma - mb + mm, 6) + 0.0 AS v FROM g")
+@query(f"WITH {_J} SELECT family, i, j, a, b, round(v - ma - mb + mm + 1e-10, 6) + 0.0 AS v FROM g")
 def w1_gauge_couplings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Couplings in the zero-sum gauge."""
     r = rows(spark, sf_dir)
@@ -448,7 +448,7 @@ def w1_gauge_couplings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_J}, {DENSE.removeprefix(SINGLE + ", ")}, o AS (SELECT family, pos, state, sum(e) AS e FROM (SELECT DISTINCT family, i AS pos, j AS other, a AS state, ma - mm AS e FROM g UNION ALL SELECT DISTINCT family, j AS pos, i AS other, b AS state, mb - mm AS e FROM g) GROUP BY ALL)
- SELECT d.family, d.pos, d.state, round(ln(f) - avg(ln(f)) OVER (PARTITION BY d.family, d.pos) + coalesce(e, 0), 6) + 0.0 AS v FROM d LEFT JOIN o USING (family, pos, state)"""
+ SELECT d.family, d.pos, d.state, round(ln(f) - avg(ln(f)) OVER (PARTITION BY d.family, d.pos) + coalesce(e, 0) + 1e-10, 6) + 0.0 AS v FROM d LEFT JOIN o USING (family, pos, state)"""
 )
 def w2_gauge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in the zero-sum gauge."""
@@ -456,7 +456,7 @@ def w2_gauge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.zero_sum_gauge(P.profile_fields(dense(r)), dense_couplings(r))[0].withColumn("v", rounded(F.col("v")))
 
 
-@query(f"WITH {_J} SELECT family, i, j, round(sqrt(sum(pow(v - ma - mb + mm, 2))), 6) + 0.0 AS norm FROM g GROUP BY ALL")
+@query(f"WITH {_J} SELECT family, i, j, round(sqrt(sum(pow(v - ma - mb + mm, 2))) + 1e-10, 6) + 0.0 AS norm FROM g GROUP BY ALL")
 def a10_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norm of each block of gauged couplings."""
     r = rows(spark, sf_dir)
@@ -479,7 +479,7 @@ def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.energies(r, P.profile_fields(dense(r)), correlations(r).withColumnRenamed("c", "v"))
 
 
-@query(f"WITH {_ENERGY} SELECT family, seq_id, round(energy, 6) + 0.0 AS energy FROM e")
+@query(f"WITH {_ENERGY} SELECT family, seq_id, round(energy + 1e-10, 6) + 0.0 AS energy FROM e")
 def a9_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistical energy of each row."""
     return _energies(spark, sf_dir).withColumn("energy", rounded(F.col("energy")))
@@ -498,7 +498,7 @@ def histogram(values: DataFrame, value: str, bins: int, group: str = "family") -
 
 
 _HIST = """h AS (SELECT family, CASE WHEN min(z) = max(z) THEN min(z) - 0.5 ELSE min(z) END AS lo, CASE WHEN min(z) = max(z) THEN max(z) + 0.5 ELSE max(z) END AS hi, count(*) AS total FROM q GROUP BY family)
- SELECT family, CAST(least(floor(round((z - lo) / ((hi - lo) / {0}), 9)), {0} - 1) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (any_value(total) * ((any_value(hi) - any_value(lo)) / {0})), 6) + 0.0 AS density FROM q JOIN h USING (family) GROUP BY 1, 2"""
+ SELECT family, CAST(least(floor(round((z - lo) / ((hi - lo) / {0}), 9)), {0} - 1) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (any_value(total) * ((any_value(hi) - any_value(lo)) / {0})) + 1e-10, 6) + 0.0 AS density FROM q JOIN h USING (family) GROUP BY 1, 2"""
 
 
 @query(f"WITH {LONG}, q AS (SELECT family, sum(state)::DOUBLE AS z FROM x GROUP BY family, seq_id), {_HIST.format(80)}")
@@ -515,7 +515,7 @@ def a16_energy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LONG}, q AS (SELECT family, sum(CAST(state > 0 AS INTEGER))::DOUBLE AS u, sum(state)::DOUBLE AS z FROM x GROUP BY family, seq_id)
- SELECT family, round(regr_slope(z, u), 6) + 0.0 AS slope, round(regr_intercept(z, u), 6) + 0.0 AS intercept, round(regr_r2(z, u), 6) + 0.0 AS r2 FROM q GROUP BY family"""
+ SELECT family, round(regr_slope(z, u) + 1e-10, 6) + 0.0 AS slope, round(regr_intercept(z, u) + 1e-10, 6) + 0.0 AS intercept, round(regr_r2(z, u) + 1e-10, 6) + 0.0 AS r2 FROM q GROUP BY family"""
 )
 def a20_fit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares line of the published length by the number of residues."""
@@ -602,7 +602,7 @@ def _runs(r: DataFrame) -> DataFrame:
     return cells.join(g, ["family", "run", "pos", "state"], "left").select("family", "run", "pos", "state", (F.coalesce("n", F.lit(0)) / F.col("c")).alias("v"))
 
 
-@query(f"WITH {_RUNS} SELECT family, pos, state, round(avg(v), 6) + 0.0 AS v FROM e GROUP BY ALL")
+@query(f"WITH {_RUNS} SELECT family, pos, state, round(avg(v) + 1e-10, 6) + 0.0 AS v FROM e GROUP BY ALL")
 def a12_replicate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of the runs' parameters."""
     return _runs(rows(spark, sf_dir)).groupBy("family", "pos", "state").agg(rounded(F.avg("v")).alias("v"))
@@ -610,7 +610,7 @@ def a12_replicate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_RUNS}, m AS (SELECT *, avg(v) OVER u AS mv, stddev_pop(v) OVER u AS sd FROM e WINDOW u AS (PARTITION BY family, pos, state)), o AS (SELECT family, run, sum(CAST(v - mv > sd + 1e-12 AS INTEGER)) AS o FROM m GROUP BY ALL),
- z AS (SELECT family, run FROM (SELECT *, avg(o) OVER (PARTITION BY family) AS mo, stddev_pop(o) OVER (PARTITION BY family) AS so FROM o) WHERE o - mo <= so + 1e-12) SELECT family, pos, state, round(avg(v), 6) + 0.0 AS v FROM e JOIN z USING (family, run) GROUP BY ALL"""
+ z AS (SELECT family, run FROM (SELECT *, avg(o) OVER (PARTITION BY family) AS mo, stddev_pop(o) OVER (PARTITION BY family) AS so FROM o) WHERE o - mo <= so + 1e-12) SELECT family, pos, state, round(avg(v) + 1e-10, 6) + 0.0 AS v FROM e JOIN z USING (family, run) GROUP BY ALL"""
 )
 def a13_mean_without_outlying_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of the runs but those with unusually many high parameters."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import alignments, problems
+from seqloom.plans import alignments, models, problems
 
-_MODULES = (problems, alignments)
+_MODULES = (problems, alignments, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -86,7 +86,8 @@ def parse_csv(text: str) -> tuple[list[Record], list[Error]]:
             fields, end = _row(text, at)
         except Syntax as e:
             errors.append((e.reason, e.at))
-            back = _anchor(text, e.at)
+            # a quote that closes far behind may have swallowed whole records: look from the row's start on
+            back = _anchor(text, at)
             if back is None:
                 break
             at = back
