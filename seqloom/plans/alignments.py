@@ -622,3 +622,119 @@ def a13_mean_without_outlying_runs(spark: SparkSession, sf_dir: str) -> DataFram
     o = m.groupBy("family", "run").agg(F.sum("high").alias("o"))
     out = o.withColumn("out", F.col("o") - F.avg("o").over(f) > F.stddev_pop("o").over(f) + 1e-12).where("out").select("family", "run")
     return e.join(out, ["family", "run"], "left_anti").groupBy("family", "pos", "state").agg(rounded(F.avg("v")).alias("v"))
+
+
+# --- further reports ----------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT file_name, family, record_id, regexp_extract(sequence, '^>([^\r\n]*)', 1) AS header FROM (SELECT *, row_number() OVER (PARTITION BY file_name, family ORDER BY record_id) AS k FROM
+ (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS rn FROM cm_fasta) WHERE rn = 1 AND fmt = 'fasta') WHERE k = 1"""
+)
+def s3_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first record of each file, which stands for the wild type."""
+    raw = last_delivery(table(spark, sf_dir, "cm_fasta"), "record_id", keep=["family", "file_name", "fmt", "sequence"]).where("fmt = 'fasta'")
+    first = raw.groupBy("file_name", "family").agg(F.min_by(F.struct("record_id", "sequence"), "record_id").alias("m"))
+    return first.select("file_name", "family", "m.record_id", F.regexp_extract("m.sequence", r"^>([^\r\n]*)", 1).alias("header"))
+
+
+@query(f"WITH {LONG}, m AS (SELECT family, split, count(*) AS total FROM r WHERE split IS NOT NULL GROUP BY ALL) SELECT family, split, pos, state, round(count(*) / any_value(total) + 1e-10, 6) + 0.0 AS f FROM x JOIN m USING (family, split) GROUP BY family, split, pos, state")
+def a6_split_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of the states in each split, in one pass."""
+    r = rows(spark, sf_dir).where("split is not null")
+    n = r.groupBy("family", "split").agg(F.count("*").alias("total"))
+    s = A.long(r, "family", "split").groupBy("family", "split", "pos", "state").agg(F.count("*").alias("n"))
+    return s.join(n, ["family", "split"]).select("family", "split", "pos", "state", rounded(F.col("n") / F.col("total")).alias("f"))
+
+
+@query(
+    f"""WITH {ROWS}, k AS (SELECT family, seq_id, row_number() OVER (PARTITION BY family ORDER BY {DRAW.format(chr(39) + 'split:' + chr(39) + ' || seq_id')}, seq_id) <= floor(count(*) OVER (PARTITION BY family) * 0.8::DOUBLE) AS t FROM r)
+ SELECT family, seq_id FROM k WHERE NOT t"""
+)
+def j8_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are not in the drawn Train part."""
+    r = rows(spark, sf_dir).select("family", "seq_id")
+    return r.join(A.in_train(r).where("is_train"), "seq_id", "left_anti").select("family", "seq_id")
+
+
+@query(
+    f"""WITH {_REF}, {TOTAL}, i AS (SELECT family, seq_id, states, row_number() OVER (PARTITION BY family ORDER BY seq_id) - 1 AS k FROM r), q AS (SELECT family, total, rep FROM t, n),
+ a AS (SELECT 'natural' AS grp, q.family, rep, CAST(list_sum(states) AS BIGINT) AS state_sum FROM q JOIN i ON i.family = q.family AND i.k = {DRAW.format("'boot:' || q.family || ':' || rep")} % total),
+ b AS (SELECT 'random' AS grp, family, rep, CAST(sum(CASE WHEN state > 0 THEN {DRAW.format("'random:' || family || ':' || rep || ':' || pos")} % 20 + 1 ELSE 0 END) AS BIGINT) AS state_sum FROM z, n GROUP BY family, rep),
+ c AS (SELECT 'shuffled' AS grp, family, rep, CAST(sum(state) AS BIGINT) AS state_sum FROM z, n GROUP BY family, rep) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""
+)
+def r7_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All control groups of each family in one table: rows drawn, random and shuffled, with the sum of their states."""
+    r = rows(spark, sf_dir)
+    ref = A.first_rows(r)
+    natural = A.bootstrap(r, 20).join(r.select("seq_id", A.state_sum(F.col("states")).alias("state_sum")), "seq_id")
+    total = lambda x: x.groupBy("family", "rep").agg(F.sum(F.col("state").cast("long")).alias("state_sum"))
+    parts = [natural.select(F.lit("natural").alias("grp"), "family", "rep", "state_sum")]
+    for name, x in (("random", A.random_rows(ref, 20)), ("shuffled", A.shuffled_rows(ref, 20))):
+        parts.append(total(x).select(F.lit(name).alias("grp"), "family", "rep", "state_sum"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""WITH {DENSE}, m AS (SELECT family, seq_id, len(states) AS w FROM r), z AS (SELECT family, seq_id, CAST(unnest(range(w)) AS INTEGER) AS pos FROM m), q AS (SELECT family, seq_id, pos, CAST({DRAW.format("'baseline:' || seq_id || ':' || pos")} % 21 AS INTEGER) AS state FROM z)
+ SELECT family, seq_id, round(-sum(ln(f)) + 1e-10, 6) + 0.0 AS energy FROM q JOIN d USING (family, pos, state) GROUP BY ALL"""
+)
+def r8_random_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies of uniformly drawn rows, one for each row, as a baseline."""
+    r = rows(spark, sf_dir)
+    drawn = A.long(r, "family", "seq_id").select("family", "seq_id", "pos", (A.draw("baseline", "seq_id", "pos") % A.Q).cast("int").alias("state"))
+    h = P.profile_fields(dense(r))
+    return drawn.join(h, ["family", "pos", "state"]).groupBy("family", "seq_id").agg(rounded(-F.sum("v")).alias("energy"))
+
+
+@query(
+    f"""WITH {PAIRS}, q AS (SELECT l.family, l.pos AS i, k.pos AS j, CAST(m.z AS INTEGER) AS a, CAST(o.z AS INTEGER) AS b FROM v l JOIN v k ON l.family = k.family AND l.pos < k.pos, range(21) m(z), range(21) o(z)),
+ e AS (SELECT q.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY q.family ORDER BY coalesce(n, 0), q.i, q.j, q.a, q.b) AS k, count(*) OVER (PARTITION BY q.family) AS c FROM q LEFT JOIN p USING (family, i, j, a, b)) SELECT family, i, j, a, b FROM e WHERE k > floor(c * 0.95::DOUBLE)"""
+)
+def t3_frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells left when the 95 percent of least frequency are pruned."""
+    from pyspark.sql import Window
+
+    r = rows(spark, sf_dir)
+    v, _, p, _ = chosen(r)
+    cols = v.select("family", F.col("pos").alias("i")).join(v.select("family", F.col("pos").alias("j")), "family").where("i < j")
+    state = lambda c: F.explode(F.sequence(F.lit(0), F.lit(A.Q - 1))).alias(c)
+    cells = cols.select("family", "i", "j", state("a")).select("family", "i", "j", "a", state("b")).join(p, ["family", "i", "j", "a", "b"], "left")
+    w = Window.partitionBy("family")
+    ranked = cells.withColumns({"k": F.row_number().over(w.orderBy(F.coalesce("n", F.lit(0)), "i", "j", "a", "b")), "c": F.count("*").over(w)})
+    return ranked.where(F.col("k") > F.floor(F.col("c") * F.lit(0.95))).select("family", "i", "j", "a", "b")
+
+
+@query(f"WITH {DENSE}, h AS (SELECT family, pos, state, ln(f) - avg(ln(f)) OVER (PARTITION BY family, pos) AS v FROM d) SELECT family, round(avg(v) + 1e-10, 6) + 0.0 AS h_norm FROM h WHERE state = 1 GROUP BY family")
+def a11_fields_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the gauged fields of state 1, as recorded in training without couplings."""
+    from pyspark.sql import Window
+
+    h = P.profile_fields(dense(rows(spark, sf_dir)))
+    h = h.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("family", "pos")))
+    return h.where("state = 1").groupBy("family").agg(rounded(F.avg("v")).alias("h_norm"))
+
+
+@query(
+    f"""WITH {LONG}, q AS (SELECT family, sum(CAST(state > 0 AS INTEGER))::DOUBLE AS u, sum(state)::DOUBLE AS z, count(*) AS rep FROM x GROUP BY family, seq_id), o AS (SELECT family, u, z, count(*) AS c FROM q GROUP BY family, u, z),
+ m AS (SELECT family, count(*) AS n, var_samp(u) AS vu, var_samp(z) AS vz, covar_samp(u, z) AS uz FROM q GROUP BY family), k AS (SELECT *, pow(n::DOUBLE, -1.0 / 3) AS s, vu * vz - uz * uz AS det FROM m WHERE n > 2)
+ SELECT a.family, a.u, a.z, round(sum(b.c * exp(-0.5 / s * (vz * pow(a.u - b.u, 2) - 2 * uz * (a.u - b.u) * (a.z - b.z) + vu * pow(a.z - b.z, 2)) / det)) / any_value(n * 2 * pi() * s * sqrt(det)) * 1e6 + 1e-10, 3) + 0.0 AS density
+ FROM o a JOIN o b ON a.family = b.family JOIN k ON k.family = a.family WHERE det > 1e-9 GROUP BY a.family, a.u, a.z"""
+)
+def a18_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian density (full covariance, Scott's width) of residues and published length at each point that occurs, per million.
+
+    Equal points are one with their number, so the pairs are those of
+    distinct points, of which a family has a bounded number.
+    """
+    r = rows(spark, sf_dir)
+    q = r.select("family", A.residues(F.col("states")).cast("double").alias("u"), A.state_sum(F.col("states")).cast("double").alias("z"))
+    o = q.groupBy("family", "u", "z").agg(F.count("*").alias("c"))
+    m = q.groupBy("family").agg(F.count("*").alias("n"), F.var_samp("u").alias("vu"), F.var_samp("z").alias("vz"), F.covar_samp("u", "z").alias("uz")).where("n > 2")
+    k = m.withColumns({"s": F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3)), "det": F.col("vu") * F.col("vz") - F.col("uz") * F.col("uz")}).where("det > 1e-9")
+    b = o.select("family", F.col("u").alias("u2"), F.col("z").alias("z2"), F.col("c").alias("c2"))
+    du, dz = F.col("u") - F.col("u2"), F.col("z") - F.col("z2")
+    e = F.exp(-0.5 / F.col("s") * (F.col("vz") * du * du - 2 * F.col("uz") * du * dz + F.col("vu") * dz * dz) / F.col("det"))
+    pairs = o.join(k, "family").join(b, "family")
+    total = pairs.groupBy("family", "u", "z", "n", "s", "det").agg(F.sum(F.col("c2") * e).alias("t"))
+    return total.select("family", "u", "z", rounded(F.col("t") / (F.col("n") * 2 * F.pi() * F.col("s") * F.sqrt("det")) * 1e6, 3).alias("density"))

@@ -26,6 +26,18 @@ def i1_pairwise_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sample(h, L.dense_couplings(r), L.totals(r).withColumnRenamed("total", "n"), steps=400)
 
 
+def i4_temperature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each family's independent model at three temperatures, with their energies at temperature 1."""
+    r = L.rows(spark, sf_dir)
+    h, n = P.profile_fields(L.dense(r)), L.totals(r).withColumnRenamed("total", "n")
+    out = None
+    for k, t in enumerate((0.5, 0.75, 1.0)):
+        x = M.sample(h, None, n, steps=1000, seed=1 + k, temperature=t)
+        x = P.energies(x, h, key="chain").withColumn("temperature", F.lit(t))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def i5_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields' gradient: frequencies of the samples less those of the rows, with the penalty."""
     r = L.rows(spark, sf_dir)
@@ -63,5 +75,5 @@ def s12_score_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (i1_pairwise_samples, i2_profile_samples, i5_gradient, i6_fits, i11_components, s12_score_groups)}
+QUERIES = {f.__name__: f for f in (i1_pairwise_samples, i2_profile_samples, i4_temperature_sweep, i5_gradient, i6_fits, i11_components, s12_score_groups)}
 SQL: dict[str, str] = {}
