@@ -29,6 +29,8 @@ SHINGLE = 5
 STRETCH = 12
 ONE_IN = 10
 STEP = 12
+#: Words of a document that are hashed at once.
+PIECE = 1024 * STEP
 #: Shingles that a stretch of 12 words keeps at least when one word is replaced or left out.
 KEPT = 3
 QUERY = STRETCH - SHINGLE + 1
@@ -67,13 +69,6 @@ def shingle_hashes(ids: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
-def signatures(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
-    """Minimum hashes of runs of shingles that begin at ``starts`` and end where the next begins: hashes x runs."""
-    values = (shingles[None] * _SEEDS[:hashes, None]) >> np.uint64(16)
-    low = np.minimum.reduceat(values, starts, axis=1)
-    return low
-
-
 def _tag(low: np.ndarray) -> np.ndarray:
     """Each hash function has its own range of values."""
     return low | (np.arange(low.shape[0], dtype=np.uint64) << np.uint64(48))[:, None]
@@ -112,11 +107,20 @@ class Queries:
         return ((keys * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """Passages that may lie in the document, each with the starts (in words) of the segments in question."""
-        sh = shingle_hashes(ids)
+        """Passages that may lie in the document, each with the starts (in words) of the segments in question.
+
+        A long document is gone through piece by piece; pieces overlap by a segment.
+        """
         out: dict[int, list[int]] = {}
-        if len(sh) < KEPT or not len(self.keys):
-            return out
+        if len(self.keys):
+            for at in range(0, max(1, len(ids)), PIECE):
+                self._piece(ids[at : at + PIECE + 2 * STEP], at, out)
+        return out
+
+    def _piece(self, ids: np.ndarray, base: int, out: dict[int, list[int]]) -> None:
+        sh = shingle_hashes(ids)
+        if len(sh) < KEPT:
+            return
         n = len(sh)
         starts = np.arange(0, n, STEP)
         # a segment is two steps of 12 words: 20 shingles
@@ -140,8 +144,7 @@ class Queries:
             lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
             for s, a, b in zip(seg[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
                 for o in self.owner[a:b]:
-                    out.setdefault(int(o), []).append(int(at[s]))
-        return out
+                    out.setdefault(int(o), []).append(base + int(at[s]))
 
     def stretch(self, item: int, ids: np.ndarray, text: list[str], segments: list[int]) -> tuple[int, int] | None:
         """Length and errors of a stretch of the passage in the document, if there is one."""
