@@ -138,7 +138,7 @@ def k2_text_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {LONG} SELECT family, seq_id, count(*) AS n_features, CAST(sum(pos * 20 + state - 1) AS BIGINT) AS feature_sum FROM x WHERE state > 0 GROUP BY family, seq_id")
-def p1_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f1_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hot features of each row: how many, and their sum."""
     return A.one_hot(rows(spark, sf_dir), "family", "seq_id").groupBy("family", "seq_id").agg(F.count("*").alias("n_features"), F.sum(F.col("feature").cast("long")).alias("feature_sum"))
 
@@ -146,7 +146,7 @@ def p1_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {ROWS}, m AS (SELECT family, min_by(states, seq_id) AS ref FROM r GROUP BY family) SELECT seq_id, CAST(list_sum(list_transform(range(1, len(states) + 1), lambda z: CAST(states[z] > 0 AND ref[z] = 0 AS INTEGER))) AS INTEGER) AS extra FROM r JOIN m USING (family)"
 )
-def p9_extra_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f9_extra_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residues at the gaps of the family's first row."""
     r = rows(spark, sf_dir)
     return A.extra_residues(r, A.first_rows(r)).select("seq_id", "extra")
@@ -156,7 +156,7 @@ def p9_extra_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {COLUMNS}, k AS (SELECT family, list(pos ORDER BY pos) AS cols FROM v GROUP BY family) SELECT seq_id, array_to_string(list_transform(cols, lambda z: CASE WHEN coalesce(states[z + 1], 0) > 0
  THEN substr({ALPHA}, states[z + 1] + 1, 1) ELSE 'X' END), '') AS placed FROM r JOIN k USING (family)"""
 )
-def p8_placed_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f8_placed_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's residues at its family's mapped columns."""
     r = rows(spark, sf_dir)
     cols = N.variable_columns(singles(r)).groupBy("family").agg(F.sort_array(F.collect_list("pos")).alias("cols"))
@@ -164,13 +164,13 @@ def p8_placed_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {LONG} SELECT family, seq_id, CAST(sum(state) AS BIGINT) AS length_sum, CAST(sum(CAST(state > 0 AS INTEGER)) AS INTEGER) AS n_residues FROM x GROUP BY family, seq_id")
-def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published length (the sum of the states) and the number of residues."""
     return rows(spark, sf_dir).select("family", "seq_id", A.state_sum(F.col("states")).alias("length_sum"), A.residues(F.col("states")).alias("n_residues"))
 
 
 @query(f"WITH {DENSE} SELECT d.family, d.pos, d.state, CASE WHEN s.n IS NULL THEN -10000.0::DOUBLE ELSE round(ln(d.f) + 1e-10, 6) + 0.0 END AS v FROM d LEFT JOIN s USING (family, pos, state)")
-def p12_forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f12_forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile fields in which a state that a column never has is forbidden."""
     r = rows(spark, sf_dir)
     h = P.profile_fields(dense(r)).join(singles(r), ["family", "pos", "state"], "left")
@@ -208,7 +208,7 @@ def a2_weighted_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {DENSE} SELECT family, pos, state, round(f + 1e-10, 6) + 0.0 AS f FROM d")
-def p4_pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f4_pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense frequencies with the pseudocount 1 / rows."""
     return dense(rows(spark, sf_dir)).select("family", "pos", "state", rounded(F.col("f")).alias("f"))
 
@@ -409,7 +409,7 @@ _PACK = f"""{DENSE}, {CORR.removeprefix(SINGLE + ", ")}, k AS (SELECT family, CA
 
 
 @query(f"""WITH {_PACK} SELECT family, "offset", round(v + 1e-10, 6) + 0.0 AS v FROM k""")
-def p2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and couplings of each family as one packed vector."""
     r = rows(spark, sf_dir)
     w = widths(r).withColumnRenamed("n_cols", "width")
@@ -417,7 +417,7 @@ def p2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PACK} SELECT family, CAST(floor(o / 21) AS INTEGER) AS pos, CAST(o % 21 AS INTEGER) AS state, round(v / 0.75 + 1e-10, 6) + 0.0 AS v FROM (SELECT k.*, "offset" - CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 AS o FROM k JOIN w USING (family)) WHERE o >= 0""")
-def p3_unpacked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f3_unpacked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields taken out of the packed vector, at temperature 0.75."""
     r = rows(spark, sf_dir)
     w = widths(r).withColumnRenamed("n_cols", "width")
@@ -738,3 +738,30 @@ def a18_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = o.join(k, "family").join(b, "family")
     total = pairs.groupBy("family", "u", "z", "n", "s", "det").agg(F.sum(F.col("c2") * e).alias("t"))
     return total.select("family", "u", "z", rounded(F.col("t") / (F.col("n") * 2 * F.pi() * F.col("s") * F.sqrt("det")) * 1e6, 3).alias("density"))
+
+
+@query(
+    f"""WITH {_PHI}, {CORR.removeprefix(SINGLE + ", ")}, y2 AS (SELECT c.family, i, j, l.phi * k.phi * c AS v FROM c JOIN o l ON l.family = c.family AND l.pos = i AND l.state = a JOIN o k ON k.family = c.family AND k.pos = j AND k.state = b WHERE a > 0 AND b > 0)
+ SELECT family, i, j, round(sqrt(sum(v * v)) + 1e-10, 6) + 0.0 AS norm FROM y2 GROUP BY ALL"""
+)
+def a7_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms of the weighted correlations of two columns, gaps left out."""
+    r = rows(spark, sf_dir)
+    w = P.weighted_correlations(correlations(r), _position_weights(r)).where("a > 0 and b > 0")
+    return P.block_norms(w).withColumn("norm", rounded(F.col("norm")))
+
+
+@query(
+    f"""WITH {CORR}, e AS (SELECT family, corr(l, k) AS z FROM (SELECT p.family, p.n::DOUBLE / total AS l, fa.f * fb.f AS k FROM p JOIN t USING (family) JOIN f fa ON fa.family = p.family AND fa.pos = i AND fa.state = a JOIN f fb ON fb.family = p.family AND fb.pos = j AND fb.state = b) GROUP BY family HAVING count(*) > 2 AND stddev_pop(l) * stddev_pop(k) > 1e-15)
+ SELECT family, round(z + 1e-10, 6) + 0.0 AS pearson FROM e"""
+)
+def a15_pair_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the pair frequencies that occur follow from the single ones."""
+    _, s, p, t = chosen(rows(spark, sf_dir))
+    f = N.frequencies(s, t).select("family", "pos", "state", "f")
+    x = N.frequencies(p, t).withColumnRenamed("f", "l")
+    x = x.join(f.select("family", F.col("pos").alias("i"), F.col("state").alias("a"), F.col("f").alias("fa")), ["family", "i", "a"])
+    x = x.join(f.select("family", F.col("pos").alias("j"), F.col("state").alias("b"), F.col("f").alias("fb")), ["family", "j", "b"]).withColumn("k", F.col("fa") * F.col("fb"))
+    sd = F.stddev_pop("l") * F.stddev_pop("k")
+    g = x.groupBy("family").agg(F.count("*").alias("n"), sd.alias("sd"), F.try_divide(F.covar_pop("l", "k"), sd).alias("z")).where("n > 2 and sd > 1e-15")
+    return g.select("family", rounded(F.col("z")).alias("pearson"))

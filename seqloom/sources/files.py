@@ -52,3 +52,41 @@ def table_hash(df: DataFrame) -> int:
     """A hash of a table's rows that doesn't depend on their order."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
     return int(df.agg(F.sum(h)).first()[0] or 0)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """path, row and states of the two-dimensional integer arrays in ``.npy`` files, each file read in one task."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, content in zip(f["path"], f["content"], strict=True):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                for k in range(0, len(x), 10_000):
+                    part = x[k : k + 10_000].astype(np.int32)
+                    yield pd.DataFrame({"path": np.full(len(part), p, object), "row": np.arange(k, k + len(part)), "states": list(part)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(load, "path string, row long, states array<int>")
+
+
+def manifest(df: DataFrame, label: str, options: dict[str, object] | None = None) -> dict[str, object]:
+    """What a run made: its label, the table's columns, rows and order-free hash, options and versions, ready for JSON."""
+    import datetime
+    import platform
+
+    clean = {k: v if isinstance(v, (str, int, float, bool, type(None))) else str(v) for k, v in (options or {}).items()}
+    return {
+        "schema_version": 1,
+        "label": label,
+        "made_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"),
+        "columns": dict(df.dtypes),
+        "rows": df.count(),
+        "hash": str(table_hash(df)),
+        "options": clean,
+        "versions": {"spark": df.sparkSession.version, "python": platform.python_version()},
+    }

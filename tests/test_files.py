@@ -23,3 +23,15 @@ def test_model_round_trip(spark, tmp_path):
     S.write_model(str(tmp_path / "m"), h, h)
     one, two = S.read_model(spark, str(tmp_path / "m"))
     assert S.table_hash(one) == S.table_hash(two) == S.table_hash(h)
+
+
+def test_npy_and_manifest(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    np.save(tmp_path / "m.npy", np.array([[1, 0, 2], [3, 4, 5]], np.int8))
+    x = S.read_npy(spark, str(tmp_path))
+    assert [(r["row"], r["states"]) for r in x.orderBy("row").collect()] == [(0, [1, 0, 2]), (1, [3, 4, 5])]
+    m = S.manifest(x, "test", {"theta": 0.3, "path": tmp_path})
+    assert json.loads(json.dumps(m))["rows"] == 2 and m["hash"] == S.manifest(x.repartition(2), "again")["hash"]
