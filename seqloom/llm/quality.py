@@ -319,8 +319,9 @@ def learn(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", samp
     most = min(share, max(1, sample * share // n))
     some = documents.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(share)) < most).select(doc_id, text)
     labelled = F.pandas_udf(lambda s: s.map(label), "string")
-    stats = statistics(some.select(F.struct(F.col(doc_id), labelled(F.col(text)).alias("l")).alias("k"), text), "k", text)
-    x = stats.select("doc_id.l", *STATS).toPandas()
+    stats = statistics(some.select(F.struct(F.col(doc_id).alias("id"), labelled(F.col(text)).alias("l")).alias("k"), text), "k", text)
+    # sorted, so that neither partitions nor a retried task change the rules
+    x = stats.select("doc_id.id", "doc_id.l", *STATS).toPandas().sort_values(["id", "l", "n_chars"], kind="stable").reset_index(drop=True)
     return induce(x[list(STATS)].astype(float), x["l"].to_numpy())
 
 

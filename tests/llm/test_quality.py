@@ -62,3 +62,8 @@ def test_held_out_accuracy(spark):
 
 def test_empty_table(spark):
     assert Q.kinds(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rules_do_not_depend_on_partitions(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert Q.learn(d) == Q.learn(d.repartition(5, "text"))
