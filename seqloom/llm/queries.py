@@ -61,7 +61,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are hardly prose, with their kind."""
-    return quality.kinds(table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", "kind")
+    return quality.kinds(table(spark, sf_dir, "documents"), with_statistics=False).where("kind is not null")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
