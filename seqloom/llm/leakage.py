@@ -147,7 +147,8 @@ class Queries:
                     out.setdefault(int(o), []).append(base + int(at[s]))
 
     def stretch(self, item: int, ids: np.ndarray, text: list[str], segments: list[int]) -> tuple[int, int] | None:
-        """Length and errors of a stretch of the passage in the document, if there is one."""
+        """Length and errors of the longest stretch of the passage in the document, if there is one; of equal ones that with the fewest errors."""
+        best = None
         own = self.shingles[item]
         passage = self.words[item]
         at = sorted(set(segments))
@@ -166,9 +167,10 @@ class Queries:
                 continue
             near = np.nonzero(here)[0]
             region = text[lo + max(0, near[0] - len(passage)) : lo + near[-1] + SHINGLE + len(passage)]
-            if found := best_stretch(passage, region):
-                return found
-        return None
+            found = best_stretch(passage, region)
+            if found and (best is None or (found[0], -found[1]) > (best[0], -best[1])):
+                best = found
+        return best
 
 
 def best_stretch(passage: Sequence[str], text: Sequence[str]) -> tuple[int, int] | None:
@@ -192,7 +194,7 @@ def best_stretch(passage: Sequence[str], text: Sequence[str]) -> tuple[int, int]
         new[0, 1:] = np.where(same, np.maximum(new[0, 1:], 1), none)
         full = new.max(axis=1)
         for e in range(most + 1):
-            if full[e] >= max(STRETCH, ONE_IN * e) and (best is None or full[e] > best[0]):
+            if full[e] >= max(STRETCH, ONE_IN * e) and (best is None or (full[e], -e) > (best[0], -best[1])):
                 best = int(full[e]), e
         for e in range(1, most + 1):
             new[e, 1:] = np.maximum(new[e, 1:], np.where(same, none, longest[e - 1, :-1] + 1))

@@ -97,3 +97,21 @@ def test_nulls_shared_passages_and_empty_tables(spark):
         assert found(spark, docs[:1], [*items, (11, " ".join(W[5:40]), None)]) == [(1, 7), (1, 8), (1, 11)]
     finally:
         L.ITEM_BLOCK = L_block
+
+
+def test_longest_of_several_stretches_is_reported(spark):
+    rng = random.Random(12)
+    passage = rng.sample(W[:200], 40)
+    filler = lambda: [rng.choice(W[200:]) for _ in range(150)]
+    flawed = [*passage[:20], "other", *passage[21:]]
+    texts = {1: [*passage[:12], *filler(), *passage], 2: [*passage, *filler(), *passage[5:17]], 3: [*flawed, *filler(), *passage]}
+    d = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id long, passage string")
+    got = sorted(tuple(r) for r in L.leaks(d, items).collect())
+    assert got == [(1, 7, 40, 0), (2, 7, 40, 0), (3, 7, 40, 0)]
+
+
+def test_fewest_errors_among_stretches_of_a_length():
+    passage = W[:26]
+    text = [*W[:6], "other", *W[7:12], *W[300:310], *W[14:26]]
+    assert L.best_stretch(passage, text) == (12, 0)
