@@ -1,14 +1,14 @@
 """Deeply nested records to related flat tables.
 
-``flatten`` infers the merged schema of all records, then explodes each array
-(and each object that is used as a dictionary) into a child table whose rows
-carry the key of their parent row and their position in it.
+``flatten`` infers the merged schema of all records in one pass, then explodes
+each array (and each object that is used as a dictionary) into a child table
+whose rows carry the key of their parent row and their position in it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,14 +24,20 @@ def read_json(payload: str) -> Column:
     """The payload as a variant; null where it is null, cut off or otherwise no JSON text.
 
     Bare NaN and Infinity are read as numbers. The payload is read inside a
-    one-element array, so that text after the value is an error, too. An
-    object that names a key twice is taken as unreadable.
+    one-element array, so that text after the value is an error, too. Of a
+    key that an object names twice the last value counts, where the session
+    allows it (``allow_duplicate_keys``); else the object is unreadable.
     """
     wrapped = F.from_json(F.concat(F.lit("["), F.col(payload), F.lit("]")), "variant", {"allowSingleQuotes": "false"})
     second = F.schema_of_variant(F.try_variant_get(wrapped, "$[1]", "variant"))
     return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
+def allow_duplicate_keys(df: DataFrame) -> None:
+    """Lets the session read JSON objects that name a key twice; Spark looks this up when a query runs."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 @dataclass
 class Shape:
     """A node of the merged schema: ``kind`` is OBJECT, ARRAY, VARIANT (types differ) or a scalar's name."""
@@ -74,42 +80,45 @@ def parse_shape(text: str | None) -> Shape:
     return node()
 
 
-def merged_shape(df: DataFrame, body: str = BODY) -> Shape:
-    """The merged schema of all bodies; one text of the size of the schema comes to the driver.
+def _first_nested(shapes: Sequence[Shape]) -> Shape:
+    return next((x for x in shapes if x.kind in ("OBJECT", "ARRAY")), shapes[0])
 
-    Where bodies are of several types, it is that of the objects among them, or else of the arrays.
-    """
+
+def _schema_aggregates(body: Column) -> list[Column]:
+    """Merged schemas of all bodies, of the objects among them and of the arrays; where types are mixed, those of the objects count, or else the arrays'."""
     kind = F.schema_of_variant(body)
-    only = lambda k: F.schema_of_variant_agg(F.when(kind.startswith(k), F.col(body)))
-    r = df.agg(F.schema_of_variant_agg(body), only("OBJECT"), only("ARRAY")).first()
-    shapes = [parse_shape(x) for x in r]
-    return next((x for x in shapes if x.kind in ("OBJECT", "ARRAY")), shapes[0])
+    return [F.schema_of_variant_agg(body), *[F.schema_of_variant_agg(F.when(kind.startswith(k), body)) for k in ("OBJECT", "ARRAY")]]
 
 
 def _path(names: Sequence[str]) -> str:
     return "$" + "".join(f'["{n}"]' for n in names)
 
 
-def children(df: DataFrame, names: Sequence[str], dictionary: bool = False) -> DataFrame:
-    """The entries of the array at a path, one row each; of an object, too, if it is used as a dictionary.
+def _at(names: Sequence[str], kind: str = "variant", body: str | Column = BODY) -> Column:
+    return F.try_variant_get(F.col(body) if isinstance(body, str) else body, _path(names), kind)
+
+
+def _entries(at: Column, dictionary: bool = False) -> Column:
+    """The entries of an array, or of an object that is used as a dictionary, with their names."""
+    kind = F.schema_of_variant(at)
+    each = F.transform(F.try_variant_get(at, "$", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, '$["name"]', "string").alias(NAME), e.alias(BODY)))
+    out = F.when(kind.startswith("ARRAY"), each)
+    if dictionary:
+        named = F.map_entries(F.try_variant_get(at, "$", "map<string,variant>"))
+        out = out.when(kind.startswith("OBJECT"), F.transform(named, lambda e: F.struct(e["key"].alias(NAME), e["value"].alias(BODY))))
+    return out
+
+
+def children(df: DataFrame, places: Sequence[Sequence[str]], dictionary: bool = False) -> DataFrame:
+    """The entries of the arrays at some paths, one row each; of objects, too, if they are used as dictionaries.
 
     An entry of a dictionary has its key as ``entry_name``; in an array its
-    own field ``name`` takes that place.
+    own field ``name`` takes that place. The key of a row tells its parent,
+    its path and its position. All paths are exploded in one go.
     """
-    spark = df.sparkSession
-    at = F.try_variant_get(F.col(BODY), _path(names), "variant")
-    kind = F.schema_of_variant(at)
-    fits = kind.startswith("ARRAY") | (kind.startswith("OBJECT") if dictionary else F.lit(False))
-    src = df.select(F.col(KEY).alias(PARENT), F.when(fits, at).alias("_at"))
-    out = src.lateralJoin(spark.tvf.variant_explode(F.col("_at").outer()))
-    own = F.try_variant_get(F.col("value"), '$["name"]', "string")
-    return out.select(
-        PARENT,
-        F.col("pos").alias(ORDINAL),
-        F.concat_ws("/", PARENT, "pos").alias(KEY),
-        F.coalesce(F.col("key"), own).alias(NAME),
-        F.col("value").alias(BODY),
-    )
+    src = df.select(F.col(KEY).alias(PARENT), F.explode(F.array(*[F.struct(F.lit(".".join(p)).alias("place"), _entries(_at(p), dictionary).alias("entries")) for p in places])).alias("_p"))
+    out = src.select(PARENT, "_p.place", F.posexplode("_p.entries").alias(ORDINAL, "_e"))
+    return out.select(PARENT, ORDINAL, F.concat_ws("/", PARENT, "place", ORDINAL).alias(KEY), f"_e.{NAME}", f"_e.{BODY}")
 
 
 #: Merged kinds to the types of flat columns; all else is kept as JSON text.
@@ -139,13 +148,97 @@ def _arrays(shape: Shape, at: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...
     return out
 
 
-def flatten(
-    df: DataFrame,
-    key: str,
-    payload: str,
-    dictionaries: Mapping[str, Sequence[str]] | None = None,
-    depth: int = 6,
-) -> dict[str, DataFrame]:
+class Tables(Mapping[str, DataFrame]):
+    """The flat tables by name; each is planned only when it is asked for.
+
+    Where elements are of mixed types, the merged schema doesn't say what the
+    objects among them hold; another job finds out, if their fields or their
+    own children are asked for.
+    """
+
+    def __init__(self, root: DataFrame, dictionaries: Mapping[str, Sequence[str]]):
+        self._places = {k: [tuple(p.split(".")) for p in v] for k, v in dictionaries.items()}
+        columns = _schema_aggregates(F.col(BODY))
+        for paths in self._places.values():
+            entries = F.flatten(F.array_compact(F.array(*[_entries(_at(p), True) for p in paths])))
+            objects = F.filter(F.transform(entries, lambda e: e[BODY]), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+            columns.append(F.schema_of_variant_agg(F.to_variant_object(objects)))
+        found = [parse_shape(x) for x in root.agg(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first()]
+        shape = _first_nested(found[:3])
+        self._rows: dict[str, DataFrame] = {"": root}
+        self._shapes: dict[str, Shape] = {"": shape}
+        self._inner: dict[str, list[str]] = {}
+        for (name, paths), entry in zip(self._places.items(), found[3:], strict=True):
+            if any(_has(shape, p) for p in paths):
+                self._add(name, children(root, paths, dictionary=True), entry.fields.get("", Shape("VOID")))
+
+    def _add(self, name: str, rows: DataFrame, shape: Shape) -> None:
+        self._rows[name], self._shapes[name] = rows, shape
+
+    def shape(self, name: str) -> Shape:
+        if self._shapes[name].kind == "VARIANT":
+            found = self._rows[name].agg(*[c.alias(f"c{k}") for k, c in enumerate(_schema_aggregates(F.col(BODY)))]).first()
+            shape = _first_nested([parse_shape(x) for x in found])
+            self._shapes[name] = Shape("MIXED", shape.fields) if shape.kind == "VARIANT" else shape
+        return self._shapes[name]
+
+    def _open(self, name: str) -> list[str]:
+        """Names of the child tables of a table."""
+        if name not in self._inner:
+            shape = self.shape(name)
+            here: list[str] = []
+            if shape.kind == "ARRAY":
+                here.append(f"{name}.items" if name else "items")
+                self._add(here[-1], children(self._rows[name], [()]), shape.fields[""])
+            taken = {p for paths in self._places.values() for p in paths} if name == "" else set()
+            for path, sub in _arrays(Shape("OBJECT", shape.fields if shape.kind == "OBJECT" else {})):
+                if path not in taken:
+                    here.append(".".join((*([name] if name else []), *path)))
+                    self._add(here[-1], children(self._rows[name], [path]), sub.fields.get("", sub))
+            self._inner[name] = here
+        return self._inner[name]
+
+    def _find(self, name: str) -> bool:
+        known = [n for n in self._rows if n == name or n == "" or name.startswith(f"{n}.")]
+        while name not in self._rows:
+            at = next((n for n in sorted(known, key=len, reverse=True) if n not in self._inner), None)
+            if at is None:
+                return False
+            self._open(at)
+            known = [n for n in self._rows if n == name or n == "" or name.startswith(f"{n}.")]
+        return True
+
+    def __contains__(self, name: object) -> bool:
+        return isinstance(name, str) and self._find(name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if not self._find(name):
+            raise KeyError(name)
+        shape = self.shape(name)
+        inner = Shape("OBJECT", shape.fields if shape.kind == "OBJECT" else {})
+        taken = {p for paths in self._places.values() for p in paths} if name == "" else set()
+        columns = [(n, c) for n, c in zip(_names(inner), _columns(inner), strict=True) if tuple(n.split(".")) not in taken]
+        return self._rows[name].select("*", *[c.alias(f"f.{n}") for n, c in columns])
+
+    def rows(self, name: str) -> DataFrame:
+        """A table without the columns of its fields."""
+        return self._rows[name] if self._find(name) else self[name]
+
+    def __iter__(self) -> Iterator[str]:
+        todo = list(self._rows)
+        seen: list[str] = []
+        while todo:
+            name = todo.pop(0)
+            if name not in seen:
+                seen.append(name)
+                todo += self._open(name)
+        return iter(seen)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
+def flatten(df: DataFrame, key: str, payload: str, dictionaries: Mapping[str, Sequence[str]] | None = None) -> Tables:
     """All flat tables of a column of JSON texts, by the path of their array.
 
     ``key`` names the records (unique, not null). ``dictionaries`` maps the
@@ -156,12 +249,15 @@ def flatten(
     and ``body`` (the entry as a variant); a table of objects has a column
     for each scalar below it that lies in no other array, named by its path
     with a leading ``f.``, so that no name in the data can clash with these.
-    Null, empty and unreadable payloads give a root row with a null body and
-    no children; an array that is missing, null or empty gives no child rows;
-    elements that are null give rows with a JSON null. Columns of ``df``
-    other than the two named are not looked at. An empty table gives an empty
-    root table alone. Inference runs one job for each level of nesting.
+    A row's key is its parent's with path and position, so no two rows of any
+    tables share one. Arrays are followed however deep they lie. Null, empty
+    and unreadable payloads give a root row with a null body and no children;
+    of a key named twice the last value counts; an array that is missing,
+    null or empty gives no child rows; elements that are null give rows with
+    a JSON null. Columns of ``df`` other than the two named are not looked
+    at. An empty table gives an empty root table alone.
     """
+    allow_duplicate_keys(df)
     root = df.select(
         F.lit(None).cast("string").alias(PARENT),
         F.lit(None).cast("int").alias(ORDINAL),
@@ -169,29 +265,7 @@ def flatten(
         F.lit(None).cast("string").alias(NAME),
         read_json(payload).alias(BODY),
     )
-    out: dict[str, DataFrame] = {}
-
-    def visit(name: str, at: DataFrame, level: int, known: Shape | None = None) -> None:
-        # what the level above says of its elements holds here, but for a mixture of types
-        shape = known if known and known.kind != "VARIANT" else merged_shape(at)
-        inner = Shape("OBJECT", shape.fields if shape.kind == "OBJECT" else {})
-        places = {k: [tuple(p.split(".")) for p in v] for k, v in (dictionaries or {}).items()} if name == "" else {}
-        taken = {p for paths in places.values() for p in paths}
-        columns = [(n, c) for n, c in zip(_names(inner), _columns(inner), strict=True) if tuple(n.split(".")) not in taken]
-        out[name] = at.select("*", *[c.alias(f"f.{n}") for n, c in columns])
-        if level >= depth:
-            return
-        for child, paths in places.items():
-            if found := [p for p in paths if _has(inner, p)]:
-                visit(child, _union([children(at, p, dictionary=True) for p in found]), level + 1)
-        if shape.kind == "ARRAY":
-            visit(f"{name}.items" if name else "items", children(at, []), level + 1, shape.fields[""])
-        for path, sub in _arrays(inner):
-            if path not in taken:
-                visit(".".join((*([name] if name else []), *path)), children(at, path), level + 1, sub.fields.get("", sub))
-
-    visit("", root, 0)
-    return out
+    return Tables(root, dictionaries or {})
 
 
 def _names(shape: Shape, at: tuple[str, ...] = ()) -> list[str]:
@@ -215,46 +289,32 @@ def _has(shape: Shape, path: Sequence[str]) -> bool:
     return shape.kind not in ("VOID",)
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def finite(value: str = BODY) -> Column:
-    """The element as a double where it is a finite number or the text of one, else null."""
-    kind = F.schema_of_variant(F.col(value))
-    text = F.try_variant_get(value, "$", "string")
-    number = F.when(
-        kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT") | ((kind == "STRING") & text.rlike(NUMBER)),
-        F.try_variant_get(value, "$", "double"),
-    )
+def finite(text: str | Column) -> Column:
+    """A double where the text is that of a finite number, else null."""
+    text = F.col(text) if isinstance(text, str) else text
+    number = F.when(text.rlike(NUMBER), F.trim(F.translate(text, "\t\n\r\f\v", "     ")).try_cast("double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 
-def list_elements(tables: Mapping[str, DataFrame], owner: str, lists: Sequence[str], pieces: str = "chunks", offset: str = "offset") -> DataFrame | None:
-    """The elements of the lists of each ``owner`` row: owner key, list, position in the whole list, value.
+def list_elements(tables: Tables, owner: str, lists: Sequence[str], pieces: str = "chunks", offset: str = "offset") -> DataFrame:
+    """The elements of the lists of each ``owner`` row: key, parent_key and entry_name of the owner, list_name, idx, and the element as text.
 
-    A list may lie in the owner row or, in pieces, in the objects of the array
-    ``pieces``; a piece's position is its ``offset`` (0 where that is missing or no number).
+    A list may lie in the owner row or, in pieces, in the objects of the
+    array ``pieces``; a piece's position is its ``offset`` (0 where that is
+    missing or no number). The owner's columns are carried through each
+    explode, so nothing is joined; a list that no record has gives no rows.
     """
-    parts = []
-    for name in lists:
-        if (own := tables.get(f"{owner}.{name}")) is not None:
-            parts.append(own.select(F.col(PARENT).alias("owner_key"), F.lit(name).alias("list_name"), F.col(ORDINAL).alias("idx"), BODY))
-        piece = tables.get(f"{owner}.{pieces}")
-        if piece is not None and f"{owner}.{pieces}.{name}" in tables:
-            start = F.coalesce(F.try_variant_get(BODY, _path([offset]), "int"), F.lit(0))
-            # the position of the piece is read where its elements are exploded: no join is needed
-            rows = children_with(piece, [name], start.alias("_start"), F.col(PARENT).alias("owner_key"))
-            parts.append(rows.select("owner_key", F.lit(name).alias("list_name"), (F.col("_start") + F.col(ORDINAL)).cast("int").alias("idx"), BODY))
-    return _union(parts) if parts else None
-
-
-def children_with(df: DataFrame, names: Sequence[str], *extra: Column) -> DataFrame:
-    """``children`` that also carries columns of the parent row."""
-    at = F.try_variant_get(F.col(BODY), _path(names), "variant")
-    src = df.select(*extra, F.when(F.schema_of_variant(at).startswith("ARRAY"), at).alias("_at"))
-    out = src.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_at").outer()))
-    return out.drop("_at", "key").withColumnRenamed("pos", ORDINAL).withColumnRenamed("value", BODY)
+    if owner not in tables:
+        schema = f"owner_key string, {PARENT} string, {NAME} string, list_name string, idx int, text string"
+        return next(iter(tables._rows.values())).sparkSession.createDataFrame([], schema)
+    rows = tables.rows(owner)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col(BODY).alias("part")))
+    if pieces in tables.shape(owner).fields:
+        each = _at([pieces], "array<variant>")
+        start = lambda e: F.coalesce(F.try_variant_get(e, _path([offset]), "int"), F.lit(0)).alias("start")
+        whole = F.concat(whole, F.coalesce(F.transform(each, lambda e: F.struct(start(e), e.alias("part"))), F.array().cast("array<struct<start:int,part:variant>>")))
+    parts = rows.select(F.col(KEY).alias("owner_key"), PARENT, NAME, F.explode(whole).alias("_w")).select("owner_key", PARENT, NAME, "_w.start", "_w.part")
+    # numbers and texts are told apart by nothing that counts: both come as text
+    named = F.array(*[F.struct(F.lit(n).alias("list_name"), _at([n], "array<string>", "part").alias("list")) for n in lists])
+    flat = parts.select("owner_key", PARENT, NAME, "start", F.explode(named).alias("_l")).select("owner_key", PARENT, NAME, "start", "_l.list_name", F.posexplode("_l.list").alias("_i", "text"))
+    return flat.select("owner_key", PARENT, NAME, "list_name", (F.col("start") + F.col("_i")).cast("int").alias("idx"), "text")

@@ -15,38 +15,32 @@ LISTS = ["scores", "extra_residue_counts"]
 HOLDERS, NAMED = ["options", "options0", "options1"], ["n_states"]
 
 
-def _score_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _score_tables(spark: SparkSession, sf_dir: str) -> N.Tables:
     last = last_delivery(table(spark, sf_dir, "mpnn_scores"), "sweep_id", keep=["payload"])
     return N.flatten(last, "sweep_id", "payload", GROUPS)
 
 
-_ELEMENTS = "sweep_id long, grp string, list_name string, idx int, value double"
-
-
-def _elements(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    out = N.list_elements(tables, "group", LISTS)
-    if out is None:
-        return spark.createDataFrame([], _ELEMENTS)
-    owner = tables["group"].select(F.col(N.KEY).alias("owner_key"), F.col(N.PARENT).cast("long").alias("sweep_id"), F.col(N.NAME).alias("grp"))
-    return out.join(owner, "owner_key").select("sweep_id", "grp", "list_name", "idx", N.finite().alias("value"))
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.list_elements(_score_tables(spark, sf_dir), "group", LISTS)
+    return out.select(F.col(N.PARENT).cast("long").alias("sweep_id"), F.col(N.NAME).alias("grp"), "list_name", "idx", N.finite("text").alias("value"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the score lists that are finite numbers."""
-    out = _elements(spark, _score_tables(spark, sf_dir))
-    return out.where("value is not null").select("sweep_id", "grp", "list_name", "idx")
+    return _elements(spark, sf_dir).where("value is not null").select("sweep_id", "grp", "list_name", "idx")
 
 
 def p1_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of list elements, with their values."""
-    return _elements(spark, _score_tables(spark, sf_dir))
+    return _elements(spark, sf_dir)
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of groups, with their place in their sweep."""
-    groups = _score_tables(spark, sf_dir).get("group")
-    if groups is None:
+    tables = _score_tables(spark, sf_dir)
+    if "group" not in tables:
         return spark.createDataFrame([], "sweep_id long, row_key string, ordinal int, grp string, kind string, temperature double")
+    groups = tables["group"]
     have = set(groups.columns)
     get = lambda c, t: (F.col(f"`f.{c}`") if f"f.{c}" in have else F.lit(None)).cast(t).alias(c)
     return groups.select(F.col(N.PARENT).cast("long").alias("sweep_id"), N.KEY, N.ORDINAL, F.col(N.NAME).alias("grp"), get("kind", "string"), get("temperature", "double"))
@@ -103,6 +97,12 @@ _ELEMENTS_SQL = rf"""WITH q AS (SELECT sweep_id, regexp_replace(regexp_replace(p
  d AS (SELECT sweep_id, grp, list_name, idx, CASE WHEN json_type(z) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') OR (json_type(z) = 'VARCHAR' AND regexp_full_match(json_extract_string(z, '$'), '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*'))
  THEN TRY_CAST(json_extract_string(z, '$') AS DOUBLE) END AS value FROM e)"""
 
+_GROUPS_SQL = rf"""WITH q AS (SELECT sweep_id, regexp_replace(regexp_replace(payload, {_BARE}), {_BARE}) AS p FROM {_LAST.format("mpnn_scores", "sweep_id")}), v AS (SELECT sweep_id, CAST(p AS JSON) AS p FROM q WHERE p IS NOT NULL AND json_valid(p)),
+ gs AS (SELECT sweep_id, 'groups' AS place, json_extract(p, '$.groups') AS g FROM v UNION ALL SELECT sweep_id, 'result.groups' AS place, json_extract(p, '$.result.groups') AS g FROM v),
+ g AS (SELECT sweep_id, place, k AS grp, row_number() OVER (PARTITION BY sweep_id, place ORDER BY k) - 1 AS ordinal, json_extract(g, '$."' || k || '"') AS body FROM (SELECT sweep_id, place, g, unnest(json_keys(g)) AS k FROM gs WHERE json_type(g) = 'OBJECT')
+ UNION ALL SELECT sweep_id, place, json_extract_string(e, '$.name') AS grp, ordinal, e AS body FROM (SELECT sweep_id, place, unnest(range(CAST(json_array_length(g) AS BIGINT))) AS ordinal, unnest(CAST(g AS JSON[])) AS e FROM gs WHERE json_type(g) = 'ARRAY'))
+ SELECT sweep_id, sweep_id || '/' || place || '/' || ordinal AS row_key, CAST(ordinal AS INTEGER) AS ordinal, grp, json_extract_string(body, '$.kind') AS kind, TRY_CAST(json_extract_string(body, '$.temperature') AS DOUBLE) AS temperature FROM g"""
+
 _FIELD = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
 _CSV_ROW = f"{_FIELD}(?:,{_FIELD})*"
 _REASONS = f"""WITH k AS {_LAST.format("cm_fasta", "record_id")}, b AS (SELECT record_id, family, fmt, sequence AS s, CASE WHEN fmt = 'csv' THEN regexp_extract(sequence, '^({_FIELD}),({_FIELD})(?:\r\n|\r|\n)?$', 2) ELSE regexp_replace(sequence, '^[^\r\n]*', '') END AS body FROM k),
@@ -118,6 +118,7 @@ _OPTIONS_SQL = f"""WITH k AS {_LAST.format("model_npy", "model_id")}, h AS (SELE
 SQL: dict[str, str] = {
     "p1_found": f"{_ELEMENTS_SQL} SELECT sweep_id, grp, list_name, idx FROM d WHERE value IS NOT NULL AND isfinite(value)",
     "p1_elements": f"{_ELEMENTS_SQL} SELECT sweep_id, grp, list_name, idx, CASE WHEN isfinite(value) THEN value END AS value FROM d",
+    "p1_groups": _GROUPS_SQL,
     "p2_found": f"{_REASONS} SELECT record_id, reason FROM d WHERE reason IS NOT NULL",
     "p3_found": f"""{_OPTIONS_SQL}, l AS (SELECT model_id, lag(model_id) OVER (PARTITION BY series_id ORDER BY file_no) AS prev FROM k WHERE coalesce(options, options0, options1, n_states) IS NOT NULL),
  n AS (SELECT model_id, name, max(t1) AS t1, max(t0) AS t0, max(v1) AS v1, max(v0) AS v0 FROM (SELECT l.model_id, name, tag AS t1, NULL AS t0, v AS v1, NULL AS v0 FROM l JOIN y USING (model_id) WHERE prev IS NOT NULL

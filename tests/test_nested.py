@@ -45,6 +45,7 @@ PAYLOADS = [
     '{"result": {"groups": [{"name": "b", "scores": [], "chunks": [{"offset": 3, "scores": ["7"], "extra_residue_counts": [1, 2]}, {"offset": 0, "scores": [1, 2, 3]}]}]}}',
     '{"groups": null, "other": {"deep": [[1, 2], [3]]}}',
     '{"groups": {}}',
+    '{"groups": {"a": {"scores": [1]}, "a": {"scores": [2, " 3 "]}}, "result": {"groups": {"a": {"scores": ["4"]}}}}',
     '{"groups": {"a": {"name": "z", "scores": [0]}, "with \\"sign\\"": {"scores": [1]}}, "row_key": 5, "body": {"x": 1}}',
 ]
 
@@ -52,12 +53,9 @@ PAYLOADS = [
 def elements(spark, payloads):
     df = spark.createDataFrame(list(enumerate(payloads)), "sweep_id long, payload string")
     tables = N.flatten(df, "sweep_id", "payload", {"group": ["groups", "result.groups"]})
-    found = N.list_elements(tables, "group", LISTS)
-    if found is None:
-        return tables, {}
-    owner = tables["group"].selectExpr("row_key owner_key", "cast(parent_key as long) k", "entry_name grp")
+    found = N.list_elements(tables, "group", LISTS).selectExpr("cast(parent_key as long) k", "entry_name grp", "list_name", "idx", "text")
     out = {}
-    for r in found.join(owner, "owner_key").withColumn("v", N.finite()).where("v is not null").collect():
+    for r in found.withColumn("v", N.finite("text")).where("v is not null").collect():
         out.setdefault(r["k"], []).append((r["grp"], r["list_name"], r["idx"]))
     return tables, {k: sorted(v) for k, v in out.items()}
 
@@ -77,6 +75,25 @@ def test_tables_keep_parents_and_order(spark):
     assert tables[""].count() == len(PAYLOADS)
 
 
+def test_one_element_in_each_of_two_places_gives_two_rows(spark):
+    tables, got = elements(spark, ['{"groups": {"a": {"scores": [1]}}, "result": {"groups": {"a": {"scores": [2]}}}}'])
+    assert got == {0: [("a", "scores", 0)] * 2}
+    keys = [r["row_key"] for r in tables["group"].collect()]
+    assert len(set(keys)) == 2
+
+
+def test_every_level_of_arrays_has_its_table(spark):
+    deep = 0
+    for k in range(9):
+        deep = {f"l{9 - k}": [deep, None, 3]}
+    tables = N.flatten(spark.createDataFrame([(1, json.dumps(deep)), (2, '{"l1": 3}'), (3, "[[1], [[2]]]")], "k long, p string"), "k", "p")
+    names = [".".join(f"l{i}" for i in range(1, n + 1)) for n in range(1, 10)]
+    assert set(names) <= set(tables)
+    inner = tables[names[-1]].collect()
+    assert [r["ordinal"] for r in sorted(inner, key=lambda r: r["ordinal"])] == [0, 1, 2]
+    assert {r["parent_key"] for r in inner} <= {r["row_key"] for r in tables[names[-2]].collect()}
+
+
 def test_empty_table_and_clashing_columns(spark):
     tables, got = elements(spark, [])
     assert got == {} and tables[""].count() == 0
