@@ -69,40 +69,61 @@ def draw(seed: str | Column, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", seed, *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
 
 
+#: Rows of a group that one window ranks.
+ROWS_A_WINDOW = 100_000
+
+
+def ranked(rows: DataFrame, by: list[str], order: Column, key: str, rows_a_window: int | None = None) -> DataFrame:
+    """Rows with ``_r``, their rank from 1 by ``order`` (whole numbers) and ``key`` within their group, and ``_n``, the group's size.
+
+    A group is cut into ranges of ``order`` with about ``rows_a_window`` rows
+    each; the windows run within a range, and the ranges before it are
+    counted. Rows without a group or an order are left out.
+    """
+    x = rows.withColumn("_o", order)
+    n = x.groupBy(*by).agg(F.count("_o").alias("_n"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    ranges = F.ceil(F.col("_n") / (rows_a_window or ROWS_A_WINDOW))
+    at = (F.col("_o").cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)
+    x = x.where("_o is not null").join(n, by).withColumn("_b", F.least(F.floor(at * ranges), ranges - 1)).drop("_lo", "_hi")
+    counts = x.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    before = counts.select(*by, "_b", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_before"))
+    r = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_o", key)) + F.col("_before")
+    return x.join(before, [*by, "_b"]).withColumn("_r", r).drop("_o", "_b", "_before")
+
+
 def in_train(rows: DataFrame, share: float = 0.8, group: str = "family", key: str = "seq_id", seed: str = "split") -> DataFrame:
     """Rows with ``is_train``: exactly ``int(share * n)`` of each group, those with the least draws."""
-    w = Window.partitionBy(group).orderBy(draw(seed, key), key)
-    n = F.count("*").over(Window.partitionBy(group))
-    return rows.withColumn("is_train", F.row_number().over(w) <= F.floor(n * F.lit(share)))
+    x = ranked(rows, [group], draw(seed, key), key)
+    return x.withColumn("is_train", F.col("_r") <= F.floor(F.col("_n") * F.lit(share))).drop("_r", "_n")
 
 
 def subsample(rows: DataFrame, size: DataFrame, group: str, key: str = "seq_id", seed: str = "sample", on: list[str] | None = None) -> DataFrame:
     """``m`` rows of each group by the order of draws; ``size`` has ``m`` by the columns ``on``."""
-    w = Window.partitionBy(*(on or []), group).orderBy(draw(seed, key), key)
-    return rows.join(size, on or [group]).withColumn("_r", F.row_number().over(w)).where("_r <= m").drop("_r", "m")
+    x = ranked(rows, [*(on or []), group], draw(seed, key), key)
+    return x.join(size, on or [group]).where("_r <= m").drop("_r", "_n", "m")
 
 
 def shuffle_columns(rows: DataFrame, group: str = "family", key: str = "seq_id", states: str = "states", seed: str = "shuffle") -> DataFrame:
     """Long rows whose states are permuted within each column of each group: marginals stay, correlations go."""
     x = long(rows, group, key, states=states)
     by = [group, "pos"]
-    to = x.select(group, key, "pos", F.row_number().over(Window.partitionBy(*by).orderBy(key)).alias("r"))
-    of = x.select(group, "pos", "state", F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, "pos", key), key)).alias("r"))
-    return to.join(of, [*by, "r"]).select(group, key, "pos", "state")
+    to = ranked(x, by, F.col(key), key).select(group, key, "pos", "_r")
+    of = ranked(x, by, draw(seed, "pos", key), key).select(group, "pos", "state", "_r")
+    return to.join(of, [*by, "_r"]).select(group, key, "pos", "state")
 
 
 def batches(rows: DataFrame, size: int, group: str = "family", key: str = "seq_id", seed: str = "batch") -> DataFrame:
     """Rows with ``batch``: chunks of ``size`` in the order of draws, the last one may be short."""
-    w = Window.partitionBy(group).orderBy(draw(seed, key), key)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    x = ranked(rows, [group], draw(seed, key), key)
+    return x.withColumn("batch", F.floor((F.col("_r") - 1) / size).cast("int")).drop("_r", "_n")
 
 
 def bootstrap(rows: DataFrame, n: int, group: str = "family", key: str = "seq_id", seed: str = "boot") -> DataFrame:
     """``n`` draws of rows with replacement from each group: group, rep, key."""
-    index = rows.select(group, key, (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("_i"))
+    index = ranked(rows.select(group, key), [group], F.col(key), key).select(group, key, (F.col("_r") - 1).alias("_i"))
     total = rows.groupBy(group).agg(F.count("*").alias("_n"))
     reps = total.select(group, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    picks = reps.withColumn("_i", (draw(seed, group, "rep") % F.col("_n")).cast("int"))
+    picks = reps.withColumn("_i", draw(seed, group, "rep") % F.col("_n"))
     return picks.join(index, [group, "_i"]).select(group, "rep", key)
 
 

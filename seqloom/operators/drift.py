@@ -1,8 +1,10 @@
 """Options that drift from file to file: one consistent table and a report of each change.
 
-The options of all holders are fused by tagged-union inference: a path (the
-option's name) keeps every type it was seen with, a value goes into the
-branch of its own type, and beside the branches stands one canonical value.
+The options of all holders are fused by tagged-union inference: a path keeps
+every type it was seen with (its alternatives), a value goes into the branch
+of its own type, and beside the branches stands one canonical value. Files are
+compared by fusing each with its predecessor: a path that only one of them has
+came or went, one with two alternatives was retyped.
 """
 
 from __future__ import annotations
@@ -12,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.nested import NUMBER
+from seqloom.operators.nested import NUMBER, allow_duplicate_keys
 
 BRANCHES = ("boolean", "number", "string", "array", "object")
 
 
-def _tag(value: str) -> Column:
-    kind = F.schema_of_variant(F.col(value))
+def _tag(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
     return (
         F.when(kind == "VOID", "null")
         .when(kind == "BOOLEAN", "boolean")
@@ -33,32 +35,84 @@ def _json(holder: str) -> Column:
     return F.from_json(F.col(holder), "variant", {"allowSingleQuotes": "false"})
 
 
-def options(files: DataFrame, key: str, holders: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
-    """One row for each option of each file: key, name, tag (its JSON type), value (canonical JSON text).
+def entries(holders: Sequence[str], named: Sequence[str] = ()) -> Column:
+    """The options of a file as an array of (name, tag, value): the JSON type and the canonical JSON text.
 
     ``holders`` are columns with JSON objects; each column in ``named`` holds
     the value of the one option it is named after. Where an option sits in
-    several holders the values agree, and one is kept. Holders that are null
-    or no JSON object give nothing.
+    several holders the values agree, and the first is kept. Holders that are
+    null or no JSON object give nothing.
     """
-    spark = files.sparkSession
+    none = F.array().cast("array<struct<name:string,tag:string,value:string>>")
+    one = lambda name, v: F.struct(name.alias("name"), _tag(v).alias("tag"), F.to_json(v).alias("value"))
     parts = []
-    if holders:
-        whole = files.select(key, F.explode(F.array(*[_json(h) for h in holders])).alias("_h"))
-        whole = whole.where(F.schema_of_variant("_h").startswith("OBJECT"))
-        parts.append(whole.lateralJoin(spark.tvf.variant_explode(F.col("_h").outer())).select(key, F.col("key").alias("name"), F.col("value").alias("_v")))
+    for h in holders:
+        each = F.map_entries(F.try_variant_get(_json(h), "$", "map<string,variant>"))
+        parts.append(F.coalesce(F.transform(each, lambda e: one(e["key"], F.coalesce(e["value"], F.parse_json(F.lit("null"))))), none))
     for h in named:
-        parts.append(files.where(F.col(h).isNotNull()).select(key, F.lit(h).alias("name"), _json(h).alias("_v")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where(F.col("_v").isNotNull())
-    return out.select(key, "name", _tag("_v").alias("tag"), F.to_json("_v").alias("value"))
+        v = _json(h)
+        parts.append(F.when(v.isNotNull(), F.array(one(F.lit(h), v))).otherwise(none))
+    return F.concat(none, *parts)
+
+
+def _once(opts: Column) -> Column:
+    """Of the entries with the same name the first."""
+    names = F.transform(opts, lambda o: o["name"])
+    first = F.filter(opts, lambda o, i: F.array_position(names, o["name"]) == i + 1)
+    return F.when(F.size(F.array_distinct(names)) < F.size(opts), first).otherwise(opts)
+
+
+def with_entries(files: DataFrame, holders: Sequence[str], named: Sequence[str], *keep: Column | str) -> DataFrame:
+    """``keep`` and ``opts``, the file's ``entries``, each name once; the holders are parsed once."""
+    allow_duplicate_keys(files)
+    return files.select(*keep, entries(holders, named).alias("_all")).select("*", _once(F.col("_all")).alias("opts")).drop("_all")
 
 
-def fused_schema(opts: DataFrame) -> DataFrame:
-    """The tagged union of each name: the types it was seen with, each with its number of values."""
-    return opts.groupBy("name").agg(
+def options(files: DataFrame, key: str, holders: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
+    """One row for each option of each file: key, name, tag (its JSON type), value (canonical JSON text)."""
+    return with_entries(files, holders, named, key).select(key, F.inline("opts"))
+
+
+def paths(opts: DataFrame) -> DataFrame:
+    """``opts`` with ``path`` and the tag of each value however deep it lies: ``name``, ``name.key`` and ``name[]`` for elements.
+
+    A deeper level is looked for as long as any value has one; a check of
+    that runs one job a level.
+    """
+    keep = [c for c in opts.columns if c not in ("name", "tag", "value")]
+    level = opts.select(*keep, F.col("name").alias("path"), "tag", "value")
+    out = level
+    while True:
+        v = F.try_parse_json("value")
+        inner = F.when(
+            F.col("tag") == "object",
+            F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("p"), e["value"].alias("v"))),
+        ).when(F.col("tag") == "array", F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit("[]").alias("p"), e.alias("v"))))
+        below = level.where("tag in ('object', 'array')").select(*keep, "path", F.explode(inner).alias("_e"))
+        value = F.coalesce("_e.v", F.parse_json(F.lit("null")))
+        level = below.select(*keep, F.concat("path", "_e.p").alias("path"), _tag(value).alias("tag"), F.to_json(value).alias("value"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def alternatives(files: DataFrame, key: str, series: str, order: str, holders: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
+    """The tagged union of each path of each series: each type that it was seen with, in how many files, and the first of these.
+
+    Result: series, path, tag, n_files, first_file (the key of the file
+    with the least order number) and appeared: whether the path had been
+    seen with another type before, so that this is a new alternative.
+    """
+    there = files.where(F.col(series).isNotNull() & F.col(order).isNotNull())
+    opts = with_entries(there, holders, named, key, series, order).select(key, series, order, F.inline("opts"))
+    seen = paths(opts).groupBy(series, "path", "tag").agg(F.countDistinct(key).alias("n_files"), F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("first"))
+    begun = F.min("first.o").over(Window.partitionBy(series, "path"))
+    return seen.select(series, "path", "tag", "n_files", F.col("first.k").alias("first_file"), (F.col("first.o") > begun).alias("appeared"))
+
+
+def fused_schema(opts: DataFrame, name: str = "name") -> DataFrame:
+    """The tagged union of each name or path: the types it was seen with, each with its number of values."""
+    return opts.groupBy(name).agg(
         *[F.count(F.when(F.col("tag") == t, 1)).alias(f"n_{t}") for t in (*BRANCHES, "null")],
         F.count("*").alias("n_values"),
     )
@@ -88,54 +142,63 @@ def branched(opts: DataFrame) -> DataFrame:
     )
 
 
-def previous_file(files: DataFrame, key: str, series: str, order: str, block: int = 4096) -> DataFrame:
-    """Key and predecessor's key of each file that has one in its series.
+def with_previous(files: DataFrame, series: str, order: str, key: str, value: str, block: int = 4096) -> DataFrame:
+    """``key``, ``value`` and ``previous``: the value of the file before it in its series, for files that have one.
 
     A series may hold a third of all files, so it is cut into blocks of
     ``block`` order numbers: a window runs within each block, and another one
     over one row a block finds the predecessor of each block's first file.
     """
-    f = files.select(F.col(series).alias("_s"), F.col(order).alias("_o"), F.col(key).alias("_k")).withColumn("_b", F.floor(F.col("_o") / block))
+    f = files.select(F.col(series).alias("_s"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_o") / block))
+    w = Window.partitionBy("_s", "_b").orderBy("_o", "_k")
+    within = f.select("_s", "_b", "_k", "_v", F.lag("_v").over(w).alias("_p"), F.row_number().over(w).alias("_r"))
     at = F.struct("_o", "_k")
-    within = f.withColumn("_p", F.lag("_k").over(Window.partitionBy("_s", "_b").orderBy("_o", "_k")))
-    blocks = f.groupBy("_s", "_b").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    heads = blocks.select(F.col("_first._k").alias("_k"), F.lag("_last._k").over(Window.partitionBy("_s").orderBy("_b")).alias("_p"))
-    out = within.select("_k", "_p").where("_p is not null").unionByName(heads.where("_p is not null"))
-    return out.select(F.col("_k").alias(key), F.col("_p").alias("previous"))
-
-
-def changes(opts: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    # values are not null, so a missing predecessor shows as null
+    last = f.groupBy("_s", "_b").agg(F.max_by("_v", at).alias("_last"))
+    heads = last.select("_s", "_b", F.lag("_last").over(Window.partitionBy("_s").orderBy("_b")).alias("_q")).where("_q is not null")
+    first = within.where("_r = 1").join(heads, ["_s", "_b"]).select("_k", "_v", F.col("_q").alias("_p"))
+    out = within.where("_r > 1").select("_k", "_v", "_p").unionByName(first)
+    return out.select(F.col("_k").alias(key), F.col("_v").alias(value), F.col("_p").alias("previous"))
+
+
+def _fused(early: str, late: str) -> tuple[Column, Column, Column]:
+    """Two files' options fused: those that only the early, only the late one has, and the names with two alternatives."""
+    name = lambda o: o["name"]
+    typed = lambda o: F.concat(o["tag"], F.lit("/"), o["name"])
+    only = lambda a, b: F.array_except(F.transform(a, name), F.transform(b, name))
+    some = lambda a, names: F.when(F.size(names) == 0, F.filter(a, lambda o: F.lit(False))).otherwise(F.filter(a, lambda o: F.array_contains(names, o["name"])))
+    full = lambda a: F.filter(a, lambda o: o["tag"] != "null")
+    other = F.array_except(F.transform(full(late), typed), F.transform(full(early), typed))
+    names = F.transform(full(early), name)
+    retyped = F.filter(F.transform(other, lambda t: F.substr(t, F.instr(t, "/") + 1)), lambda n: F.array_contains(names, n))
+    return some(early, only(early, late)), some(late, only(late, early)), retyped
+
+
+def changes(pairs: DataFrame, key: str) -> DataFrame:
     """What each file added, removed, renamed or retyped against its predecessor.
 
-    Result: key, old_name, new_name, change. Where several names that went
-    and several that came share one value, they are paired in the order of
-    their names and the rest count as removed and added.
+    ``pairs`` has key, ``opts`` and ``previous``: arrays of (name, tag, h1,
+    h2), the latter being hashes of the value. Result: key, old_name,
+    new_name, change. Where several names that went and several that came
+    share one value, they are paired in the order of their names and the rest
+    count as removed and added; a null value pairs with none.
     """
-    late = links.join(opts, key).select(F.col(key), "name", F.lit(1).alias("side"), "tag", "value")
-    early = links.join(opts.withColumnRenamed(key, "previous"), "previous").select(F.col(key), "name", F.lit(0).alias("side"), "tag", "value")
-    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    # both groupings below find their rows together, as all rows of a file are
-    both = late.unionByName(early).repartition(key)
-    names = both.groupBy(key, "name").agg(at(0, "tag").alias("t0"), at(1, "tag").alias("t1"), at(0, "value").alias("v0"), at(1, "value").alias("v1"))
-    differ = names.where("t0 is null or t1 is null or (t0 <> t1 and t0 <> 'null' and t1 <> 'null')")
-    moved = F.col("t0").isNull() | F.col("t1").isNull()
-    value = F.when(F.coalesce("t0", "t1") != "null", F.coalesce("v0", "v1"))
-    # a null value never pairs: its name stands for it
-    differ = differ.withColumn("_v", F.when(moved, F.coalesce(F.concat(F.lit("v"), value), F.concat(F.lit("n"), "name"))).otherwise(F.concat(F.lit("r"), "name")))
-    grouped = differ.groupBy(key, "_v").agg(
-        F.sort_array(F.collect_list(F.when(F.col("t1").isNull(), F.col("name")))).alias("gone"),
-        F.sort_array(F.collect_list(F.when(F.col("t0").isNull(), F.col("name")))).alias("come"),
-        F.collect_list(F.when(~moved, F.col("name"))).alias("kept"),
-    )
-    # of an option that came and went with a null value, gone and come never meet, as their names differ
-    pair = lambda g, c: F.struct(
-        F.coalesce(g, F.lit("")).alias("old_name"),
-        F.coalesce(c, F.lit("")).alias("new_name"),
-        F.when(g.isNull(), "added").when(c.isNull(), "removed").otherwise("renamed").alias("change"),
-    )
-    pairs = F.zip_with("gone", "come", pair)
-    kept = F.transform("kept", lambda n: F.struct(n.alias("old_name"), n.alias("new_name"), F.lit("retyped").alias("change")))
-    return grouped.select(key, F.explode(F.concat(pairs, kept)).alias("_c")).select(key, "_c.*")
+    gone, come, retyped = _fused("previous", "opts")
+    p = pairs.select(key, F.sort_array(gone).alias("gone"), F.sort_array(come).alias("come"), retyped.alias("retyped"))
+    p = p.where((F.size("gone") > 0) | (F.size("come") > 0) | (F.size("retyped") > 0))
+    same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"]) & (x["tag"] == y["tag"]) & (x["tag"] != "null")
+
+    def partner(o: Column, own: str, others: str) -> Column:
+        """The name on the other side that is as far on among those of this value."""
+        before = F.size(F.filter(own, lambda x: same(x, o) & (x["name"] < o["name"])))
+        return F.get(F.filter(others, lambda x: same(x, o)), before)["name"]
+
+    row = lambda a, b, c: F.struct(a.alias("old_name"), b.alias("new_name"), F.lit(c).alias("change"))
+    blank = F.lit("")
+    left = F.transform("gone", lambda o: F.when(partner(o, "gone", "come").isNull(), row(o["name"], blank, "removed")).otherwise(row(o["name"], partner(o, "gone", "come"), "renamed")))
+    right = F.filter(F.transform("come", lambda o: F.when(partner(o, "come", "gone").isNull(), row(blank, o["name"], "added"))), lambda c: c.isNotNull())
+    kept = F.transform("retyped", lambda n: row(n, n, "retyped"))
+    return p.select(key, F.explode(F.concat(left, right, kept)).alias("_c")).select(key, "_c.*")
 
 
 def drift(files: DataFrame, key: str, series: str, order: str, holders: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
@@ -144,8 +207,11 @@ def drift(files: DataFrame, key: str, series: str, order: str, holders: Sequence
     ``files`` has one row a key. Files whose holders are all null are passed
     over; the first file of a series reports nothing. Files without a series
     or an order number are in no series. Holders that are no JSON object
-    count as holders without options. Other columns are not used.
+    count as holders without options. Other columns are not used. A file is
+    shuffled once, with 128-bit hashes in place of its values.
     """
     held = F.coalesce(*[F.col(h) for h in (*holders, *named)]).isNotNull()
     there = files.where(held & F.col(series).isNotNull() & F.col(order).isNotNull())
-    return changes(options(there, key, holders, named), previous_file(there, key, series, order), key)
+    brief = lambda o: F.struct(o["name"].alias("name"), o["tag"].alias("tag"), F.xxhash64(o["value"]).alias("h1"), F.xxhash64(F.lit(7), o["value"]).alias("h2"))
+    opts = with_entries(there, holders, named, key, series, order).select(key, series, order, F.transform("opts", brief).alias("opts"))
+    return changes(with_previous(opts, series, order, key, "opts"), key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import drift as D
 from seqloom.operators import nested as N
 from seqloom.session import last_delivery, table
-from seqloom.sources.records import load_records
+from seqloom.sources.records import load_records, recovered_records, syntax_errors
 
 GROUPS = {"group": ["groups", "result.groups"]}
 LISTS = ["scores", "extra_residue_counts"]
@@ -46,9 +46,12 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col(N.PARENT).cast("long").alias("sweep_id"), N.KEY, N.ORDINAL, F.col(N.NAME).alias("grp"), get("kind", "string"), get("temperature", "double"))
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_delivery(table(spark, sf_dir, "cm_fasta"), "record_id", keep=["family", "fmt", "sequence"])
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = last_delivery(table(spark, sf_dir, "cm_fasta"), "record_id", keep=["family", "fmt", "sequence"])
-    return load_records(raw, table(spark, sf_dir, "families"))
+    return load_records(_raw(spark, sf_dir), table(spark, sf_dir, "families"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,16 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where("reason is null").select("record_id", "family", "header", "states")
 
 
+def p2_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every syntax error with its place."""
+    return syntax_errors(_raw(spark, sf_dir))
+
+
+def p2_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that can be read in texts with errors."""
+    return recovered_records(_raw(spark, sf_dir))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_delivery(table(spark, sf_dir, "model_npy"), "model_id", keep=["series_id", "file_no", *HOLDERS, *NAMED])
 
@@ -72,17 +85,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All options in one consistent table, each value in the branch of its type."""
-    opts = D.options(_files(spark, sf_dir), "model_id", HOLDERS, NAMED).dropDuplicates(["model_id", "name"])
+    opts = D.options(_files(spark, sf_dir), "model_id", HOLDERS, NAMED)
     return D.branched(opts)
 
 
 def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tagged union of each option's types."""
-    opts = D.options(_files(spark, sf_dir), "model_id", HOLDERS, NAMED).dropDuplicates(["model_id", "name"])
+    opts = D.options(_files(spark, sf_dir), "model_id", HOLDERS, NAMED)
     return D.fused_schema(opts)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_elements, p1_groups, p2_found, p2_loaded, p3_found, p3_options, p3_types)}
+def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged union of each path's types, however deep it lies."""
+    return D.fused_schema(D.paths(D.options(_files(spark, sf_dir), "model_id", HOLDERS, NAMED)), "path")
+
+
+def p3_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type of each path of each series, and the file in which it first appeared."""
+    return D.alternatives(_files(spark, sf_dir), "model_id", "series_id", "file_no", HOLDERS, NAMED)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_elements, p1_groups, p2_found, p2_loaded, p2_errors, p2_recovered, p3_found, p3_options, p3_types, p3_paths, p3_alternatives)}
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY loaded_at DESC) AS rn FROM {0}) WHERE rn = 1)"
 
 # DuckDB reads no bare NaN or Infinity; as neither counts, null stands for them
@@ -111,6 +134,10 @@ _REASONS = f"""WITH k AS {_LAST.format("cm_fasta", "record_id")}, b AS (SELECT r
  regexp_replace(CASE WHEN body LIKE '"%' THEN replace(substr(body, 2, length(body) - 2), '""', '"') ELSE body END, '[\r\n \t]', '', 'g') AS q FROM b),
  d AS (SELECT record_id, c.family, CASE WHEN syntax IS NOT NULL THEN syntax WHEN c.q = '' THEN 'empty' WHEN NOT regexp_full_match(c.q, '[ACDEFGHIKLMNPQRSTVWY-]+') THEN 'symbol' WHEN length(c.q) IS DISTINCT FROM n_cols THEN 'length' END AS reason FROM c LEFT JOIN families f ON f.family = c.family)"""
 
+_HEADER = r"""CASE WHEN c.fmt <> 'csv' THEN substr(regexp_extract(c.s, '^[^\r\n]*'), 2) WHEN c.s LIKE '"%' THEN replace(regexp_extract(c.s, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE regexp_extract(c.s, '^[^,]*') END AS header"""
+_LOADED_SQL = _REASONS.replace("SELECT record_id, c.family, CASE", f"SELECT record_id, c.family, c.q, {_HEADER}, CASE") + """
+ SELECT record_id, family, header, list_transform(string_split(q, ''), lambda z: CAST(instr('-ACDEFGHIKLMNPQRSTVWY', z) - 1 AS INTEGER)) AS states FROM d WHERE reason IS NULL"""
+
 _OPTIONS_SQL = f"""WITH k AS {_LAST.format("model_npy", "model_id")}, h AS (SELECT model_id, unnest([options, options0, options1]) AS h FROM k), o AS (SELECT model_id, name, any_value(v) AS v FROM
  (SELECT model_id, name, CAST(json(json_extract(h, '$."' || name || '"')) AS VARCHAR) AS v FROM (SELECT model_id, h, unnest(json_keys(h)) AS name FROM h WHERE h IS NOT NULL) UNION ALL SELECT model_id, 'n_states' AS name, CAST(json(n_states) AS VARCHAR) AS v FROM k WHERE n_states IS NOT NULL) GROUP BY ALL),
  y AS (SELECT *, CASE json_type(CAST(v AS JSON)) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS tag FROM o)"""
@@ -120,6 +147,7 @@ SQL: dict[str, str] = {
     "p1_elements": f"{_ELEMENTS_SQL} SELECT sweep_id, grp, list_name, idx, CASE WHEN isfinite(value) THEN value END AS value FROM d",
     "p1_groups": _GROUPS_SQL,
     "p2_found": f"{_REASONS} SELECT record_id, reason FROM d WHERE reason IS NOT NULL",
+    "p2_loaded": _LOADED_SQL,
     "p3_found": f"""{_OPTIONS_SQL}, l AS (SELECT model_id, lag(model_id) OVER (PARTITION BY series_id ORDER BY file_no) AS prev FROM k WHERE coalesce(options, options0, options1, n_states) IS NOT NULL),
  n AS (SELECT model_id, name, max(t1) AS t1, max(t0) AS t0, max(v1) AS v1, max(v0) AS v0 FROM (SELECT l.model_id, name, tag AS t1, NULL AS t0, v AS v1, NULL AS v0 FROM l JOIN y USING (model_id) WHERE prev IS NOT NULL
  UNION ALL SELECT l.model_id, name, NULL AS t1, tag AS t0, NULL AS v1, v AS v0 FROM l JOIN y ON y.model_id = l.prev) GROUP BY ALL),

@@ -162,6 +162,50 @@ def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield out
 
 
+_PARTS = T.StructType(
+    [
+        T.StructField("records", T.ArrayType(T.StructType([T.StructField("header", T.StringType()), T.StructField("body", T.StringType())]))),
+        T.StructField("errors", T.ArrayType(T.StructType([T.StructField("reason", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("at", T.IntegerType())]))),
+    ]
+)
+
+
+@F.pandas_udf(_PARTS)
+def parts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """All records and all located errors of Arrow batches of text and format."""
+    for texts, fmts in batches:
+        out: dict[str, list] = {"records": [], "errors": []}
+        for text, fmt in zip(texts, fmts, strict=True):
+            text = text or ""
+            records, errors = parse_csv(text) if fmt == "csv" else parse_fasta(text)
+            out["records"].append([{"header": h, "body": b} for h, b in records])
+            out["errors"].append([{"reason": r, "line": 1 + len(_EOL.findall(text, 0, at)), "at": at} for r, at in errors])
+        yield pd.DataFrame(out)
+
+
+def syntax_errors(raw: DataFrame, key: str = "record_id", text: str = "sequence", fmt: str = "fmt") -> DataFrame:
+    """key, reason, error_line (from 1) and error_at (offset from 0) of every syntax error; a text may have several.
+
+    A null text has the error of an empty one. Other columns are not used.
+    """
+    p = raw.select(F.col(key), F.explode(parts_of(F.col(text), F.col(fmt))["errors"]).alias("_e"))
+    return p.select(key, F.col("_e.reason").alias("reason"), F.col("_e.line").alias("error_line"), F.col("_e.at").alias("error_at"))
+
+
+def recovered_records(raw: DataFrame, key: str = "record_id", text: str = "sequence", fmt: str = "fmt") -> DataFrame:
+    """key, part, header, sequence_text and states of the records that can be read in texts that have syntax errors or hold several.
+
+    ``part`` counts the text's records from 0; states are null where a
+    letter is outside the alphabet. Texts that are one record without an
+    error are not among them (``load_records`` loads these).
+    """
+    p = raw.select(F.col(key), parts_of(F.col(text), F.col(fmt)).alias("_p")).where((F.size("_p.errors") > 0) | (F.size("_p.records") > 1))
+    p = p.select(key, F.posexplode("_p.records").alias("part", "_r")).select(key, "part", F.col("_r.header").alias("header"), F.translate("_r.body", "\r\n \t", "").alias("sequence_text"))
+    states = F.transform(F.split("sequence_text", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    fits = (F.col("sequence_text") != "") & (F.translate("sequence_text", ALPHABET, "") == "")
+    return p.withColumn("states", F.when(fits, states))
+
+
 def load_records(raw: DataFrame, families: DataFrame, key: str = "record_id", text: str = "sequence", fmt: str = "fmt", family: str = "family", n_cols: str = "n_cols") -> DataFrame:
     """Every record with its header, its states or the reason why it can't be loaded.
 

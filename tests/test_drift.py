@@ -58,11 +58,21 @@ def test_changes_equal_brute_force(spark):
 
 
 def test_previous_file_over_blocks(spark):
-    rows = [(k, 1, n) for k, n in enumerate([0, 3, 4, 9, 31, 32, 33, 100, 101])]
-    df = spark.createDataFrame(rows, "k long, s long, n int")
+    rows = [(k, 1, n, [k]) for k, n in enumerate([0, 3, 4, 9, 31, 32, 33, 100, 101])]
+    df = spark.createDataFrame(rows, "k long, s long, n int, v array<int>")
     for block in (1, 4, 10, 4096):
-        got = {r["k"]: r["previous"] for r in D.previous_file(df, "k", "s", "n", block).collect()}
-        assert got == {k: k - 1 for k in range(1, len(rows))}
+        got = {r["k"]: r["previous"] for r in D.with_previous(df, "s", "n", "k", "v", block).collect()}
+        assert got == {k: [k - 1] for k in range(1, len(rows))}
+
+
+def test_alternatives_of_nested_paths(spark):
+    files = [(1, 1, 1, '{"a": {"b": [1, {"c": null}]}}', None), (2, 1, 2, '{"a": {"b": ["x"], "d": 1}}', None), (3, 1, 5, '{"a": 3, "a": {"d": true}}', None), (4, None, 1, '{"z": 1}', None)]
+    df = spark.createDataFrame(files, "k long, s long, n int, options string, q string")
+    got = {(r["path"], r["tag"]): (r["n_files"], r["first_file"], r["appeared"]) for r in D.alternatives(df, "k", "s", "n", ["options"], ["q"]).collect()}
+    assert got == {
+        ("a", "object"): (3, 1, False), ("a.b", "array"): (2, 1, False), ("a.b[]", "number"): (1, 1, False), ("a.b[]", "object"): (1, 1, False), ("a.b[].c", "null"): (1, 1, False),
+        ("a.b[]", "string"): (1, 2, True), ("a.d", "number"): (1, 2, False), ("a.d", "boolean"): (1, 3, True),
+    }
 
 
 def test_branches_and_canonical_values(spark):

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from seqloom.sources import records as R
 from seqloom.sources.records import load_records, parse, parse_csv, parse_fasta
 
 CASES = [
@@ -74,3 +75,18 @@ def test_written_csv_is_read_back(rows):
 def test_long_texts(n):
     assert parse(">h\n" + "A" * n, "fasta")[1] == "A" * n
     assert parse('x,"' + "A\n" * n, "csv")[2] == "quoting"
+
+
+def test_all_errors_are_located_and_records_behind_them_recovered(spark):
+    text = 'a,AC\n"b,CD\nc,DE"x\nd,EF\n"e"f,GH\ng,HI\n'
+    rows = [(1, text, "csv"), (2, "x,AC", "csv"), (3, None, "csv"), (4, ">h\nAC\n>i\nxx", "fasta"), (5, ">j\nAC", "fasta"), (6, "AC\n>k\nCD", "fasta")]
+    raw = spark.createDataFrame(rows, "record_id long, sequence string, fmt string")
+    errors = sorted(tuple(r) for r in R.syntax_errors(raw).collect())
+    assert [(e[0], e[1], e[2]) for e in errors] == [(1, "quoting", 3), (1, "quoting", 5), (3, "columns", 1), (6, "header", 1)]
+    for k, _, line, at in errors:
+        whole = dict((r[0], r[1]) for r in rows)[k] or ""
+        assert line == 1 + whole[:at].count("\n")
+    got = {(r["record_id"], r["header"]): r["states"] for r in R.recovered_records(raw).collect()}
+    assert {(1, "a"), (1, "d"), (1, "g"), (4, "h"), (4, "i"), (6, "k")} <= set(got) and not {k for k, _ in got} & {2, 3, 5}
+    assert got[(1, "d")] == [4, 5] and got[(4, "i")] is None
+    assert R.syntax_errors(raw.limit(0)).count() == 0 and R.recovered_records(raw.limit(0)).count() == 0
