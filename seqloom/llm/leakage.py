@@ -15,6 +15,7 @@ word.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from zlib import crc32
 
@@ -203,38 +204,65 @@ def best_stretch(passage: Sequence[str], text: Sequence[str]) -> tuple[int, int]
     return best
 
 
+#: Queries of the blocks of items that a worker has made ready, the last ones used.
+_READY: dict[str, Queries] = {}
+MOST_READY = 2
+
+
+def _ready(name: str, block: Sequence[str]) -> Queries:
+    if name not in _READY:
+        while len(_READY) >= MOST_READY:
+            _READY.pop(next(iter(_READY)))
+        _READY[name] = Queries(block)
+    return _READY[name]
+
+
+def _ids(ws: Sequence[str]) -> np.ndarray:
+    return np.fromiter((crc32(w.encode()) for w in ws), np.uint64, len(ws))
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """Documents with test material: doc_id, item_id, words and errors of the longest stretch found.
 
-    All documents are searched whole; ``items`` is the stated set of queries
-    and is worked on in blocks. Items that share a passage are each reported.
-    Null texts and passages, and passages of under 12 words, have no cases;
-    null ids are kept as they are. Of a document that comes twice, each row
-    is reported. Other columns are not used. Empty tables give no rows.
+    All documents are searched whole; ``items`` is the stated set of queries,
+    sent to the tasks in blocks of ``ITEM_BLOCK``. A document is read and
+    hashed once, whatever the number of blocks. Items that share a passage
+    are each reported. Null texts and passages, and passages of under 12
+    words, have no cases; null ids are kept as they are. Of a document that
+    comes twice, each row is reported. Other columns are not used. Empty
+    tables give no rows.
     """
     spark = documents.sparkSession
-    rows = items.where(F.col(passage).isNotNull()).select(item_id, passage).orderBy(item_id).toPandas()
-    texts = rows[passage].drop_duplicates().tolist()
+    passages = items.where(F.col(passage).isNotNull()).select(F.col(passage).alias("p")).distinct().orderBy("p")
+    blocks, block = [], []
+    name = uuid.uuid4().hex
+
+    def send() -> None:
+        blocks.append((f"{name}-{len(blocks)}", spark.sparkContext.broadcast(list(block))))
+        block.clear()
+
+    for r in passages.toLocalIterator():
+        block.append(r["p"])
+        if len(block) == ITEM_BLOCK:
+            send()
+    if block:
+        send()
     schema = documents.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("passage"), F.lit(0).alias("n_words"), F.lit(0).alias("n_errors")).schema
-    out = None
-    for b in range(0, max(len(texts), 1), ITEM_BLOCK):
-        block = spark.sparkContext.broadcast(texts[b : b + ITEM_BLOCK])
-
-        def search(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            queries = Queries(block.value)
-            for f in frames:
-                found = []
-                for d, t in zip(f[doc_id], f[text], strict=True):
-                    if not t:
-                        continue
-                    ws = words(t)
-                    ids = np.fromiter((crc32(w.encode()) for w in ws), np.uint64, len(ws))
-                    for item, segments in queries.candidates(ids).items():
-                        if hit := queries.stretch(item, ids, ws, segments):
-                            found.append((d, block.value[item], *hit))
-                yield pd.DataFrame(found, columns=["doc_id", "passage", "n_words", "n_errors"]).astype({"n_words": "int32", "n_errors": "int32"})
-
-        part = documents.select(doc_id, text).mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            hashed = [_ids(words(t)) if t else None for t in f[text]]
+            for key, texts in blocks:
+                queries = _ready(key, texts.value)
+                for d, t, ids in zip(f[doc_id], f[text], hashed, strict=True):
+                    near = queries.candidates(ids) if ids is not None else None
+                    if near:
+                        ws = words(t)
+                        for item, segments in near.items():
+                            if hit := queries.stretch(item, ids, ws, segments):
+                                found.append((d, texts.value[item], *hit))
+            yield pd.DataFrame(found, columns=["doc_id", "passage", "n_words", "n_errors"]).astype({"n_words": "int32", "n_errors": "int32"})
+
     named = items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage"))
-    return out.join(named, "passage").select("doc_id", "item_id", "n_words", "n_errors")
+    return documents.select(doc_id, text).mapInPandas(search, schema).join(named, "passage").select("doc_id", "item_id", "n_words", "n_errors")

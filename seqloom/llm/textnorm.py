@@ -37,8 +37,39 @@ def _closed(text: str, at: int) -> int:
     return -1
 
 
-def expand_macros(text: str, rounds: int = 6) -> str:
-    """Own macros written out and their definitions removed; one that is cut off, or grows without end, stays."""
+#: Characters that a text may at least grow to when its macros are written out, and how many times its own length.
+MOST_CHARS, MOST_TIMES = 20_000_000, 64
+
+
+def _endless(macros: dict[str, tuple[int, str]]) -> set[str]:
+    """Macros that come to themselves again when they are written out."""
+    uses = {k: {m for m in re.findall(r"\\([A-Za-z@]+)", body) if m in macros} for k, (_, body) in macros.items()}
+    left = dict(uses)
+    while free := [k for k, v in left.items() if not v & left.keys()]:
+        for k in free:
+            del left[k]
+    # what is left reaches a circle; those in one come to themselves
+    out = set()
+    for k in left:
+        seen, todo = set(), list(left[k] & left.keys())
+        while todo:
+            m = todo.pop()
+            if m not in seen:
+                seen.add(m)
+                todo += left[m] & left.keys()
+        if k in seen:
+            out.add(k)
+    return out
+
+
+def expand_macros(text: str) -> str:
+    """Own macros written out, however deep they lie in one another, and their definitions removed.
+
+    A macro that is cut off or comes to itself again stays as it is. Only
+    where the text would grow beyond ``MOST_CHARS`` and ``MOST_TIMES`` its
+    length (a few macros that double each other do that), what is not yet
+    written out stays.
+    """
     macros: dict[str, tuple[int, str]] = {}
     parts, at = [], 0
     for m in _DEF.finditer(text):
@@ -51,12 +82,14 @@ def expand_macros(text: str, rounds: int = 6) -> str:
         macros[m[1] or m[2]] = (n, text[m.end() : end - 1])
         parts.append(text[at : m.start()])
         at = end
+    for k in _endless(macros):
+        del macros[k]
     if not macros:
-        return text
+        return "".join(parts) + text[at:] if parts else text
     text = "".join(parts) + text[at:]
     use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])")
-    most = 4 * len(text) + 100_000
-    for _ in range(rounds):
+    most = max(MOST_TIMES * len(text), MOST_CHARS)
+    while len(text) <= most:
         out, at = [], 0
         for m in use.finditer(text):
             if m.start() < at:
@@ -82,8 +115,6 @@ def expand_macros(text: str, rounds: int = 6) -> str:
         if not out:
             break
         text = "".join(out) + text[at:]
-        if len(text) > most:
-            break
     return text
 
 

@@ -115,3 +115,26 @@ def test_fewest_errors_among_stretches_of_a_length():
     passage = W[:26]
     text = [*W[:6], "other", *W[7:12], *W[300:310], *W[14:26]]
     assert L.best_stretch(passage, text) == (12, 0)
+
+
+def test_macros_are_written_out_however_deep_and_endless_ones_stay():
+    from seqloom.llm.textnorm import expand_macros, words
+
+    chain = "".join(f"\\newcommand{{\\m{chr(97 + k)}}}{{\\m{chr(98 + k)}{{}} w{k}}}" for k in range(9)) + "\\newcommand{\\mj}{end}"
+    assert words(chain + " \\ma{} here") == ["end", *[f"w{k}" for k in range(8, -1, -1)], "here"]
+    assert "\\aa" in expand_macros("\\def\\aa{\\bb}\\def\\bb{x \\aa}\\aa plain")
+    double = "".join(f"\\def\\d{chr(97 + k)}{{\\d{chr(98 + k)}\\d{chr(98 + k)}}}" for k in range(24)) + "\\def\\dy{abc }"
+    assert len(expand_macros(double + "\\da")) < 200_000_000
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    from seqloom.llm import leakage as K
+
+    items = [(k, " ".join(f"item{k}word{j}" for j in range(20))) for k in range(7)] + [(9, None), (10, "too short"), (11, " ".join(f"item3word{j}" for j in range(20)))]
+    docs = [(k, f"before {items[k % 7][1]} after " * 2) for k in range(20)] + [(50, None), (51, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, passage string")
+    want = sorted((k, k % 7) for k in range(20)) + [(k, 11) for k in range(20) if k % 7 == 3]
+    for size in (1, 3, 2000):
+        monkeypatch.setattr(K, "ITEM_BLOCK", size)
+        assert sorted((r[0], r[1]) for r in K.leaks(d, i).collect()) == sorted(want)
