@@ -142,23 +142,20 @@ def branched(opts: DataFrame) -> DataFrame:
     )
 
 
-def with_previous(files: DataFrame, series: str, order: str, key: str, value: str, block: int = 4096) -> DataFrame:
-    """``key``, ``value`` and ``previous``: the value of the file before it in its series, for files that have one.
+def previous_file(files: DataFrame, key: str, series: str, order: str, block: int = 4096) -> DataFrame:
+    """Key and predecessor's key of each file that has one in its series.
 
     A series may hold a third of all files, so it is cut into blocks of
     ``block`` order numbers: a window runs within each block, and another one
     over one row a block finds the predecessor of each block's first file.
     """
-    f = files.select(F.col(series).alias("_s"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_o") / block))
-    w = Window.partitionBy("_s", "_b").orderBy("_o", "_k")
-    within = f.select("_s", "_b", "_k", "_v", F.lag("_v").over(w).alias("_p"), F.row_number().over(w).alias("_r"))
+    f = files.select(F.col(series).alias("_s"), F.col(order).alias("_o"), F.col(key).alias("_k")).withColumn("_b", F.floor(F.col("_o") / block))
     at = F.struct("_o", "_k")
-    # values are not null, so a missing predecessor shows as null
-    last = f.groupBy("_s", "_b").agg(F.max_by("_v", at).alias("_last"))
-    heads = last.select("_s", "_b", F.lag("_last").over(Window.partitionBy("_s").orderBy("_b")).alias("_q")).where("_q is not null")
-    first = within.where("_r = 1").join(heads, ["_s", "_b"]).select("_k", "_v", F.col("_q").alias("_p"))
-    out = within.where("_r > 1").select("_k", "_v", "_p").unionByName(first)
-    return out.select(F.col("_k").alias(key), F.col("_v").alias(value), F.col("_p").alias("previous"))
+    within = f.withColumn("_p", F.lag("_k").over(Window.partitionBy("_s", "_b").orderBy("_o", "_k")))
+    blocks = f.groupBy("_s", "_b").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    heads = blocks.select(F.col("_first._k").alias("_k"), F.lag("_last._k").over(Window.partitionBy("_s").orderBy("_b")).alias("_p"))
+    out = within.select("_k", "_p").where("_p is not null").unionByName(heads.where("_p is not null"))
+    return out.select(F.col("_k").alias(key), F.col("_p").alias("previous"))
 
 
 def _fused(early: str, late: str) -> tuple[Column, Column, Column]:
@@ -207,11 +204,14 @@ def drift(files: DataFrame, key: str, series: str, order: str, holders: Sequence
     ``files`` has one row a key. Files whose holders are all null are passed
     over; the first file of a series reports nothing. Files without a series
     or an order number are in no series. Holders that are no JSON object
-    count as holders without options. Other columns are not used. A file is
-    shuffled once, with 128-bit hashes in place of its values.
+    count as holders without options. Other columns are not used. Options
+    are parsed once and shuffled packed, one row a file, with 128-bit hashes
+    in place of their values; the predecessors are found by keys alone.
     """
     held = F.coalesce(*[F.col(h) for h in (*holders, *named)]).isNotNull()
     there = files.where(held & F.col(series).isNotNull() & F.col(order).isNotNull())
     brief = lambda o: F.struct(o["name"].alias("name"), o["tag"].alias("tag"), F.xxhash64(o["value"]).alias("h1"), F.xxhash64(F.lit(7), o["value"]).alias("h2"))
-    opts = with_entries(there, holders, named, key, series, order).select(key, series, order, F.transform("opts", brief).alias("opts"))
-    return changes(with_previous(opts, series, order, key, "opts"), key)
+    # the exchange keeps later projections from being computed again for each use of an entry
+    opts = with_entries(there, holders, named, key).select(key, F.transform("opts", brief).alias("opts")).repartition(key)
+    late = previous_file(there, key, series, order).join(opts, key)
+    return changes(late.join(opts.select(F.col(key).alias("previous"), F.col("opts").alias("_early")), "previous").select(key, "opts", F.col("_early").alias("previous")), key)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.alignment import Q, long
+from seqloom.operators.frequencies import _of_group, pair_blocks
 
 #: Fixed: background frequencies of the residues, in the order of states 1 to 20.
 BACKGROUND = (
@@ -97,6 +99,43 @@ def energies(rows: DataFrame, fields: DataFrame, couplings: DataFrame | None = N
     return parts.unionByName(base).groupBy(group, key).agg((-F.sum("v")).alias("energy"))
 
 
+def pair_energies(rows: DataFrame, values, fields: DataFrame, group: str = "family", key: str = "seq_id", states: str = "states", rows_a_task: int = 500_000) -> DataFrame:
+    """group, key, energy over all columns and pairs of columns: ``energies`` with the couplings ``values(n, group)`` of the rows' own pair counts.
+
+    A group's couplings are packed, one row for each first column, and meet
+    the group's rows in parts of bounded size, so that what is joined are a
+    few hundred rows a part, not cells. Rows must be of the group's length.
+    """
+    sizes, _ = _of_group(rows, group, rows_a_task)
+
+    def pack_block(g: str, i: int, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({group: [g], "i": np.int32(i), "v": [values(n, g).astype("<f8").tobytes()]})
+
+    blocks = pair_blocks(rows, pack_block, f"{group} string, i int, v binary", group=group, key=key, states=states)
+    h = fields.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", "state", "v"))).alias("h"))
+    h = h.select(group, F.lit(-1).alias("i"), F.transform("h", lambda x: x["v"]).alias("h"), F.lit(None).cast("binary").alias("v"))
+    params = blocks.select(group, "i", F.lit(None).cast("array<double>").alias("h"), "v").unionByName(h)
+    params = params.join(sizes, group).select(group, "i", "h", "v", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    mine = rows.where(F.col(states).isNotNull()).join(sizes, group).select(group, F.pmod(F.xxhash64(key), F.col("_salts")).cast("int").alias("salt"), F.col(key).alias("_k"), F.col(states).cast("array<tinyint>").alias("_s"))
+
+    def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({group: np.zeros(0, object), key: np.zeros(0, np.int64), "energy": np.zeros(0)})
+        x = np.stack([np.nan_to_num(np.asarray(s, np.float64)) for s in left["_s"]]).astype(np.int64)
+        x = np.where((x < 0) | (x >= Q), 0, x)
+        n, width = x.shape
+        out = np.zeros(n)
+        for i, h, v in zip(right["i"], right["h"], right["v"], strict=True):
+            if i < 0:
+                out -= np.asarray(h, float).reshape(width, Q)[np.arange(width)[None], x].sum(axis=1)
+            else:
+                block = np.frombuffer(v, "<f8").reshape(-1, Q, Q)
+                out -= block[np.arange(len(block))[None], x[:, i, None], x[:, i + 1 :]].sum(axis=1)
+        return pd.DataFrame({group: np.full(n, left[group].iloc[0], object), key: left["_k"].to_numpy(), "energy": out})
+
+    return mine.groupBy(group, "salt").cogroup(params.groupBy(group, "salt")).applyInPandas(total, f"{group} string, {key} long, energy double")
+
+
 def kept_couplings(values: DataFrame, pct: float, n_columns: int, group: str = "family") -> DataFrame:
     """The cells that a mask of ``pct`` percent keeps: the largest of the upper triangle by absolute value, and their mirrors.
 

@@ -1,13 +1,19 @@
 """Queries of the alignment statistics, each over all rows of its tables, with their SQL.
 
 The alignments are the last deliveries of ``align_rows``, one alignment a
-family. Two- and three-column tables cell by cell are over each family's ten
-most variable columns, as the published report samples ten.
+family. Pair statistics are over all columns and all cells; their queries
+return a row for each pair of columns (or row, or family), as the cells of all
+pairs are some hundred millions whatever the number of rows. Three-column
+tables are over each family's ten most variable columns, as the published
+report samples ten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import alignment as A
@@ -25,7 +31,8 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            # each shared table is made once; else DuckDB plans it anew at every mention
+            SQL[f.__name__] = re.sub(r"\b(\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", sql)
         return f
 
     return add
@@ -58,6 +65,7 @@ FREQ = "f AS (SELECT s.family, pos, state, n / total AS f FROM s JOIN v USING (f
 CORR = f"""{PAIRS}, {FREQ}, c AS (SELECT l.family, l.pos AS i, k.pos AS j, l.state AS a, k.state AS b, coalesce(p.n, 0) / t.total - l.f * k.f AS c FROM f l JOIN f k ON l.family = k.family AND l.pos < k.pos
  JOIN t ON t.family = l.family LEFT JOIN p ON p.family = l.family AND p.i = l.pos AND p.a = l.state AND p.j = k.pos AND p.b = k.state)"""
 WIDTH = "w AS (SELECT family, max(len(states)) AS n_cols FROM r GROUP BY family)"
+CELLS = f"""{SINGLE}, g AS (SELECT l.family, l.pos AS i, l.state AS a, k.pos AS j, k.state AS b, count(*) AS n FROM x l JOIN x k ON l.seq_id = k.seq_id AND l.pos < k.pos GROUP BY ALL)"""
 DENSE = f"""{SINGLE}, {WIDTH}, cells AS (SELECT family, pos, CAST(unnest(range(21)) AS INTEGER) AS state FROM (SELECT family, CAST(unnest(range(n_cols)) AS INTEGER) AS pos FROM w)),
  d AS (SELECT family, pos, state, (1 - 1.0::DOUBLE / total) * (coalesce(n, 0)::DOUBLE / total) + 1.0::DOUBLE / total / 21 AS f FROM cells LEFT JOIN s USING (family, pos, state) JOIN t USING (family))"""
 DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -214,7 +222,7 @@ def f4_pseudocounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SINGLE}, g AS (SELECT l.family, l.pos AS i, l.state AS a, k.pos AS j, k.state AS b, count(*) AS n FROM x l JOIN x k ON l.seq_id = k.seq_id AND l.pos < k.pos GROUP BY ALL),
+    f"""WITH {CELLS},
  u AS (SELECT family, pos, sum(pow(n::DOUBLE / total, 2)) AS u FROM s JOIN t USING (family) GROUP BY ALL),
  m AS (SELECT g.family, i, j, sum(pow(g.n::DOUBLE / total, 2) - 2 * (g.n::DOUBLE / total) * (l.n::DOUBLE / total) * (k.n::DOUBLE / total)) AS m FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a
  JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b GROUP BY ALL)
@@ -232,18 +240,58 @@ def r2_variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.variable_columns(singles(rows(spark, sf_dir)))
 
 
-@query(f"WITH {PAIRS} SELECT family, i, j, a, b, round(n / total + 1e-10, 6) + 0.0 AS f FROM p JOIN t USING (family)")
+@query(f"WITH {CELLS} SELECT g.family, i, j, count(*) AS n_cells, round(max(n)::DOUBLE / any_value(total) + 1e-10, 6) + 0.0 AS most, round(sum(pow(n::DOUBLE / total, 2)) + 1e-10, 6) + 0.0 AS purity FROM g JOIN t USING (family) GROUP BY ALL")
 def a2_pair_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies of state pairs at the chosen columns."""
-    _, _, p, t = chosen(rows(spark, sf_dir))
-    return N.frequencies(p, t).select("family", "i", "j", "a", "b", rounded(F.col("f")).alias("f"))
+    """Frequencies of state pairs at each two columns: how many occur, the greatest, and the sum of their squares."""
+    values = lambda n, _: {"n_cells": (n > 0).sum(axis=(1, 2)), "most": N.shares(n).max(axis=(1, 2)), "purity": (N.shares(n) ** 2).sum(axis=(1, 2))}
+    x = N.by_pair(rows(spark, sf_dir), values, "n_cells long, most double, purity double")
+    return x.withColumns({"most": rounded(F.col("most")), "purity": rounded(F.col("purity"))})
+
+
+_WEIGHTS = f"""{LONG}, nb AS (SELECT l.family, l.seq_id, count(*) AS c FROM r l JOIN r k ON l.family = k.family AND (l.seq_id = k.seq_id OR {GAPAWARE.format("l", "k")} < 0.3) GROUP BY ALL),
+ ne AS (SELECT family, sum(1.0::DOUBLE / c) AS neff FROM nb GROUP BY family), xw AS (SELECT x.family, x.seq_id, pos, state, 1.0::DOUBLE / c / neff AS p FROM x JOIN nb USING (family, seq_id) JOIN ne ON ne.family = x.family),
+ sw AS (SELECT family, pos, state, sum(p) AS f FROM xw GROUP BY ALL), gw AS (SELECT l.family, l.pos AS i, l.state AS a, k.pos AS j, k.state AS b, sum(l.p) AS f FROM xw l JOIN xw k ON l.seq_id = k.seq_id AND l.pos < k.pos GROUP BY ALL)"""
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with their weights."""
+    r = rows(spark, sf_dir)
+    return r.join(D.weights(r, 0.3).select("seq_id", "w"), "seq_id")
+
+
+@query(f"WITH {_WEIGHTS} SELECT family, i, j, round(max(f) + 1e-10, 6) + 0.0 AS most, round(sum(f * f) + 1e-10, 6) + 0.0 AS purity FROM gw GROUP BY ALL")
+def a2_weighted_pair_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with rows weighted by their number of neighbours."""
+    values = lambda n, _: {"most": N.shares(n).max(axis=(1, 2)), "purity": (N.shares(n) ** 2).sum(axis=(1, 2))}
+    x = N.by_pair(weighted(spark, sf_dir), values, "most double, purity double", weight="w")
+    return x.withColumns({"most": rounded(F.col("most")), "purity": rounded(F.col("purity"))})
 
 
-@query(f"WITH {CORR} SELECT family, i, j, a, b, round(c + 1e-10, 6) + 0.0 AS c FROM c")
+def _ends(v: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """The greatest and the least value among the cells that occur."""
+    return {"high": np.where(n > 0, v, -np.inf).max(axis=(1, 2)), "low": np.where(n > 0, v, np.inf).min(axis=(1, 2))}
+
+
+def _rounded_ends(x: DataFrame) -> DataFrame:
+    return x.withColumns({"high": rounded(F.col("high")), "low": rounded(F.col("low"))})
+
+
+_ENDS = "round(max({0}) + 1e-10, 6) + 0.0 AS high, round(min({0}) + 1e-10, 6) + 0.0 AS low"
+
+
+@query(f"""WITH {CELLS} SELECT g.family, i, j, {_ENDS.format("g.n::DOUBLE / total - (l.n::DOUBLE / total) * (k.n::DOUBLE / total)")} FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b GROUP BY ALL""")
 def a4_pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations of state pairs at the chosen columns."""
-    c = correlations(rows(spark, sf_dir))
-    return c.withColumn("c", rounded(F.col("c")))
+    """Correlations of the state pairs that occur at each two columns: the greatest and the least."""
+    return _rounded_ends(N.by_pair(rows(spark, sf_dir), lambda n, _: _ends(N.correlation(n), n), "high double, low double"))
+
+
+@query(
+    f"""WITH {_WEIGHTS}, u AS (SELECT family, pos, sum(f * f) AS u FROM sw GROUP BY ALL), m AS (SELECT gw.family, i, j, sum(gw.f * gw.f - 2 * gw.f * l.f * k.f) AS m FROM gw JOIN sw l ON l.family = gw.family AND l.pos = i AND l.state = a
+ JOIN sw k ON k.family = gw.family AND k.pos = j AND k.state = b GROUP BY ALL) SELECT m.family, i, j, round(sqrt(greatest(m + l.u * k.u, 0)) + 1e-10, 5) + 0.0 AS strength FROM m JOIN u l ON l.family = m.family AND l.pos = i JOIN u k ON k.family = m.family AND k.pos = j"""
+)
+def a4_weighted_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly each two columns vary together, rows weighted by their number of neighbours."""
+    return N.block_strength(weighted(spark, sf_dir), weight="w").select("family", "i", "j", rounded(F.col("strength"), 5).alias("strength"))
 
 
 @query(
@@ -339,17 +387,25 @@ def j1_diversity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOP = """(SELECT family, i, j, a, b FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(abs({1}), 9) DESC, i, j, a, b) AS k FROM {0}) WHERE k <= {2})"""
 
 
-@query(f"WITH {CORR}, k AS {_TOP.format('c', 'c', 441)} SELECT * FROM k UNION ALL SELECT family, j AS i, i AS j, b AS a, a AS b FROM k")
+@query()
 def t1_coupling_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that a 98 percent mask by correlation keeps."""
-    return P.kept_couplings(correlations(rows(spark, sf_dir)).withColumnRenamed("c", "v"), 98, 10)
+    """Cells that a 98 percent mask by correlation keeps in the upper triangle, over all columns: by pair of columns their number and the sum of their codes."""
+    return N.kept_by_pair(rows(spark, sf_dir), N.correlation, 98)
+
+
+@query()
+def t5_conserved_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by correlations weighted by conservation, gaps left out."""
+    r = rows(spark, sf_dir)
+    return N.kept_by_pair(r, _conserved(r, 1), 98)
 
 
-@query(f"WITH {CORR}, k AS {_TOP.format('c', 'c', 441)} SELECT family, round(1 - 2 * count(*) / (10.0::DOUBLE * 10 * 441) + 1e-10, 6) + 0.0 AS sparsity FROM k GROUP BY family")
+@query("WITH w AS (SELECT family, max(len(states)) AS l FROM align_rows WHERE states IS NOT NULL GROUP BY family) SELECT family, round(1 - 2 * floor(l * l * 441 / 2 * (1 - 98 / 100.0::DOUBLE) + 1e-9) / (l * l * 441.0::DOUBLE) + 1e-10, 6) + 0.0 AS sparsity FROM w")
 def a19_mask_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cells that the mask leaves out, the diagonal included."""
-    k = P.kept_couplings(correlations(rows(spark, sf_dir)).withColumnRenamed("c", "v"), 98, 10)
-    return k.groupBy("family").agg(rounded(1 - F.count("*") / (10.0 * 10 * 441)).alias("sparsity"))
+    r = rows(spark, sf_dir)
+    k = N.kept_by_pair(r, N.correlation, 98).groupBy("family").agg(F.sum("n_kept").alias("n")).join(widths(r), "family")
+    return k.select("family", rounded(1 - 2 * F.col("n") / (F.col("n_cols") * F.col("n_cols") * 441.0)).alias("sparsity"))
 
 
 _FIELD_TOP = "(SELECT family, pos, state FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(abs({1}), 9) DESC, pos, state) AS k, count(*) OVER (PARTITION BY family) AS n FROM {0}) WHERE k <= floor(n * (1 - 90 / 100.0::DOUBLE)))"
@@ -389,13 +445,33 @@ def t2_entropy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.kept_fields(_position_weights(rows(spark, sf_dir)).select("family", "pos", "state", F.col("d").alias("v")), 90)
 
 
-@query(
-    f"""WITH {_PHI}, {CORR.removeprefix(SINGLE + ", ")} SELECT c.family, i, j, a, b, round(l.phi * k.phi * c + 1e-10, 6) + 0.0 AS v FROM c JOIN o l ON l.family = c.family AND l.pos = i AND l.state = a JOIN o k ON k.family = c.family AND k.pos = j AND k.state = b"""
-)
+def _conserved(r: DataFrame, first: int):
+    """Correlations times the position weights of both cells, from state ``first`` on; a group's background is known by its share of gaps."""
+    gaps = P.background(singles(r), totals(r)).where("state = 0").select("family", "g").limit(N.MOST_BROADCAST)
+    gap = {x["family"]: x["g"] for x in gaps.collect()}
+
+    def values(n: np.ndarray, family: str) -> np.ndarray:
+        g = np.concatenate([[gap[family]], (1 - gap[family]) * np.array(P.BACKGROUND)])
+        p = N.with_pair_pseudocount(n)
+        phi = lambda f: np.abs(np.log(f * (1 - g) / ((1 - f) * g)))
+        v = phi(p.sum(axis=2))[:, :, None] * phi(p.sum(axis=1))[:, None, :] * N.correlation(n)
+        v[:, :first] = 0
+        v[:, :, :first] = 0
+        return v
+
+    return values
+
+
+_PHI_CELLS = f"""{_PHI.replace("g AS (", "bg AS (").replace("JOIN g USING", "JOIN bg USING")}, {CELLS.removeprefix(SINGLE + ", ")}"""
+
+
+@query(f"""WITH {_PHI_CELLS} SELECT g.family, i, j, {_ENDS.format("lo.phi * ko.phi * (g.n::DOUBLE / total - (l.n::DOUBLE / total) * (k.n::DOUBLE / total))")} FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a
+ JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b JOIN o lo ON lo.family = g.family AND lo.pos = i AND lo.state = a JOIN o ko ON ko.family = g.family AND ko.pos = j AND ko.state = b GROUP BY ALL""".replace("{CELLS}", CELLS))
 def a7_weighted_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations weighted by the conservation of both cells."""
+    """Correlations weighted by the conservation of both cells, of the pairs that occur: the greatest and the least."""
     r = rows(spark, sf_dir)
-    return P.weighted_correlations(correlations(r), _position_weights(r)).withColumn("v", rounded(F.col("v")))
+    values = _conserved(r, 0)
+    return _rounded_ends(N.by_pair(r, lambda n, g: _ends(values(n, g), n), "high double, low double"))
 
 
 @query(f"WITH {DENSE} SELECT family, pos, state, round(ln(f) + 1e-10, 6) + 0.0 AS v FROM d")
@@ -404,32 +480,36 @@ def i9_profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profile_fields(dense(rows(spark, sf_dir))).withColumn("v", rounded(F.col("v")))
 
 
-_PACK = f"""{DENSE}, {CORR.removeprefix(SINGLE + ", ")}, k AS (SELECT family, CAST(i * (2 * n_cols - i - 1) / 2 + j - i - 1 AS BIGINT) * 441 + a * 21 + b AS "offset", c AS v FROM c JOIN w USING (family)
- UNION ALL SELECT family, CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 + pos * 21 + state AS "offset", ln(f) AS v FROM d JOIN w USING (family))"""
+# couplings are log odds with pseudocounts: e is what a cell that occurs has beyond one that does not (z0), ld the logarithm of the single frequency
+_ODDS = f"""{DENSE}, {CELLS.removeprefix(SINGLE + ", ")}, e AS (SELECT g.*, ln(((1 - 1.0::DOUBLE / total) * n / total + 1.0::DOUBLE / total / 441) / (1.0::DOUBLE / total / 441)) AS e FROM g JOIN t USING (family)),
+ z AS (SELECT family, ln(1.0::DOUBLE / total / 441) AS z0 FROM t), q AS (SELECT family, pos, sum(ln(f)) AS s1, sum(ln(f) * ln(f)) AS s2 FROM d GROUP BY ALL)"""
 
 
-@query(f"""WITH {_PACK} SELECT family, "offset", round(v + 1e-10, 6) + 0.0 AS v FROM k""")
+@query(
+    f"""WITH {_ODDS}, c AS (SELECT e.family, i, j, sum(e) AS e FROM e GROUP BY ALL) SELECT c.family, i, j, CAST(i * (2 * n_cols - i - 1) / 2 + j - i - 1 AS BIGINT) * 441 AS "offset", round(e + 441 * z0 - 21 * (l.s1 + k.s1) + 1e-10, 4) + 0.0 AS total FROM c JOIN w USING (family) JOIN z ON z.family = c.family
+ JOIN q l ON l.family = c.family AND l.pos = i JOIN q k ON k.family = c.family AND k.pos = j UNION ALL SELECT q.family, pos AS i, -1 AS j, CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 + pos * 21 AS "offset", round(s1 + 1e-10, 4) + 0.0 AS total FROM q JOIN w USING (family)"""
+)
 def f2_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields and couplings of each family as one packed vector."""
+    """Fields and couplings of each family as one packed vector: where each block begins, and its sum."""
     r = rows(spark, sf_dir)
     w = widths(r).withColumnRenamed("n_cols", "width")
-    return P.pack(P.profile_fields(dense(r)), correlations(r).withColumnRenamed("c", "v"), w).withColumn("v", rounded(F.col("v")))
+    j = N.by_pair(r, lambda n, _: {"total": N.log_odds(n).sum(axis=(1, 2))}, "total double").join(w, "family")
+    zero = {"a": F.lit(0), "b": F.lit(0)}
+    j = j.withColumns(zero).withColumn("offset", P.coupling_offset()).select("family", "i", "j", "offset", rounded(F.col("total"), 4).alias("total"))
+    h = P.profile_fields(dense(r)).groupBy("family", "pos").agg(F.sum("v").alias("total")).join(w, "family").withColumn("state", F.lit(0))
+    return j.unionByName(h.select("family", F.col("pos").alias("i"), F.lit(-1).alias("j"), P.field_offset().alias("offset"), rounded(F.col("total"), 4).alias("total")))
 
 
-@query(f"""WITH {_PACK} SELECT family, CAST(floor(o / 21) AS INTEGER) AS pos, CAST(o % 21 AS INTEGER) AS state, round(v / 0.75 + 1e-10, 6) + 0.0 AS v FROM (SELECT k.*, "offset" - CAST(n_cols * (n_cols - 1) / 2 AS BIGINT) * 441 AS o FROM k JOIN w USING (family)) WHERE o >= 0""")
+@query(f"""WITH {DENSE} SELECT family, pos, state, round(ln(f) / 0.75 + 1e-10, 6) + 0.0 AS v FROM d""")
 def f3_unpacked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields taken out of the packed vector, at temperature 0.75."""
     r = rows(spark, sf_dir)
     w = widths(r).withColumnRenamed("n_cols", "width")
-    h, _ = P.unpack(P.pack(P.profile_fields(dense(r)), correlations(r).withColumnRenamed("c", "v"), w), w)
+    kept = N.kept_cells(r, N.correlation, 98).select("family", "i", "j", "a", "b", "v")
+    h, _ = P.unpack(P.pack(P.profile_fields(dense(r)), kept, w), w)
     return h.withColumn("v", rounded(F.col("v") / 0.75))
 
 
-# dense couplings of the chosen columns: a correlation of 0 where a state never occurs
-_J = f"""{CORR}, jj AS (SELECT q.*, coalesce(c.c, 0) AS v FROM (SELECT l.family, l.pos AS i, k.pos AS j, CAST(m.z AS INTEGER) AS a, CAST(n.z AS INTEGER) AS b FROM v l JOIN v k ON l.family = k.family AND l.pos < k.pos, range(21) m(z), range(21) n(z)) q
- LEFT JOIN c USING (family, i, j, a, b)), g AS (SELECT *, avg(v) OVER (PARTITION BY family, i, j, b) AS mb, avg(v) OVER (PARTITION BY family, i, j, a) AS ma, avg(v) OVER (PARTITION BY family, i, j) AS mm FROM jj)"""
-
-
 def dense_couplings(r: DataFrame) -> DataFrame:
     v, s, p, t = chosen(r)
     cols = v.select("family", F.col("pos").alias("i")).join(v.select("family", F.col("pos").alias("j")), "family").where("i < j")
@@ -439,50 +519,65 @@ def dense_couplings(r: DataFrame) -> DataFrame:
     return cells.join(c, ["family", "i", "j", "a", "b"], "left").select("family", "i", "j", "a", "b", F.coalesce("c", F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {_J} SELECT family, i, j, a, b, round(v - ma - mb + mm + 1e-10, 6) + 0.0 AS v FROM g")
+@query(
+    f"""WITH {_ODDS}, ra AS (SELECT family, i, j, a, sum(e) / 21 AS ra FROM e GROUP BY ALL), cb AS (SELECT family, i, j, b, sum(e) / 21 AS cb FROM e GROUP BY ALL), bm AS (SELECT family, i, j, sum(e) / 441 AS bm FROM e GROUP BY ALL)
+ SELECT e.family, e.i, e.j, {_ENDS.format("e - ra - cb + bm")} FROM e JOIN ra ON ra.family = e.family AND ra.i = e.i AND ra.j = e.j AND ra.a = e.a JOIN cb ON cb.family = e.family AND cb.i = e.i AND cb.j = e.j AND cb.b = e.b JOIN bm ON bm.family = e.family AND bm.i = e.i AND bm.j = e.j GROUP BY ALL"""
+)
 def w1_gauge_couplings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Couplings in the zero-sum gauge."""
-    r = rows(spark, sf_dir)
-    return P.zero_sum_gauge(P.profile_fields(dense(r)), dense_couplings(r))[1].withColumn("v", rounded(F.col("v")))
+    """Couplings in the zero-sum gauge, of the pairs that occur: the greatest and the least."""
+    return _rounded_ends(N.by_pair(rows(spark, sf_dir), lambda n, _: _ends(N.centred(N.log_odds(n)), n), "high double, low double"))
 
 
 @query(
-    f"""WITH {_J}, {DENSE.removeprefix(SINGLE + ", ")}, o AS (SELECT family, pos, state, sum(e) AS e FROM (SELECT DISTINCT family, i AS pos, j AS other, a AS state, ma - mm AS e FROM g UNION ALL SELECT DISTINCT family, j AS pos, i AS other, b AS state, mb - mm AS e FROM g) GROUP BY ALL)
- SELECT d.family, d.pos, d.state, round(ln(f) - avg(ln(f)) OVER (PARTITION BY d.family, d.pos) + coalesce(e, 0) + 1e-10, 6) + 0.0 AS v FROM d LEFT JOIN o USING (family, pos, state)"""
+    f"""WITH {_ODDS}, ra AS (SELECT family, i AS pos, a AS state, sum(e) / 21 AS m FROM e GROUP BY ALL UNION ALL SELECT family, j AS pos, b AS state, sum(e) / 21 AS m FROM e GROUP BY ALL), ma AS (SELECT family, pos, state, sum(m) AS m FROM ra GROUP BY ALL),
+ bm AS (SELECT family, pos, sum(m) / 21 AS m FROM ma GROUP BY ALL) SELECT d.family, d.pos, d.state, round((ln(f) - s1 / 21) * (2 - n_cols) + coalesce(ma.m, 0) - coalesce(bm.m, 0) + 1e-10, 5) + 0.0 AS v
+ FROM d JOIN q ON q.family = d.family AND q.pos = d.pos JOIN w ON w.family = d.family LEFT JOIN ma ON ma.family = d.family AND ma.pos = d.pos AND ma.state = d.state LEFT JOIN bm ON bm.family = d.family AND bm.pos = d.pos"""
 )
 def w2_gauge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields in the zero-sum gauge."""
+    """Fields in the zero-sum gauge, with what the couplings of all pairs of columns give them."""
     r = rows(spark, sf_dir)
-    return P.zero_sum_gauge(P.profile_fields(dense(r)), dense_couplings(r))[0].withColumn("v", rounded(F.col("v")))
+    moved = N.gauge_shifts(r, N.log_odds)
+    h = P.profile_fields(dense(r))
+    h = h.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("family", "pos")))
+    return h.join(moved, ["family", "pos", "state"], "left").select("family", "pos", "state", rounded(F.col("v") + F.coalesce("x", F.lit(0.0)), 5).alias("v"))
 
 
-@query(f"WITH {_J} SELECT family, i, j, round(sqrt(sum(pow(v - ma - mb + mm, 2))) + 1e-10, 6) + 0.0 AS norm FROM g GROUP BY ALL")
+@query(
+    f"""WITH {_ODDS}, c2 AS (SELECT family, i, j, sum(e * e) AS e2, sum(e) AS e1 FROM e GROUP BY ALL), ra AS (SELECT family, i, j, sum(m * m) / 21 AS ra FROM (SELECT family, i, j, a, sum(e) AS m FROM e GROUP BY ALL) GROUP BY ALL), cb AS (SELECT family, i, j, sum(m * m) / 21 AS cb FROM (SELECT family, i, j, b, sum(e) AS m FROM e GROUP BY ALL) GROUP BY ALL)
+ SELECT family, i, j, round(sqrt(greatest(e2 - ra - cb + e1 * e1 / 441, 0)) + 1e-10, 5) + 0.0 AS norm FROM c2 JOIN ra USING (family, i, j) JOIN cb USING (family, i, j)"""
+)
 def a10_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norm of each block of gauged couplings."""
-    r = rows(spark, sf_dir)
-    return P.block_norms(P.zero_sum_gauge(P.profile_fields(dense(r)), dense_couplings(r))[1]).withColumn("norm", rounded(F.col("norm")))
+    norm = lambda v: np.sqrt((v * v).sum(axis=(1, 2)))
+    x = N.by_pair(rows(spark, sf_dir), lambda n, _: {"norm": norm(N.centred(N.log_odds(n)))}, "norm double")
+    return x.withColumn("norm", rounded(F.col("norm"), 5))
 
 
-@query(f"WITH {_J}, n AS (SELECT family, sqrt(sum(v * v)) AS z FROM g GROUP BY family, i, j) SELECT family, round(2 * sum(z) / (10.0::DOUBLE * 10), 3) AS j_norm FROM n GROUP BY family")
+@query(
+    f"""WITH {_ODDS}, c AS (SELECT e.family, e.i, e.j, sum(e * e + 2 * e * (z0 - ln(l.f) - ln(k.f))) AS m FROM e JOIN z ON z.family = e.family JOIN d l ON l.family = e.family AND l.pos = e.i AND l.state = e.a JOIN d k ON k.family = e.family AND k.pos = e.j AND k.state = e.b GROUP BY ALL),
+ n AS (SELECT c.family, sqrt(greatest(m + 441 * z0 * z0 + 21 * (l.s2 + k.s2) - 42 * z0 * (l.s1 + k.s1) + 2 * l.s1 * k.s1, 0)) AS norm FROM c JOIN z ON z.family = c.family JOIN q l ON l.family = c.family AND l.pos = i JOIN q k ON k.family = c.family AND k.pos = j)
+ SELECT n.family, round(2 * sum(norm) / any_value(n_cols * n_cols)::DOUBLE, 3) AS j_norm FROM n JOIN w USING (family) GROUP BY n.family"""
+)
 def a10_mean_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean norm of the coupling blocks, as recorded in training."""
+    """The mean norm of the coupling blocks over all ordered pairs of columns, as recorded in training."""
     r = rows(spark, sf_dir)
-    return P.mean_norm(dense_couplings(r), totals(r).select("family", F.lit(10).alias("width")))
+    x = N.by_pair(r, lambda n, _: {"norm": np.sqrt((N.log_odds(n) ** 2).sum(axis=(1, 2)))}, "norm double").groupBy("family").agg(F.sum("norm").alias("s"))
+    return x.join(widths(r), "family").select("family", F.round(2 * F.col("s") / (F.col("n_cols") * F.col("n_cols")), 3).alias("j_norm"))
 
 
-_ENERGY = f"""{CORR}, {DENSE.removeprefix(SINGLE + ", ")}, e AS (SELECT family, seq_id, -sum(z) AS energy FROM (SELECT x.family, seq_id, ln(f) AS z FROM x JOIN d USING (family, pos, state)
- UNION ALL SELECT l.family, l.seq_id, c.c AS z FROM y l JOIN y k ON l.seq_id = k.seq_id AND l.pos < k.pos JOIN c ON c.family = l.family AND c.i = l.pos AND c.j = k.pos AND c.a = l.state AND c.b = k.state) GROUP BY ALL)"""
+_ENERGY = f"""{_ODDS}, pe AS (SELECT l.family, l.seq_id, sum(e + z0) AS v FROM x l JOIN x k ON l.seq_id = k.seq_id AND l.pos < k.pos JOIN e ON e.family = l.family AND e.i = l.pos AND e.j = k.pos AND e.a = l.state AND e.b = k.state JOIN z ON z.family = l.family GROUP BY ALL),
+ fe AS (SELECT x.family, seq_id, sum(ln(f)) AS v, any_value(n_cols) AS l FROM x JOIN d USING (family, pos, state) JOIN w ON w.family = x.family GROUP BY ALL), en AS (SELECT fe.family, fe.seq_id, -(coalesce(pe.v, 0) - (l - 1) * fe.v + fe.v) AS energy FROM fe LEFT JOIN pe USING (family, seq_id))"""
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir)
-    return P.energies(r, P.profile_fields(dense(r)), correlations(r).withColumnRenamed("c", "v"))
+    return P.pair_energies(r, N.log_odds, P.profile_fields(dense(r)))
 
 
-@query(f"WITH {_ENERGY} SELECT family, seq_id, round(energy + 1e-10, 6) + 0.0 AS energy FROM e")
+@query(f"WITH {_ENERGY} SELECT family, seq_id, round(energy + 1e-10, 5) + 0.0 AS energy FROM en")
 def a9_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistical energy of each row."""
-    return _energies(spark, sf_dir).withColumn("energy", rounded(F.col("energy")))
+    """Statistical energy of each row: fields of all columns, couplings of all pairs of columns."""
+    return _energies(spark, sf_dir).withColumn("energy", rounded(F.col("energy"), 5))
 
 
 def histogram(values: DataFrame, value: str, bins: int, group: str = "family") -> DataFrame:
@@ -507,10 +602,10 @@ def a16_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(rows(spark, sf_dir).select("family", A.state_sum(F.col("states")).cast("double").alias("z")), "z", 80)
 
 
-@query(f"WITH {_ENERGY}, q AS (SELECT family, round(energy, 6) AS z FROM e), {_HIST.format(60)}")
+@query(f"WITH {_ENERGY}, qq AS (SELECT family, round(energy, 5) AS z FROM en), {_HIST.format(60).replace("FROM q", "FROM qq")}")
 def a16_energy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each family by energy."""
-    return histogram(_energies(spark, sf_dir).select("family", F.round("energy", 6).alias("z")), "z", 60)
+    return histogram(_energies(spark, sf_dir).select("family", F.round("energy", 5).alias("z")), "z", 60)
 
 
 @query(
@@ -588,13 +683,13 @@ def r9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.batches(rows(spark, sf_dir), 32).select("family", "seq_id", "batch")
 
 
-_RUNS = f"""{COLUMNS}, k AS (SELECT family, seq_id, {DRAW.format("'run:' || seq_id")} % 5 AS run FROM r), c AS (SELECT family, run, count(*) AS c FROM k GROUP BY ALL), g AS (SELECT y.family, run, pos, state, count(*) AS n FROM y JOIN k USING (family, seq_id) GROUP BY ALL),
+_RUNS = f"""{LONG}, y AS (SELECT * FROM x), k AS (SELECT family, seq_id, {DRAW.format("'run:' || seq_id")} % 5 AS run FROM r), c AS (SELECT family, run, count(*) AS c FROM k GROUP BY ALL), g AS (SELECT y.family, run, pos, state, count(*) AS n FROM y JOIN k USING (family, seq_id) GROUP BY ALL),
  e AS (SELECT c.family, c.run, q.pos, q.state, coalesce(g.n, 0)::DOUBLE / c.c AS v FROM c JOIN (SELECT DISTINCT family, pos, state FROM y) q USING (family) LEFT JOIN g ON g.family = c.family AND g.run = c.run AND g.pos = q.pos AND g.state = q.state)"""
 
 
 def _runs(r: DataFrame) -> DataFrame:
-    """Frequencies of five parts of each family's rows at the chosen columns, as repeated runs give parameters."""
-    y = N.at_columns(r, N.variable_columns(singles(r)))
+    """Frequencies of five parts of each family's rows, as repeated runs give parameters."""
+    y = A.long(r, "family", "seq_id")
     part = (A.draw("run", "seq_id") % 5).alias("run")
     n = r.select("family", part).groupBy("family", "run").agg(F.count("*").alias("c"))
     g = y.select("family", part, "pos", "state").groupBy("family", "run", "pos", "state").agg(F.count("*").alias("n"))
@@ -614,8 +709,6 @@ def a12_replicate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a13_mean_without_outlying_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of the runs but those with unusually many high parameters."""
-    from pyspark.sql import Window
-
     e = _runs(rows(spark, sf_dir))
     u, f = Window.partitionBy("family", "pos", "state"), Window.partitionBy("family")
     m = e.withColumn("high", (F.col("v") - F.avg("v").over(u) > F.stddev_pop("v").over(u) + 1e-12).cast("int"))
@@ -640,7 +733,7 @@ def s3_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LONG}, m AS (SELECT family, split, count(*) AS total FROM r WHERE split IS NOT NULL GROUP BY ALL) SELECT family, split, pos, state, round(count(*) / any_value(total) + 1e-10, 6) + 0.0 AS f FROM x JOIN m USING (family, split) GROUP BY family, split, pos, state")
 def a6_split_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies of the states in each split, in one pass."""
+    """Frequencies of the states in each split, in one pass over all of its rows."""
     r = rows(spark, sf_dir).where("split is not null")
     n = r.groupBy("family", "split").agg(F.count("*").alias("total"))
     s = A.long(r, "family", "split").groupBy("family", "split", "pos", "state").agg(F.count("*").alias("n"))
@@ -687,29 +780,38 @@ def r8_random_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.join(h, ["family", "pos", "state"]).groupBy("family", "seq_id").agg(rounded(-F.sum("v")).alias("energy"))
 
 
+_SPLITS = f"""{ROWS}, cn AS (SELECT family, split, count(*) AS n FROM r WHERE split IS NOT NULL GROUP BY ALL), mn AS (SELECT family, min(n) AS m FROM cn GROUP BY family),
+ rs AS (SELECT family, split, seq_id, states FROM (SELECT r.*, m, row_number() OVER (PARTITION BY family, split ORDER BY {DRAW.format(chr(39) + 'sample:' + chr(39) + ' || seq_id')}, seq_id) AS k FROM r JOIN mn USING (family) WHERE split IS NOT NULL) WHERE k <= m),
+ x AS (SELECT family, split, seq_id, CAST(unnest(range(len(states))) AS INTEGER) AS pos, unnest(states) AS state FROM rs), s AS (SELECT family, split, pos, state, count(*)::DOUBLE / m AS f FROM x JOIN mn USING (family) GROUP BY family, split, pos, state, m),
+ g AS (SELECT l.family, l.split, l.pos AS i, l.state AS a, k.pos AS j, k.state AS b, count(*)::DOUBLE / m AS f FROM x l JOIN x k ON l.seq_id = k.seq_id AND l.pos < k.pos JOIN mn ON mn.family = l.family GROUP BY l.family, l.split, l.pos, l.state, k.pos, k.state, m)"""
+
+
 @query(
-    f"""WITH {PAIRS}, q AS (SELECT l.family, l.pos AS i, k.pos AS j, CAST(m.z AS INTEGER) AS a, CAST(o.z AS INTEGER) AS b FROM v l JOIN v k ON l.family = k.family AND l.pos < k.pos, range(21) m(z), range(21) o(z)),
- e AS (SELECT q.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY q.family ORDER BY coalesce(n, 0), q.i, q.j, q.a, q.b) AS k, count(*) OVER (PARTITION BY q.family) AS c FROM q LEFT JOIN p USING (family, i, j, a, b)) SELECT family, i, j, a, b FROM e WHERE k > floor(c * 0.95::DOUBLE)"""
+    f"""WITH {_SPLITS}, u AS (SELECT family, split, pos, sum(f * f) AS u FROM s GROUP BY ALL), mm AS (SELECT g.family, g.split, i, j, sum(g.f * g.f - 2 * g.f * l.f * k.f) AS v FROM g JOIN s l ON l.family = g.family AND l.split = g.split AND l.pos = i AND l.state = a
+ JOIN s k ON k.family = g.family AND k.split = g.split AND k.pos = j AND k.state = b GROUP BY ALL) SELECT mm.family, mm.split, i, j, round(sqrt(greatest(v + l.u * k.u, 0)) + 1e-10, 5) + 0.0 AS strength FROM mm JOIN u l ON l.family = mm.family AND l.split = mm.split AND l.pos = i
+ JOIN u k ON k.family = mm.family AND k.split = mm.split AND k.pos = j"""
 )
-def t3_frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells left when the 95 percent of least frequency are pruned."""
-    from pyspark.sql import Window
+def a6_equal_split_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly each two columns vary together in each split, as many rows of each split as the smallest has, all in one pass."""
+    r = rows(spark, sf_dir).where("split is not null")
+    m = r.groupBy("family", "split").agg(F.count("*").alias("n")).groupBy("family").agg(F.min("n").alias("m"))
+    part = A.subsample(r, m, "split", on=["family"]).select(F.concat_ws("\t", "family", "split").alias("part"), "seq_id", "states")
+    x = N.block_strength(part, group="part").withColumn("_p", F.split("part", "\t"))
+    return x.select(F.col("_p")[0].alias("family"), F.col("_p")[1].alias("split"), "i", "j", rounded(F.col("strength"), 5).alias("strength"))
 
-    r = rows(spark, sf_dir)
-    v, _, p, _ = chosen(r)
-    cols = v.select("family", F.col("pos").alias("i")).join(v.select("family", F.col("pos").alias("j")), "family").where("i < j")
-    state = lambda c: F.explode(F.sequence(F.lit(0), F.lit(A.Q - 1))).alias(c)
-    cells = cols.select("family", "i", "j", state("a")).select("family", "i", "j", "a", state("b")).join(p, ["family", "i", "j", "a", "b"], "left")
-    w = Window.partitionBy("family")
-    ranked = cells.withColumns({"k": F.row_number().over(w.orderBy(F.coalesce("n", F.lit(0)), "i", "j", "a", "b")), "c": F.count("*").over(w)})
-    return ranked.where(F.col("k") > F.floor(F.col("c") * F.lit(0.95))).select("family", "i", "j", "a", "b")
+
+@query(
+    f"""WITH {CELLS}, {WIDTH}, o AS (SELECT g.*, row_number() OVER (PARTITION BY g.family ORDER BY n DESC, i, j, a, b) AS k, floor(n_cols * n_cols * 441 / 2 * (1 - 95 / 100.0::DOUBLE) + 1e-9) AS most FROM g JOIN w USING (family))
+ SELECT family, i, j, count(*) AS n_kept, CAST(sum(a * 21 + b) AS BIGINT) AS code_sum FROM o WHERE k <= most GROUP BY ALL"""
+)
+def t3_frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that occur and are left when the 95 percent of least frequency are pruned, over all columns: by pair of columns their number and the sum of their codes."""
+    return N.kept_by_pair(rows(spark, sf_dir), N.shares, 95)
 
 
 @query(f"WITH {DENSE}, h AS (SELECT family, pos, state, ln(f) - avg(ln(f)) OVER (PARTITION BY family, pos) AS v FROM d) SELECT family, round(avg(v) + 1e-10, 6) + 0.0 AS h_norm FROM h WHERE state = 1 GROUP BY family")
 def a11_fields_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of the gauged fields of state 1, as recorded in training without couplings."""
-    from pyspark.sql import Window
-
     h = P.profile_fields(dense(rows(spark, sf_dir)))
     h = h.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("family", "pos")))
     return h.where("state = 1").groupBy("family").agg(rounded(F.avg("v")).alias("h_norm"))
@@ -741,27 +843,35 @@ def a18_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PHI}, {CORR.removeprefix(SINGLE + ", ")}, y2 AS (SELECT c.family, i, j, l.phi * k.phi * c AS v FROM c JOIN o l ON l.family = c.family AND l.pos = i AND l.state = a JOIN o k ON k.family = c.family AND k.pos = j AND k.state = b WHERE a > 0 AND b > 0)
- SELECT family, i, j, round(sqrt(sum(v * v)) + 1e-10, 6) + 0.0 AS norm FROM y2 GROUP BY ALL"""
+    f"""WITH {_PHI_CELLS}, u AS (SELECT family, pos, sum(pow(o.phi * s.n / total, 2)) AS u FROM s JOIN o USING (family, pos, state) JOIN t USING (family) WHERE state > 0 GROUP BY ALL),
+ m AS (SELECT g.family, i, j, sum(pow(lo.phi * ko.phi, 2) * (pow(g.n::DOUBLE / total, 2) - 2 * (g.n::DOUBLE / total) * (l.n::DOUBLE / total) * (k.n::DOUBLE / total))) AS m FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a
+ JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b JOIN o lo ON lo.family = g.family AND lo.pos = i AND lo.state = a JOIN o ko ON ko.family = g.family AND ko.pos = j AND ko.state = b WHERE a > 0 AND b > 0 GROUP BY ALL)
+ SELECT m.family, i, j, round(sqrt(greatest(m + l.u * k.u, 0)) + 1e-10, 4) + 0.0 AS norm FROM m JOIN u l ON l.family = m.family AND l.pos = i JOIN u k ON k.family = m.family AND k.pos = j"""
 )
 def a7_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Norms of the weighted correlations of two columns, gaps left out."""
+    """Norms of the weighted correlations of two columns, gaps left out; pairs of which no two residues occur together are left out."""
     r = rows(spark, sf_dir)
-    w = P.weighted_correlations(correlations(r), _position_weights(r)).where("a > 0 and b > 0")
-    return P.block_norms(w).withColumn("norm", rounded(F.col("norm")))
+    values = _conserved(r, 1)
+    x = N.by_pair(r, lambda n, g: {"norm": np.sqrt((values(n, g) ** 2).sum(axis=(1, 2))), "some": n[:, 1:, 1:].sum(axis=(1, 2)) > 0}, "norm double, some boolean").where("some")
+    return x.select("family", "i", "j", rounded(F.col("norm"), 4).alias("norm"))
 
 
 @query(
-    f"""WITH {CORR}, e AS (SELECT family, corr(l, k) AS z FROM (SELECT p.family, p.n::DOUBLE / total AS l, fa.f * fb.f AS k FROM p JOIN t USING (family) JOIN f fa ON fa.family = p.family AND fa.pos = i AND fa.state = a JOIN f fb ON fb.family = p.family AND fb.pos = j AND fb.state = b) GROUP BY family HAVING count(*) > 2 AND stddev_pop(l) * stddev_pop(k) > 1e-15)
- SELECT family, round(z + 1e-10, 6) + 0.0 AS pearson FROM e"""
+    f"""WITH {CELLS}, e AS (SELECT g.family, corr(g.n::DOUBLE / total, (l.n::DOUBLE / total) * (k.n::DOUBLE / total)) AS z FROM g JOIN t USING (family) JOIN s l ON l.family = g.family AND l.pos = i AND l.state = a JOIN s k ON k.family = g.family AND k.pos = j AND k.state = b
+ GROUP BY g.family HAVING count(*) > 2 AND stddev_pop(g.n::DOUBLE / total) * stddev_pop((l.n::DOUBLE / total) * (k.n::DOUBLE / total)) > 1e-15) SELECT family, round(z + 1e-10, 6) + 0.0 AS pearson FROM e"""
 )
 def a15_pair_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the pair frequencies that occur follow from the single ones."""
-    _, s, p, t = chosen(rows(spark, sf_dir))
-    f = N.frequencies(s, t).select("family", "pos", "state", "f")
-    x = N.frequencies(p, t).withColumnRenamed("f", "l")
-    x = x.join(f.select("family", F.col("pos").alias("i"), F.col("state").alias("a"), F.col("f").alias("fa")), ["family", "i", "a"])
-    x = x.join(f.select("family", F.col("pos").alias("j"), F.col("state").alias("b"), F.col("f").alias("fb")), ["family", "j", "b"]).withColumn("k", F.col("fa") * F.col("fb"))
-    sd = F.stddev_pop("l") * F.stddev_pop("k")
-    g = x.groupBy("family").agg(F.count("*").alias("n"), sd.alias("sd"), F.try_divide(F.covar_pop("l", "k"), sd).alias("z")).where("n > 2 and sd > 1e-15")
-    return g.select("family", rounded(F.col("z")).alias("pearson"))
+
+    def values(n: np.ndarray, _: str) -> dict[str, np.ndarray]:
+        p, there = N.shares(n), n > 0
+        q = p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True) * there
+        total = lambda x: x.sum(axis=(1, 2))
+        return {"c": total(there), "l": total(p), "k": total(q), "ll": total(p * p), "kk": total(q * q), "lk": total(p * q)}
+
+    x = N.by_pair(rows(spark, sf_dir), values, "c long, l double, k double, ll double, kk double, lk double")
+    x = x.groupBy("family").agg(*[F.sum(c).alias(c) for c in ("c", "l", "k", "ll", "kk", "lk")])
+    mean = lambda c: F.col(c) / F.col("c")
+    sd = lambda c: F.sqrt(F.greatest(mean(c + c) - mean(c) * mean(c), F.lit(0.0)))
+    x = x.withColumn("sd", sd("l") * sd("k")).where("c > 2 and sd > 1e-15")
+    return x.select("family", rounded((mean("lk") - mean("l") * mean("k")) / F.col("sd")).alias("pearson"))
