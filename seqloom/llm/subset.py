@@ -9,7 +9,9 @@ that no large group takes over. The flow's unit counts of each combination
 are then filled with its rows in the order of a hash.
 
 Pivots are a bounded set: some rows of each family by the order of a hash,
-and then some of the rows that are unlike all of these. All rows are assigned.
+then, round after round, some of the rows that are unlike all of these. All
+rows are assigned; those unlike every pivot at the end are a subfamily of
+their own.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import last_delivery
+from seqloom.session import checkpoint, last_delivery
 
-#: Pivots a family in the first and the second round; MAX_PIVOTS bounds all families' together.
-FIRST, SECOND = 96, 64
-MAX_PIVOTS = 200_000
-#: Columns of the longest row that may be a pivot.
-WIDEST = 4_000
+#: Pivots a family in the first round and in each later one, and the most rounds.
+FIRST, SECOND, ROUNDS = 96, 64, 6
+#: Letters of all pivots up to which they are sent to all tasks; more are joined to their families' rows.
+MOST_LETTERS = 64_000_000
+#: Rows of a family that are held together where pivots are joined, and rows up to which a table is broadcast.
+ROWS_A_TASK, MOST_BROADCAST = 20_000, 1_000_000
+#: Columns that are compared at a time.
+COLUMNS = 2_000
 #: Letters that a batch holds as one matrix at most, the padding of shorter rows included.
 CELLS = 4_000_000
 #: Share of equal residues from which a row counts as of a pivot's kind.
@@ -91,27 +96,37 @@ def bounded(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
         start += max(1, int(room))
 
 
+def _hot(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((x.shape[0], x.shape[1] * 20), np.float32)
+    r, p = np.nonzero(x)
+    out[r, p * 20 + x[r, p] - 1] = 1
+    return out, (x > 0).astype(np.float32)
+
+
 class Pivots:
-    """Pivot rows, ready to be compared with others."""
+    """Pivot rows, ready to be compared with others, some columns at a time."""
 
     def __init__(self, texts: list[str]):
         self.x, _ = codes(texts)
-        self.width = self.x.shape[1]
-        self.hot, self.there = self._hot(self.x)
-
-    def _hot(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((x.shape[0], x.shape[1] * 20), np.float32)
-        r, p = np.nonzero(x)
-        out[r, p * 20 + x[r, p] - 1] = 1
-        return out, (x > 0).astype(np.float32)
+        self.n = (self.x > 0).sum(axis=1)
+        width = self.x.shape[1]
+        self.parts = [slice(k, min(k + COLUMNS, width)) for k in range(0, width, COLUMNS)]
+        # of wide pivots nothing is kept ready: their matrices would be large
+        self.ready = _hot(self.x) if len(self.parts) == 1 else None
 
     def identity(self, x: np.ndarray) -> np.ndarray:
-        """Equal residues by positions at which both have one, rows x pivots; at least half of the shorter one must overlap."""
-        x = x[:, : self.width] if x.shape[1] >= self.width else np.pad(x, ((0, 0), (0, self.width - x.shape[1])))
-        a, na = self._hot(x)
-        both = na @ self.there.T
-        least = np.minimum(na.sum(axis=1)[:, None], self.there.sum(axis=1)[None])
-        return np.where(both >= np.maximum(0.5 * least, 1), (a @ self.hot.T) / np.maximum(both, 1), 0).astype(np.float32)
+        """Equal residues by positions at which both have one, rows x pivots; at least half of the shorter one must overlap. All columns count."""
+        width = self.x.shape[1]
+        least = np.minimum((x > 0).sum(axis=1)[:, None], self.n[None])
+        # behind a pivot's end there is nothing that could be equal or overlap
+        x = x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+        same, both = np.zeros((2, len(x), len(self.x)), np.float32)
+        for part in self.parts:
+            a, na = _hot(x[:, part])
+            hot, there = self.ready or _hot(self.x[:, part])
+            same += a @ hot.T
+            both += na @ there.T
+        return np.where(both >= np.maximum(0.5 * least, 1), same / np.maximum(both, 1), 0).astype(np.float32)
 
 
 def leaders(pivots: list[str]) -> list[int]:
@@ -129,45 +144,64 @@ def leaders(pivots: list[str]) -> list[int]:
     return out
 
 
-def _top(rows: DataFrame, per_family: int) -> dict[str, list[str]]:
-    """Distinct texts of up to ``per_family`` rows of each family, by the order of a hash; the limit works before the shuffle."""
+def _top(rows: DataFrame, per_family: int) -> DataFrame:
+    """family, s: texts of up to ``per_family`` rows of each family, by the order of a hash, equal ones once; the limit works before the shuffle."""
     w = Window.partitionBy("family").orderBy("o", "s")
     some = rows.select("family", "s", F.xxhash64("seq_id").alias("o")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * per_family)
-    out: dict[str, list[str]] = {}
-    # of longer rows none is a pivot; they are compared by their first columns
-    for f, s in some.orderBy("family", "r").select("family", "s").toPandas().itertuples(index=False):
-        have = out.setdefault(f, [])
-        if len(have) < per_family and s not in have:
-            have.append(s)
-    return out
+    once = some.groupBy("family", "s").agg(F.min("r").alias("o"))
+    return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_family).select("family", "s")
+
+
+def _judge(f: pd.DataFrame, pivots_of) -> pd.DataFrame:
+    """The rows of a batch with the nearest pivot (-1: none that overlaps), how near it is, and how complete they are."""
+    pivot, near, kind = np.full(len(f), -1, np.int32), np.zeros(len(f), np.float32), np.full(len(f), EMPTY, np.int32)
+    x, size = codes(list(f["s"].fillna("")))
+    n = (x > 0).sum(axis=1)
+    full = n > 0
+    kind[full] = np.digitize(1 - n[full] / size[full], [0.1, 0.4])
+    for fam, at in f.groupby("family", sort=False).indices.items():
+        at, pivots = at[full[at]], pivots_of(fam)
+        for b in range(0, len(at) if pivots else 0, 1024):
+            k = at[b : b + 1024]
+            like = pivots.identity(x[k])
+            near[k] = like.max(axis=1)
+            pivot[k] = np.where(near[k] > 0, like.argmax(axis=1), -1)
+    return f[["seq_id", "family", "loaded", "h", "h2"]].assign(**{"pivot": pivot, "near": near, "class": kind})
+
+
+def _assign(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``_judge`` for all rows. ``pivots`` has a row for each family: family, texts.
+
+    Few pivots are sent to all tasks; where they are more than
+    ``MOST_LETTERS``, each family's are joined to parts of its rows.
+    """
+    schema = rows.select("seq_id", "family", "loaded", "h", "h2", F.lit(0).alias("pivot"), F.lit(0.0).cast("float").alias("near"), F.lit(0).alias("class")).schema
+    letters = pivots.select(F.sum(F.length(F.array_join("texts", ""))).alias("n")).first()["n"] or 0
+    if letters <= MOST_LETTERS:
+        shared = rows.sparkSession.sparkContext.broadcast({r["family"]: r["texts"] for r in pivots.toLocalIterator()})
 
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ready: dict[str, Pivots] = {}
 
-def _assign(rows: DataFrame, pivots: dict[str, list[str]]) -> DataFrame:
-    """The rows with the nearest pivot (-1: none at all), how near it is, and how complete they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-    schema = rows.select("seq_id", "family", "loaded", "h", "h2", F.lit(0).alias("pivot"), F.lit(0.0).cast("float").alias("near"), F.lit(0).alias("class")).schema
+            def of(family: str) -> Pivots | None:
+                if family not in ready and shared.value.get(family):
+                    ready[family] = Pivots(shared.value[family])
+                return ready.get(family)
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, Pivots] = {}
-        for f in (part for f in frames for part in bounded(f)):
-            pivot, near, kind = np.full(len(f), -1, np.int32), np.zeros(len(f), np.float32), np.full(len(f), EMPTY, np.int32)
-            x, size = codes(list(f["s"].fillna("")))
-            n = (x > 0).sum(axis=1)
-            full = n > 0
-            kind[full] = np.digitize(1 - n[full] / size[full], [0.1, 0.4])
-            for fam, at in f.groupby("family", sort=False).indices.items():
-                at = at[full[at]]
-                if not shared.value.get(fam):
-                    continue
-                if fam not in ready:
-                    ready[fam] = Pivots(shared.value[fam])
-                for b in range(0, len(at), 1024):
-                    k = at[b : b + 1024]
-                    like = ready[fam].identity(x[k])
-                    pivot[k], near[k] = like.argmax(axis=1), like.max(axis=1)
-            yield f[["seq_id", "family", "loaded", "h", "h2"]].assign(**{"pivot": pivot, "near": near, "class": kind})
+            for f in (part for f in frames for part in bounded(f)):
+                yield _judge(f, of)
 
-    return rows.mapInPandas(make, schema)
+        return rows.mapInPandas(make, schema)
+    parts = rows.groupBy("family").agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias("_n"))
+    left = rows.join(parts, "family").withColumn("_part", F.pmod(F.xxhash64("seq_id", "h"), F.col("_n")).cast("int")).drop("_n")
+    right = pivots.join(parts, "family").select("family", "texts", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_part"))
+
+    def both(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        own = Pivots(list(p["texts"].iloc[0])) if len(p) else None
+        done = [_judge(part, lambda _: own) for part in bounded(f)]
+        return pd.concat(done, ignore_index=True) if done else f[["seq_id", "family", "loaded", "h", "h2"]].assign(pivot=0, near=0.0, **{"class": 0})
+
+    return left.groupBy("family", "_part").cogroup(right.groupBy("family", "_part")).applyInPandas(both, schema)
 
 
 def solve(combos: pd.DataFrame, n: int) -> pd.Series:
@@ -271,28 +305,42 @@ def varied_subset(rows: DataFrame, sizes: DataFrame, key: str = "seq_id", family
     settled by the hash of the key, then the key. Of several deliveries the
     last counts. Other columns are not used; empty tables give empty results.
     """
-    spark = rows.sparkSession
     base = rows.where(F.col(key).isNotNull() & F.col(family).isNotNull())
     text = aligned(base.select(F.col(key).alias("seq_id"), F.col(family).alias("family"), F.col(loaded).alias("loaded"), F.col(states).alias("states")), ["seq_id", "family", "loaded"])
     text = text.withColumns({"h": F.xxhash64(F.coalesce("s", F.lit(""))), "h2": F.xxhash64(F.reverse(F.coalesce("s", F.lit(""))))})
     want = sizes.where(F.col(wanted) > 0).groupBy(F.col(family).alias("family")).agg(F.max(wanted).cast("int").alias("n_select"))
-    n_families = max(1, want.count())
-    scale = min(1.0, MAX_PIVOTS / (n_families * (FIRST + SECOND)))
     seen = text.where(F.translate(F.coalesce("s", F.lit("")), "-", "") != "")
-    short = seen.where(F.length("s") <= WIDEST)
-    pivots = _top(short, max(4, int(FIRST * scale)))
-    unlike = _assign(seen, pivots).where(F.col("near") < ALIKE).select("seq_id", "family", "h", "h2")
-    # the few rows that are unlike every pivot: their texts are looked up again
-    again = _top(short.join(unlike.distinct(), ["seq_id", "family", "h", "h2"], "left_semi"), max(4, int(SECOND * scale)))
-    for f, more in again.items():
-        pivots[f] = pivots.get(f, []) + [s for s in more if s not in set(pivots.get(f, []))]
-    groups = {f: leaders(p) for f, p in pivots.items()}
-    subfamily = spark.createDataFrame([(f, k, g) for f, gs in groups.items() for k, g in enumerate(gs)] or [("", 0, 0)], "family string, pivot int, subfamily int")
-
-    last = last_delivery(_assign(text, pivots), "seq_id", "loaded", ["family", "h", "h2", "pivot", "class"])
-    first = last.groupBy("family", "h", "h2").agg(F.min("seq_id").alias("first"))
-    cat = last.join(first, ["family", "h", "h2"]).join(want.select("family"), "family", "left_semi")
+    # a family's pivots in a row; of a bounded number of rounds each looks only at the rows that are unlike all pivots so far
+    packed = lambda p: p.groupBy("family").agg(F.sort_array(F.collect_list("s")).alias("texts"))
+    new = packed(_top(seen, FIRST))
+    pivots = checkpoint(new)
+    far, found = seen, pivots
+    for _ in range(ROUNDS - 1):
+        unlike = _assign(far, found).where(F.col("near") < ALIKE).select("seq_id", "family", "h", "h2").distinct()
+        # the few rows that are unlike every pivot: their texts are looked up again
+        far = checkpoint(far.join(unlike, ["seq_id", "family", "h", "h2"], "left_semi"))
+        if far.isEmpty():
+            break
+        found = checkpoint(packed(_top(far, SECOND)))
+        both = pivots.join(found.withColumnRenamed("texts", "more"), "family", "full")
+        pivots = checkpoint(both.select("family", F.concat(F.coalesce("texts", F.array()), F.coalesce("more", F.array())).alias("texts")))
+
+    def lead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for family, texts in zip(f["family"], f["texts"], strict=True):
+                g = leaders(list(texts))
+                yield pd.DataFrame({"family": family, "pivot": np.arange(len(g), dtype=np.int32), "subfamily": np.array(g, np.int32)})
+
+    subfamily = checkpoint(pivots.mapInPandas(lead, "family string, pivot int, subfamily int"))
+    judged = _assign(text, pivots).withColumn("pivot", F.when(F.col("near") >= ALIKE, F.col("pivot")).otherwise(-1))
+    last = last_delivery(judged, "seq_id", "loaded", ["family", "h", "h2", "pivot", "class"])
+    # texts that come several times: the first row stands for them, the others are copies
+    texts = ["family", "h", "h2"]
+    first = checkpoint(last.where(F.col("class") != EMPTY).groupBy(*texts).agg(F.min("seq_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
+    cat = last.join(first, texts, "left").join(want.select("family"), "family", "left_semi")
     cat = cat.withColumn("class", F.when((F.col("class") != EMPTY) & (F.col("first") != F.col("seq_id")), COPY).otherwise(F.col("class")))
+    subfamily = F.broadcast(subfamily) if subfamily.count() <= MOST_BROADCAST else subfamily
     cat = cat.join(subfamily, ["family", "pivot"], "left").select("family", "seq_id", F.coalesce("subfamily", F.lit(-1)).alias("subfamily"), "pivot", "class")
     names = ["family", "subfamily", "pivot", "class"]
     counts = cat.groupBy(*names).agg(F.count("*").alias("count")).join(want, "family")

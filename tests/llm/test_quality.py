@@ -27,7 +27,8 @@ def test_labels(name):
 
 def test_statistics_have_defined_values(spark):
     rows = [(k, t, "clash", 1) for k, t in enumerate(TEXTS.values())] + [(99, "A" * 300_000, "", 1), (98, "word, " * 60_000 + ".", "", 1), (97, "%" * 5000 + "$" * 5001, "", 1)]
-    x = Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, kind string, n_chars int")).toPandas().set_index("doc_id")
+    words = ["when", "the", "of", "data", "it", "is", "not", "why", "this"]
+    x = Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, kind string, n_chars int"), words).toPandas().set_index("doc_id")
     assert not x.isna().any().any()
     at = {n: x.loc[k] for k, n in enumerate(TEXTS)}
     assert at["prose"]["sentence_share"] > 0.9 and at["prose"]["common_words"] > 0.3
@@ -51,9 +52,10 @@ def test_rules_find_a_planted_concept():
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     some = d.where("pmod(xxhash64(doc_id), 2) = 0")
-    rules = Q.learn(some)
+    words = Q.common_words(some)
+    rules = Q.learn(some, words)
     rest = d.where("pmod(xxhash64(doc_id), 2) = 1")
-    got = Q.statistics(rest).select("doc_id", Q.case(rules).alias("kind")).toPandas().set_index("doc_id")["kind"].fillna("prose")
+    got = Q.statistics(rest, words).select("doc_id", Q.case(rules).alias("kind")).toPandas().set_index("doc_id")["kind"].fillna("prose")
     want = rest.toPandas().set_index("doc_id")["text"].map(Q.label)
     assert (got.loc[want.index] == want).mean() > 0.98
     hard = want[want != "prose"]
@@ -66,4 +68,20 @@ def test_empty_table(spark):
 
 def test_rules_do_not_depend_on_partitions(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert Q.learn(d) == Q.learn(d.repartition(5, "text"))
+    words = Q.common_words(d)
+    assert words == Q.common_words(d.repartition(5, "text")) and len(words) == Q.COMMON_WORDS
+    assert Q.learn(d, words) == Q.learn(d.repartition(5, "text"), words)
+
+
+def test_wide_rows_and_long_sentences_count_whole(spark):
+    wide = "\n".join("name" + f", {k}.5" * 90 for k in range(30))
+    long = ("word " * 400 + "end. ") * 3
+    rows = [(1, wide), (2, long), (3, "a,1,2\n" * 3 + "," * 200_000), (4, "word " * 100_000)]
+    x = Q.statistics(spark.createDataFrame(rows, "doc_id long, text string"), ["word"]).toPandas().set_index("doc_id")
+    assert x.loc[1]["cell_share"] > 0.99 and x.loc[2]["sentence_share"] > 0.99 and x.loc[2]["common_words"] > 0.9
+    assert x.loc[3]["cell_share"] > 0.99 and x.loc[4]["sentence_share"] == 0
+
+
+def test_common_words_are_those_of_most_documents(spark):
+    d = spark.createDataFrame([(1, "alpha beta \\gamma beta"), (2, "Alpha delta"), (3, None), (4, "")], "doc_id long, text string")
+    assert Q.common_words(d, n=2) == ["alpha", "beta"] and Q.common_words(d.limit(0)) == []

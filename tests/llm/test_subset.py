@@ -70,6 +70,40 @@ def test_subset_covers_small_groups(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_rows_of_any_width_are_compared_whole(spark):
+    rng = np.random.default_rng(3)
+    heads = rng.integers(1, 21, (4, 5_000))
+    heads[:, :4_000] = heads[0, :4_000]
+    heads[1:, :4_000] = 0  # alike, or empty, in all but their last columns
+    data = []
+    for k in range(30):
+        s = np.where(rng.random(5_000) < 0.2, rng.integers(1, 21, 5_000), heads[0]) if k < 27 else heads[k - 26]
+        data.append((k, "A", s.tolist(), None, 0))
+    df = spark.createDataFrame(data, SCHEMA)
+    got = B.varied_subset(df, spark.createDataFrame([("A", 4)], "family string, n_select int"))["selected"].collect()
+    assert {27, 28, 29} < {r["seq_id"] for r in got} and len(got) == 4 and len({r["subfamily"] for r in got}) == 4
+
+
+def test_joined_pivots_give_the_same(spark, monkeypatch):
+    df, _ = rows(spark)
+    df = df.where("seq_id <> 4000")
+    sizes = spark.createDataFrame([("A", 12), ("B", 2)], "family string, n_select int")
+    want = sorted(map(tuple, B.varied_subset(df, sizes)["selected"].collect()))
+    monkeypatch.setattr(B, "MOST_LETTERS", 0)
+    monkeypatch.setattr(B, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(B, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, B.varied_subset(df, sizes)["selected"].collect())) == want
+
+
+def test_many_single_rows_are_found_round_after_round(spark):
+    rng = np.random.default_rng(4)
+    big = rng.integers(1, 21, 60)
+    data = [(k, "A", np.where(rng.random(60) < 0.2, rng.integers(1, 21, 60), big).tolist(), None, 0) for k in range(3_000)]
+    data += [(10_000 + k, "A", rng.integers(1, 21, 60).tolist(), None, 0) for k in range(150)]
+    got = B.varied_subset(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([("A", 100)], "family string, n_select int"))
+    assert sum(r["seq_id"] >= 10_000 for r in got["selected"].collect()) >= 95
+
+
 def test_empty_tables(spark):
     df, _ = rows(spark)
     sizes = spark.createDataFrame([("A", 12)], "family string, n_select int")
