@@ -43,71 +43,90 @@ def distance(a: np.ndarray, b: np.ndarray, kind: str = GAP_AWARE) -> np.ndarray:
         return np.where(norm > 0, 1 - same / norm, np.nan)
 
 
-def _blocks(rows: DataFrame, group: str, key: str, states: str, name: str) -> DataFrame:
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"_n{name}"))
-    return rows.select(group, F.col(key).alias("_k"), F.col(states).cast("array<tinyint>").alias("_s")).join(sizes, group).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col(f"_n{name}")).cast("int"))
+def distinct_rows(rows: DataFrame, group: str, key: str, states: str) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of a group with equal states one: group, _h, _h2, _k (the least key), _s, _c (how many they are); and all rows' keys with their hashes."""
+    x = rows.select(group, F.col(key).alias(key), F.col(states).cast("array<tinyint>").alias("_s"))
+    x = x.withColumns({"_h": F.xxhash64("_s"), "_h2": F.xxhash64(F.lit(7), "_s")})
+    reps = x.groupBy(group, "_h", "_h2").agg(F.min(key).alias("_k"), F.count("*").alias("_c"), F.first("_s").alias("_s"))
+    return reps, x.select(group, key, "_h", "_h2")
 
 
-def compare(left: DataFrame, right: DataFrame | None, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], value: str, group: str = "family", key: str = "seq_id", states: str = "states", kind: str = GAP_AWARE) -> DataFrame:
-    """group, key and what ``reduce(distances, keys of left, keys of right)`` returns for each left row and block of right rows.
+def _blocks(reps: DataFrame, group: str, name: str) -> DataFrame:
+    sizes = reps.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"_n{name}"))
+    return reps.select(group, "_k", "_c", "_s").join(sizes, group).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col(f"_n{name}")).cast("int"))
 
-    Without ``right`` the rows are compared with their own group, themselves
-    included.
-    """
-    other = left if right is None else right
-    x = _blocks(left, group, key, states, "l")
-    y = _blocks(other, group, key, states, "r")
-    nx = x.select(group, "_nl").distinct()
-    ny = y.select(group, "_nr").distinct()
-    x = x.join(ny, group).select(group, "_k", "_s", F.lit(0).alias("_side"), F.col("_b").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_y"))
-    y = y.join(nx, group).select(group, "_k", "_s", F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("_x"), F.col("_b").alias("_y"))
+
+def compare(left: DataFrame, right: DataFrame, reduce: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], np.ndarray], group: str, kind: str = GAP_AWARE) -> DataFrame:
+    """group, _k and value: what ``reduce(distances, left rows, right rows)`` returns for each left row and block of right rows; both are ``distinct_rows``."""
+    x, y = _blocks(left, group, "l"), _blocks(right, group, "r")
+    nx, ny = x.select(group, "_nl").distinct(), y.select(group, "_nr").distinct()
+    x = x.join(ny, group).select(group, "_k", "_c", "_s", F.lit(0).alias("_side"), F.col("_b").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_y"))
+    y = y.join(nx, group).select(group, "_k", "_c", "_s", F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)).alias("_x"), F.col("_b").alias("_y"))
 
     def both(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["_side"] == 0], f[f["_side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({group: np.zeros(0, object), key: np.zeros(0, np.int64), value: np.zeros(0)})
+            return pd.DataFrame({group: np.zeros(0, object), "_k": np.zeros(0, np.int64), "value": np.zeros(0)})
         d = distance(_matrix(a["_s"]), _matrix(b["_s"]), kind)
-        return pd.DataFrame({group: np.full(len(a), f[group].iloc[0], object), key: a["_k"].to_numpy(), value: reduce(d, a["_k"].to_numpy(), b["_k"].to_numpy())})
+        return pd.DataFrame({group: np.full(len(a), f[group].iloc[0], object), "_k": a["_k"].to_numpy(), "value": reduce(d, a, b)})
+
+    return x.unionByName(y).groupBy(group, "_x", "_y").applyInPandas(both, f"{group} string, _k long, value double")
 
-    return x.unionByName(y).groupBy(group, "_x", "_y").applyInPandas(both, f"{group} string, {key} long, {value} double")
+
+def _to_all(values: DataFrame, reps: DataFrame, keys: DataFrame, group: str, key: str) -> DataFrame:
+    """The values of distinct rows for each row that they stand for."""
+    v = reps.select(group, "_h", "_h2", "_k").join(values, [group, "_k"]).drop("_k")
+    return keys.join(v, [group, "_h", "_h2"]).drop("_h", "_h2")
 
 
 def weights(rows: DataFrame, theta: float, group: str = "family", key: str = "seq_id", states: str = "states", kind: str = GAP_AWARE) -> DataFrame:
     """group, key, neighbours (rows nearer than ``theta``, itself included) and w = 1 / neighbours.
 
     An undefined distance is no neighbour; a row counts as its own neighbour
-    even where its distance to itself is undefined.
+    even where its distance to itself is undefined. Equal rows are compared
+    once.
     """
 
-    def near(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def near(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         with np.errstate(invalid="ignore"):
-            return ((d < theta) | (a[:, None] == b[None])).sum(axis=1).astype(float)
+            count = np.where(d < theta, b["_c"].to_numpy()[None], 0)
+        own = a["_k"].to_numpy()[:, None] == b["_k"].to_numpy()[None]
+        return np.where(own & (count == 0), 1, count).sum(axis=1).astype(float)
 
-    n = compare(rows, None, near, "n", group, key, states, kind).groupBy(group, key).agg(F.sum("n").cast("long").alias("neighbours"))
-    return n.withColumn("w", 1 / F.col("neighbours"))
+    reps, keys = distinct_rows(rows, group, key, states)
+    n = compare(reps, reps, near, group, kind).groupBy(group, "_k").agg(F.sum("value").cast("long").alias("neighbours"))
+    return _to_all(n, reps, keys, group, key).withColumn("w", 1 / F.col("neighbours"))
 
 
 def nearest(left: DataFrame, right: DataFrame | None = None, group: str = "family", key: str = "seq_id", states: str = "states") -> DataFrame:
-    """group, key and d: the gap-aware distance to the nearest row of ``right`` (or of the own group but itself); rows without a defined one are left out."""
+    """group, key and d: the gap-aware distance to the nearest row of ``right`` (or of the own group but itself); rows without a defined one are left out.
 
+    Equal rows are compared once.
+    """
     alone = right is None
 
-    def least(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def least(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         d = np.where(np.isnan(d), np.inf, d)
-        return (np.where(a[:, None] == b[None], np.inf, d) if alone else d).min(axis=1)
+        if alone:
+            # a row that comes several times has an equal one beside itself
+            only = (a["_k"].to_numpy()[:, None] == b["_k"].to_numpy()[None]) & (b["_c"].to_numpy() == 1)[None]
+            d = np.where(only, np.inf, d)
+        return d.min(axis=1)
 
-    out = compare(left, right, least, "d", group, key, states).groupBy(group, key).agg(F.min("d").alias("d"))
-    return out.where(F.col("d") < float("inf"))
+    reps, keys = distinct_rows(left, group, key, states)
+    others = reps if alone else distinct_rows(right, group, key, states)[0]
+    out = compare(reps, others, least, group).groupBy(group, "_k").agg(F.min("value").alias("d"))
+    return _to_all(out.where(F.col("d") < float("inf")), reps, keys, group, key)
 
 
 def distance_histogram(rows: DataFrame, bins: int = 20, group: str = "family", key: str = "seq_id", states: str = "states") -> DataFrame:
-    """group, bin and n: pairs of rows by their gap-aware distance in ``bins`` steps from 0 to 1, the last closed."""
-
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    x = _blocks(rows, group, key, states, "l").join(sizes, group)
+    """group, bin and n: pairs of rows by their gap-aware distance in ``bins`` steps from 0 to 1, the last closed. Equal rows are compared once."""
+    reps, _ = distinct_rows(rows, group, key, states)
+    sizes = reps.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    x = _blocks(reps, group, "l").join(sizes, group)
     # each block with those from it on, once
-    x = x.select(group, "_k", "_s", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    x = x.select(group, "_k", "_s", "_b", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
+    x = x.select(group, "_k", "_c", "_s", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    x = x.select(group, "_k", "_c", "_s", "_b", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
 
     def count(f: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(f["_x"].iloc[0]), int(f["_y"].iloc[0])
@@ -115,10 +134,15 @@ def distance_histogram(rows: DataFrame, bins: int = 20, group: str = "family", k
         out = pd.DataFrame({group: np.zeros(0, object), "bin": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})
         if len(a) and len(b):
             d = distance(_matrix(a["_s"]), _matrix(b["_s"]))
+            c = a["_c"].to_numpy()[:, None] * b["_c"].to_numpy()[None]
             if lo == hi:
-                d = d[np.triu_indices(len(a), 1)]
-            d = d[~np.isnan(d)]
-            n = np.bincount(np.minimum(np.floor(np.round(d * bins, 9)).astype(int), bins - 1), minlength=bins)
+                # pairs of different rows once, and the pairs among equal ones
+                own = a["_c"].to_numpy() * (a["_c"].to_numpy() - 1) // 2
+                c = np.triu(c, 1) + np.diag(own)
+            ok = ~np.isnan(d) & (c > 0)
+            at = np.minimum(np.floor(np.round(d[ok] * bins, 9)).astype(int), bins - 1)
+            n = np.zeros(bins, np.int64)
+            np.add.at(n, at, c[ok])
             k = np.nonzero(n)[0]
             out = pd.DataFrame({group: np.full(len(k), f[group].iloc[0], object), "bin": k.astype(np.int32), "n": n[k]})
         return out

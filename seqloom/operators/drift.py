@@ -65,7 +65,8 @@ def _once(opts: Column) -> Column:
 def with_entries(files: DataFrame, holders: Sequence[str], named: Sequence[str], *keep: Column | str) -> DataFrame:
     """``keep`` and ``opts``, the file's ``entries``, each name once; the holders are parsed once."""
     allow_duplicate_keys(files)
-    return files.select(*keep, entries(holders, named).alias("_all")).select("*", _once(F.col("_all")).alias("opts")).drop("_all")
+    all_ = files.select(*keep, F.explode(F.array(F.struct(entries(holders, named).alias("all")))).alias("_e"))
+    return all_.select("*", _once(F.col("_e.all")).alias("opts")).drop("_e")
 
 
 def options(files: DataFrame, key: str, holders: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
@@ -167,7 +168,8 @@ def _fused(early: str, late: str) -> tuple[Column, Column, Column]:
     full = lambda a: F.filter(a, lambda o: o["tag"] != "null")
     other = F.array_except(F.transform(full(late), typed), F.transform(full(early), typed))
     names = F.transform(full(early), name)
-    retyped = F.filter(F.transform(other, lambda t: F.substr(t, F.instr(t, "/") + 1)), lambda n: F.array_contains(names, n))
+    back = F.transform(other, lambda t: F.substr(t, F.instr(t, "/") + 1))
+    retyped = F.when(F.size(other) > 0, F.array_intersect(back, names)).otherwise(F.array().cast("array<string>"))
     return some(early, only(early, late)), some(late, only(late, early)), retyped
 
 
@@ -181,7 +183,9 @@ def changes(pairs: DataFrame, key: str) -> DataFrame:
     count as removed and added; a null value pairs with none.
     """
     gone, come, retyped = _fused("previous", "opts")
-    p = pairs.select(key, F.sort_array(gone).alias("gone"), F.sort_array(come).alias("come"), retyped.alias("retyped"))
+    fused = F.struct(F.sort_array(gone).alias("gone"), F.sort_array(come).alias("come"), retyped.alias("retyped"))
+    # the explode of a single entry keeps the optimizer from computing the fused files again for each mention
+    p = pairs.select(key, F.explode(F.array(fused)).alias("_f")).select(key, "_f.*")
     p = p.where((F.size("gone") > 0) | (F.size("come") > 0) | (F.size("retyped") > 0))
     same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"]) & (x["tag"] == y["tag"]) & (x["tag"] != "null")
 
