@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import checkpoint, last_delivery
+from seqloom.session import checkpoint, last_delivery, stored
 
 #: Pivots a family in the first round and in each later one, and the most rounds.
-FIRST, SECOND, ROUNDS = 96, 64, 6
+FIRST, SECOND, ROUNDS = 96, 64, 4
 #: Letters of all pivots up to which they are sent to all tasks; more are joined to their families' rows.
 MOST_LETTERS = 64_000_000
 #: Rows of a family that are held together where pivots are joined, and rows up to which a table is broadcast.
@@ -152,8 +152,12 @@ def _top(rows: DataFrame, per_family: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_family).select("family", "s")
 
 
-def _judge(f: pd.DataFrame, pivots_of) -> pd.DataFrame:
-    """The rows of a batch with the nearest pivot (-1: none that overlaps), how near it is, and how complete they are."""
+#: Columns of rows to be judged, and of those that are unlike every pivot, which keep their texts.
+JUDGED, UNLIKE = ["seq_id", "family", "loaded", "h", "h2"], ["seq_id", "family", "s"]
+
+
+def _judge(f: pd.DataFrame, pivots_of, unlike: bool) -> pd.DataFrame:
+    """The rows of a batch with the nearest pivot (-1: none that is alike) and how complete they are, or only those ``unlike`` every pivot."""
     pivot, near, kind = np.full(len(f), -1, np.int32), np.zeros(len(f), np.float32), np.full(len(f), EMPTY, np.int32)
     x, size = codes(list(f["s"].fillna("")))
     n = (x > 0).sum(axis=1)
@@ -165,17 +169,17 @@ def _judge(f: pd.DataFrame, pivots_of) -> pd.DataFrame:
             k = at[b : b + 1024]
             like = pivots.identity(x[k])
             near[k] = like.max(axis=1)
-            pivot[k] = np.where(near[k] > 0, like.argmax(axis=1), -1)
-    return f[["seq_id", "family", "loaded", "h", "h2"]].assign(**{"pivot": pivot, "near": near, "class": kind})
+            pivot[k] = np.where(near[k] >= ALIKE, like.argmax(axis=1), -1)
+    return f.loc[full & (pivot < 0), UNLIKE] if unlike else f[JUDGED].assign(**{"pivot": pivot, "class": kind})
 
 
-def _assign(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+def _assign(rows: DataFrame, pivots: DataFrame, unlike: bool = False) -> DataFrame:
     """``_judge`` for all rows. ``pivots`` has a row for each family: family, texts.
 
     Few pivots are sent to all tasks; where they are more than
     ``MOST_LETTERS``, each family's are joined to parts of its rows.
     """
-    schema = rows.select("seq_id", "family", "loaded", "h", "h2", F.lit(0).alias("pivot"), F.lit(0.0).cast("float").alias("near"), F.lit(0).alias("class")).schema
+    schema = (rows.select(*UNLIKE) if unlike else rows.select(*JUDGED, F.lit(0).alias("pivot"), F.lit(0).alias("class"))).schema
     letters = pivots.select(F.sum(F.length(F.array_join("texts", ""))).alias("n")).first()["n"] or 0
     if letters <= MOST_LETTERS:
         shared = rows.sparkSession.sparkContext.broadcast({r["family"]: r["texts"] for r in pivots.toLocalIterator()})
@@ -189,17 +193,17 @@ def _assign(rows: DataFrame, pivots: DataFrame) -> DataFrame:
                 return ready.get(family)
 
             for f in (part for f in frames for part in bounded(f)):
-                yield _judge(f, of)
+                yield _judge(f, of, unlike)
 
         return rows.mapInPandas(make, schema)
     parts = rows.groupBy("family").agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias("_n"))
-    left = rows.join(parts, "family").withColumn("_part", F.pmod(F.xxhash64("seq_id", "h"), F.col("_n")).cast("int")).drop("_n")
+    left = rows.join(parts, "family").withColumn("_part", F.pmod(F.xxhash64("seq_id"), F.col("_n")).cast("int")).drop("_n")
     right = pivots.join(parts, "family").select("family", "texts", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_part"))
 
     def both(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         own = Pivots(list(p["texts"].iloc[0])) if len(p) else None
-        done = [_judge(part, lambda _: own) for part in bounded(f)]
-        return pd.concat(done, ignore_index=True) if done else f[["seq_id", "family", "loaded", "h", "h2"]].assign(pivot=0, near=0.0, **{"class": 0})
+        done = [_judge(part, lambda _: own, unlike) for part in bounded(f)]
+        return pd.concat(done, ignore_index=True) if done else _judge(f, lambda _: own, unlike)
 
     return left.groupBy("family", "_part").cogroup(right.groupBy("family", "_part")).applyInPandas(both, schema)
 
@@ -314,11 +318,10 @@ def varied_subset(rows: DataFrame, sizes: DataFrame, key: str = "seq_id", family
     packed = lambda p: p.groupBy("family").agg(F.sort_array(F.collect_list("s")).alias("texts"))
     new = packed(_top(seen, FIRST))
     pivots = checkpoint(new)
-    far, found = seen, pivots
+    far, found = seen.select(*UNLIKE), pivots
     for _ in range(ROUNDS - 1):
-        unlike = _assign(far, found).where(F.col("near") < ALIKE).select("seq_id", "family", "h", "h2").distinct()
-        # the few rows that are unlike every pivot: their texts are looked up again
-        far = checkpoint(far.join(unlike, ["seq_id", "family", "h", "h2"], "left_semi"))
+        # the few rows that are unlike every pivot so far
+        far = stored(_assign(far, found, unlike=True))
         if far.isEmpty():
             break
         found = checkpoint(packed(_top(far, SECOND)))
@@ -332,8 +335,7 @@ def varied_subset(rows: DataFrame, sizes: DataFrame, key: str = "seq_id", family
                 yield pd.DataFrame({"family": family, "pivot": np.arange(len(g), dtype=np.int32), "subfamily": np.array(g, np.int32)})
 
     subfamily = checkpoint(pivots.mapInPandas(lead, "family string, pivot int, subfamily int"))
-    judged = _assign(text, pivots).withColumn("pivot", F.when(F.col("near") >= ALIKE, F.col("pivot")).otherwise(-1))
-    last = last_delivery(judged, "seq_id", "loaded", ["family", "h", "h2", "pivot", "class"])
+    last = stored(last_delivery(_assign(text, pivots), "seq_id", "loaded", ["family", "h", "h2", "pivot", "class"]))
     # texts that come several times: the first row stands for them, the others are copies
     texts = ["family", "h", "h2"]
     first = checkpoint(last.where(F.col("class") != EMPTY).groupBy(*texts).agg(F.min("seq_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -349,7 +351,9 @@ def varied_subset(rows: DataFrame, sizes: DataFrame, key: str = "seq_id", family
         f = f.sort_values(["subfamily", "pivot", "class"]).reset_index(drop=True)
         return f.assign(family=str(f["family"].iloc[0]), quota=solve(f[["subfamily", "pivot", "class", "count"]], int(f["n_select"].iloc[0])).astype("int32"))[[*names, "count", "quota"]]
 
-    combos = counts.groupBy("family").applyInPandas(quotas, "family string, subfamily int, pivot int, class int, count long, quota int")
+    # little data, but work for each family: not to be put together in one task
+    spread = counts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family")
+    combos = spread.groupBy("family").applyInPandas(quotas, "family string, subfamily int, pivot int, class int, count long, quota int")
     most = want.agg(F.max("n_select")).first()[0] or 0
     order = Window.partitionBy(*names).orderBy(F.xxhash64("seq_id"), "seq_id")
     ranked = cat.withColumn("r", F.row_number().over(order)).where(F.col("r") <= int(most))
