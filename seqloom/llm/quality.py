@@ -36,8 +36,9 @@ _BULLET = r"(?:\$|\\\()\s*\\(?:bullet|cdot|circ|star|ast|diamond|triangleright|r
 #: A line of cells; what a repeat took it never gives back, which keeps the time linear in the line.
 _CELLS = r"(?m)^(?:[^\n&]*&[^\n]*\\\\[^\n]*|[^\n\t]*\t[^\n]*|[^\n|]*\|[^\n|]*\|[^\n]*|[^\n,]*+(?:,[-+\d. ]*+){2,}+\r?|[^\n;]*+(?:;[-+\d. ]*+){2,}+\r?|[^\n]*?\S {3,}\S[^\n]*)$"
 _ENTRY = r"(?m)^[ ]*(?:(?:[-–—]{1,3}|[*+•·]|\(?\d{1,4}[ ]?[.):\-]|\(?[a-zA-Z][.)])[ ](?:\S++[ ]++){0,8}\S*+[ ]*|\\(?:item|entry|glsentry)[^\n]{0,90}|[^\n]*(?:\\dotfill|\.{4,}|\\\\)[^\n]{0,12})\r?$"
-#: A sentence, or else whatever comes up to the next sign that ends one: matches everywhere, so that the time is linear. Decimals are taken out before, so that a point ends a sentence.
-_SENTENCE = r"([^.!?\\&|=<>_^*#+@]{25,}+[.!?])|[^.!?\\&|=<>_^*#+@]*+(?:[.!?\\&|=<>_^*#+@]|\z)"
+#: What no sentence holds; a sentence begins behind it, so that each run of other signs is looked through once. Decimals are taken out before, so that a point ends a sentence.
+_STOP = r".!?\\&|=<>_^*#+@"
+_SENTENCE = rf"(?:^|(?<=[{_STOP}]))[^{_STOP}]{{25,}}+[.!?]"
 _DECIMAL = r"(?<=\d)[.,](?=\d)"
 _COMMAND = r"\\[A-Za-z@]+\*?(?:\[[^\]\n]*\])?"
 
@@ -98,7 +99,7 @@ def statistics(documents: DataFrame, common_list: Sequence[str], doc_id: str = "
         size("uncelled").alias("n1"),
         size("free").alias("n2"),
         size("plain").alias("n3"),
-        size(F.regexp_replace("plain", _SENTENCE, "$1")).alias("n4"),
+        size(F.regexp_replace("plain", _SENTENCE, "")).alias("n4"),
         F.split(F.lower("plain"), " ").alias("pw"),
     )
     common = F.array(*[F.lit(c) for c in common_list]).cast("array<string>")
@@ -116,7 +117,7 @@ def statistics(documents: DataFrame, common_list: Sequence[str], doc_id: str = "
         _ratio(n - size(F.translate("body", "0123456789", "")), n).alias("digit_ratio"),
         _ratio(F.regexp_count("body", F.lit(r"(?m)[.!?][\"')}]{0,3}[ \t]*$")), F.col("lines")).alias("punctuated_lines"),
         _ratio(F.size(F.filter("pw", lambda x: F.array_contains(common, x))), F.size("pw")).alias("common_words"),
-        _ratio(F.col("n4"), n).alias("sentence_share"),
+        _ratio(F.col("n3") - F.col("n4"), n).alias("sentence_share"),
         _ratio(n - F.col("n1"), n).alias("cell_share"),
         _ratio(F.col("n1") - F.col("n2"), n).alias("entry_share"),
         _ratio(F.col("n2") - F.col("n3"), n).alias("command_share"),
