@@ -3,6 +3,8 @@ import itertools
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from seqloom.operators import alignment as A
 from seqloom.operators import distances as D
 from seqloom.operators import frequencies as N
@@ -199,3 +201,67 @@ def test_components_are_those_of_the_covariance(msa, rows):
 def test_empty_alignment(rows):
     none = rows.limit(0)
     assert D.weights(none, 0.3).count() == N.block_strength(none).count() == N.single_counts(none).count() == 0
+
+
+def small_groups():
+    rng = np.random.default_rng(12)
+    out = {}
+    for g, (n, width) in {"A": (40, 6), "B": (7, 5), "C": (1, 4)}.items():
+        x = rng.integers(0, 5, (n, width))
+        x[:, 1] = x[:, 0]
+        out[g] = x
+    return out
+
+
+def pair_counts(x, w=None):
+    n, width = x.shape
+    hot = np.eye(21)[x]
+    return np.einsum("n,nia,njb->ijab", np.ones(n) if w is None else w, hot, hot)
+
+
+@pytest.mark.parametrize("task", [100_000, 3])
+def test_pair_statistics_equal_numpy(spark, task, monkeypatch):
+    monkeypatch.setattr(N, "ROWS_A_TASK", task)
+    groups = small_groups()
+    rng = np.random.default_rng(13)
+    data, weights = [], {g: rng.random(len(x)) for g, x in groups.items()}
+    for g, x in groups.items():
+        data += [(g, len(data) + k, s.tolist(), float(weights[g][k]), "clash") for k, s in enumerate(x)]
+    df = spark.createDataFrame(data, "family string, seq_id long, states array<int>, w double, i string")
+    got = {(r["family"], r["i"], r["j"]): r["strength"] for r in N.block_strength(df, weight="w").collect()}
+    energies = {r["seq_id"]: r["energy"] for r in P.pair_energies(df, N.log_odds, P.profile_fields(N.with_pseudocount(N.single_counts(df), df.groupBy("family").agg(F.count("*").alias("total")), df.groupBy("family").agg(F.max(F.size("states")).alias("n_cols")))), rows_a_task=5).collect()}
+    kept = {}
+    for r in N.kept_cells(df, N.correlation, 90).collect():
+        kept.setdefault(r["family"], set()).add((r["i"], r["j"], r["a"], r["b"]))
+    first = 0
+    for g, x in groups.items():
+        n, width = x.shape
+        c = pair_counts(x, weights[g])
+        p = c / weights[g].sum()
+        f = np.array([np.diag(p[i, i]) for i in range(width)])
+        for i in range(width):
+            for j in range(i + 1, width):
+                assert got[g, i, j] == pytest.approx(np.linalg.norm(p[i, j] - np.outer(f[i], f[j])), abs=1e-9)
+        q = (1 - 1 / n) * pair_counts(x) / n + 1 / n / 441
+        h = np.log((1 - 1 / n) * np.array([np.diag(pair_counts(x)[i, i]) for i in range(width)]) / n + 1 / n / 21)
+        for k, s in enumerate(x):
+            e = -h[np.arange(width), s].sum() - sum(np.log(q[i, j, s[i], s[j]]) - h[i, s[i]] - h[j, s[j]] for i in range(width) for j in range(i + 1, width))
+            assert energies[first + k] == pytest.approx(e, abs=1e-8)
+        first += n
+        p = pair_counts(x) / n
+        f = np.array([np.diag(p[i, i]) for i in range(width)])
+        cells = [(-round(abs(p[i, j, a, b] - f[i, a] * f[j, b]), 9), i, j, a, b) for i in range(width) for j in range(i + 1, width) for a in range(21) for b in range(21)]
+        want = [z[1:] for z in sorted(cells)[: int(width * width * 441 / 2 * 0.1 + 1e-9)] if z[0] < 0]
+        assert kept.get(g, set()) == set(want)
+    assert N.kept_cells(df, N.correlation, 100).count() == 0 and N.kept_cells(df.limit(0), N.correlation, 90).count() == 0
+
+
+def test_ranks_over_several_windows(spark):
+    rng = np.random.default_rng(14)
+    data = [(str(k % 3), k, int(rng.integers(0, 20))) for k in range(200)] + [("0", 999, None)]
+    df = spark.createDataFrame(data, "family string, seq_id long, o long")
+    for size in (1, 7, 1000):
+        got = {r["seq_id"]: (r["_r"], r["_n"]) for r in A.ranked(df, ["family"], F.col("o"), "seq_id", size).collect()}
+        for g in "012":
+            order = sorted((o, k) for f, k, o in data if f == g and o is not None)
+            assert {k: (r + 1, len(order)) for r, (_, k) in enumerate(order)} == {k: v for k, v in got.items() if str(k % 3) == g}
