@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.nested import NUMBER, allow_duplicate_keys
+from seqloom.session import stored
 
 BRANCHES = ("boolean", "number", "string", "array", "object")
 
@@ -176,8 +177,8 @@ def _fused(early: str, late: str) -> tuple[Column, Column, Column]:
 def changes(pairs: DataFrame, key: str) -> DataFrame:
     """What each file added, removed, renamed or retyped against its predecessor.
 
-    ``pairs`` has key, ``opts`` and ``previous``: arrays of (name, tag, h1,
-    h2), the latter being hashes of the value. Result: key, old_name,
+    ``pairs`` has key, ``opts`` and ``previous``: arrays of (name, tag, h),
+    the latter being a hash of the value. Result: key, old_name,
     new_name, change. Where several names that went and several that came
     share one value, they are paired in the order of their names and the rest
     count as removed and added; a null value pairs with none.
@@ -187,7 +188,7 @@ def changes(pairs: DataFrame, key: str) -> DataFrame:
     # the explode of a single entry keeps the optimizer from computing the fused files again for each mention
     p = pairs.select(key, F.explode(F.array(fused)).alias("_f")).select(key, "_f.*")
     p = p.where((F.size("gone") > 0) | (F.size("come") > 0) | (F.size("retyped") > 0))
-    same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"]) & (x["tag"] == y["tag"]) & (x["tag"] != "null")
+    same = lambda x, y: (x["h"] == y["h"]) & (x["tag"] == y["tag"]) & (x["tag"] != "null")
 
     def partner(o: Column, own: str, others: str) -> Column:
         """The name on the other side that is as far on among those of this value."""
@@ -209,13 +210,13 @@ def drift(files: DataFrame, key: str, series: str, order: str, holders: Sequence
     over; the first file of a series reports nothing. Files without a series
     or an order number are in no series. Holders that are no JSON object
     count as holders without options. Other columns are not used. Options
-    are parsed once and shuffled packed, one row a file, with 128-bit hashes
-    in place of their values; the predecessors are found by keys alone.
+    are parsed once and stored and shuffled packed, one row a file, with
+    64-bit hashes in place of their values (only those of two neighbouring
+    files are ever compared); the predecessors are found by keys alone.
     """
     held = F.coalesce(*[F.col(h) for h in (*holders, *named)]).isNotNull()
     there = files.where(held & F.col(series).isNotNull() & F.col(order).isNotNull())
-    brief = lambda o: F.struct(o["name"].alias("name"), o["tag"].alias("tag"), F.xxhash64(o["value"]).alias("h1"), F.xxhash64(F.lit(7), o["value"]).alias("h2"))
-    # the exchange keeps later projections from being computed again for each use of an entry
-    opts = with_entries(there, holders, named, key).select(key, F.transform("opts", brief).alias("opts")).repartition(key)
+    brief = lambda o: F.struct(o["name"].alias("name"), o["tag"].alias("tag"), F.xxhash64(o["value"]).alias("h"))
+    opts = stored(with_entries(there, holders, named, key).select(key, F.transform("opts", brief).alias("opts")))
     late = previous_file(there, key, series, order).join(opts, key)
     return changes(late.join(opts.select(F.col(key).alias("previous"), F.col("opts").alias("_early")), "previous").select(key, "opts", F.col("_early").alias("previous")), key)
