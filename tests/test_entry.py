@@ -13,7 +13,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_types", "s6_csv_to_fasta", "a1_weights", "a4_pair_correlations", "t1_coupling_mask", "w2_gauge_fields", "a9_energies", "r3_shuffled_columns"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_types", "s6_csv_to_fasta", "a1_weights", "a4_pair_correlations", "t3_frequent_pairs", "w2_gauge_fields", "a9_energies", "r3_shuffled_columns"])
 def test_queries_equal_their_sql(spark, name):
     import glob
     import os
