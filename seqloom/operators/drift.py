@@ -217,6 +217,7 @@ def drift(files: DataFrame, key: str, series: str, order: str, holders: Sequence
     held = F.coalesce(*[F.col(h) for h in (*holders, *named)]).isNotNull()
     there = files.where(held & F.col(series).isNotNull() & F.col(order).isNotNull())
     brief = lambda o: F.struct(o["name"].alias("name"), o["tag"].alias("tag"), F.xxhash64(o["value"]).alias("h"))
-    opts = stored(with_entries(there, holders, named, key).select(key, F.transform("opts", brief).alias("opts")))
-    late = previous_file(there, key, series, order).join(opts, key)
+    kept = stored(with_entries(there, holders, named, key, series, order).select(key, series, order, F.transform("opts", brief).alias("opts")))
+    opts = kept.select(key, "opts")
+    late = previous_file(kept, key, series, order).join(opts, key)
     return changes(late.join(opts.select(F.col(key).alias("previous"), F.col("opts").alias("_early")), "previous").select(key, "opts", F.col("_early").alias("previous")), key)
