@@ -19,8 +19,6 @@ TENTH = 10
 CUTS = 3
 #: Letters that are held as one matrix at most, the padding of shorter rows included; one longer row is held alone.
 CELLS = 4_000_000
-#: Texts up to this length are given the exact search for a move where the search by diagonals finds none and no bound excludes one.
-EXACT = 256
 
 
 def budget(length):
@@ -250,46 +248,85 @@ def lacking(a: str, b: str, most: int) -> int:
     return count
 
 
-def _rows(cur: np.ndarray, letter: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The next rows of tables of edit distances (last axis: place in ``b``) after one more letter of the other text."""
-    ramp = np.arange(cur.shape[-1], dtype=np.int16)
-    new = cur + np.int16(1)
-    np.minimum(new[..., 1:], cur[..., :-1] + (b != letter), out=new[..., 1:])
-    return np.minimum.accumulate(new - ramp, axis=-1) + ramp
-
-
 def exact_move(a: str, b: str, most: int) -> bool:
     """Whether some exchange of two neighbouring blocks of ``a`` brings it within ``most`` edits of ``b``; all are tried.
 
-    ``head[x]`` has the distances of the first x letters to all beginnings of
-    b. For each x that is still within ``most``, ``moved[m, j]`` goes on from
-    there with the letters behind m, and ``block[m][i, j]`` compares the
-    letters from x to m with b from i to j.
+    Rows of tables of edit distances are held as bands: after i letters only
+    places in b from ``i - most`` to ``i + most`` can be within ``most``
+    edits. ``head[x]`` has the distances of the first x letters, ``end[y]``
+    those of the letters from y on. For each x, rows for all m go on from
+    ``head[x]`` with the letters behind m, and where these can end at y the
+    letters from x to m follow. Memory grows with length times ``most``.
     """
     u, v = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (a, b))
     n, w = len(u), len(v)
-    ramp, big = np.arange(w + 1, dtype=np.int16), np.int16(1 << 12)
-    head = [ramp]
-    for c in u:
-        head.append(_rows(head[-1], c, v))
-    tail = [ramp]
-    for c in u[::-1]:
-        tail.append(_rows(tail[-1], c, v[::-1]))
-    tail = [t[::-1] for t in tail[::-1]]
+    if n < 2 or abs(n - w) > most:
+        return False
+    width, kind = 2 * most + 1, np.int16 if n + w + 4 * most < 30_000 else np.int32
+    ramp, big = np.arange(width, dtype=kind), kind(most + 1)
+
+    def windows(text: np.ndarray) -> np.ndarray:
+        wide = np.zeros(n + width, np.uint8)
+        wide[most : most + w] = text
+        return np.lib.stride_tricks.sliding_window_view(wide, width)
+
+    def step(cur: np.ndarray, letter: np.ndarray | int, near: np.ndarray) -> np.ndarray:
+        new = np.full(cur.shape, big, kind)
+        new[..., :-1] = cur[..., 1:] + kind(1)
+        np.minimum(new, cur + (near != letter), out=new)
+        return np.minimum.accumulate(new - ramp, axis=-1) + ramp
+
+    def heads(text: np.ndarray, near: np.ndarray) -> np.ndarray:
+        out = np.empty((n + 1, width), kind)
+        out[0] = np.where(ramp >= most, ramp - kind(most), big)
+        for k, c in enumerate(text):
+            out[k + 1] = step(out[k], c, near[k])
+        return out
+
+    near = windows(v)
+    head, back = heads(u, near), heads(u[::-1], windows(v[::-1]))[::-1]
+    end = np.full((n + 1, width), big, kind)
+    at = w - n + 2 * most - ramp.astype(np.int64)
+    inside = (at >= 0) & (at < width)
+    end[:, inside] = back[:, at[inside]]
+    least = end.min(axis=1)
+
+    def fits(x: int, m: np.ndarray, y: np.ndarray, cur: np.ndarray) -> bool:
+        """Whether one of the rows, which have read the block from m to y, is within reach after the block from x to m."""
+        k = 0
+        while len(m):
+            done = m == x + k
+            if done.any():
+                if ((cur[done] + end[y[done]]).min(axis=1) <= most).any():
+                    return True
+            left = ~done & (cur.min(axis=1) + least[y] <= most)
+            m, y, cur = m[left], y[left], cur[left]
+            if len(m):
+                cur = step(cur, u[x + k], near[x + y - m + k])
+            k += 1
+        return False
+
     for x in range(n - 1):
         if head[x].min() > most:
             break
-        block = [np.where(ramp[None] >= ramp[:, None], ramp[None] - ramp[:, None], big).astype(np.int16)]
-        for m in range(x + 1, n):
-            block.append(_rows(block[-1], u[m - 1], v))
-        moved = np.full((n + 1, w + 1), big, np.int16)
-        for y in range(x + 2, n + 1):
-            moved[y - 1] = head[x]
-            moved[x + 1 : y] = _rows(moved[x + 1 : y], u[y - 1], v)
-            end = tail[y]
-            for m in x + 1 + np.nonzero(moved[x + 1 : y].min(axis=1) + end.min() <= most)[0]:
-                if (moved[m][:, None] + block[m - x] + end[None]).min() <= most:
+        m = np.arange(x + 1, n)
+        cur = np.repeat(head[x][None], len(m), axis=0)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = t = 0
+        while len(m):
+            cur = step(cur, u[m + t][:, None], near[x + t][None])
+            t += 1
+            low = cur.min(axis=1)
+            reach = low + least[m + t] <= most
+            if reach.any():
+                found.append((m[reach], m[reach] + t, cur[reach]))
+                held += int(reach.sum()) * width
+            left = (low <= most) & (m + t < n)
+            m, cur = m[left], cur[left]
+            if found and (held > CELLS // 4 or not len(m)):
+                if fits(x, *(np.concatenate(z) for z in zip(*found, strict=True))):
                     return True
+                found, held = [], 0
     return False
 
 
@@ -297,11 +334,7 @@ def exact_move(a: str, b: str, most: int) -> bool:
 
 
 def verify(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Which pairs of texts are near duplicates.
-
-    Where the search by diagonals leaves a pair of texts of over ``EXACT``
-    letters open, it counts as none.
-    """
+    """Which pairs of texts are near duplicates, of whatever length."""
     out = np.zeros(len(a), bool)
     # a text is in several pairs
     code, texts = pd.factorize(pd.concat([a, b], ignore_index=True).to_numpy(object))
@@ -340,7 +373,7 @@ def _verify(texts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     pairs = [(k, x, y, e) for k, x, y, e in pairs if lacking(x, y, e + CUTS) <= e + CUTS and lacking(y, x, e + CUTS) <= e + CUTS]
     rest = set(search(np.array([k for k, *_ in pairs], np.int64), 7, 12).tolist())
     for k, x, y, e in pairs:
-        if k in rest and max(len(x), len(y)) <= EXACT:
+        if k in rest:
             ok[k] = exact_move(x, y, e)
     out[todo] = ok
     return out

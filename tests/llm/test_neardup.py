@@ -153,6 +153,17 @@ def test_exact_move_equals_brute_force(a, b, most):
         assert E.lacking(a, b, 99) <= most + 3 and E.lacking(b, a, 99) <= most + 3
 
 
+def test_long_texts_are_searched_exactly_too(monkeypatch):
+    # the search by diagonals finds nothing here, so the exact one has to
+    monkeypatch.setattr(E, "_moves", lambda a, la, *_: np.zeros(len(la), bool))
+    rng = np.random.default_rng(11)
+    for n in (120, 290):
+        s = text(rng, n)
+        other = s[: n // 3] + s[2 * n // 3 :] + s[n // 3 : 2 * n // 3]
+        near = other[:20] + "".join(LETTERS[k] for k in rng.integers(0, 20, 4)) + other[24:-9] + other[-8:]
+        assert E.verify(pd.Series([s, near, s]), pd.Series([near, s, text(rng, n)])).tolist() == [True, True, False]
+
+
 SCHEMA = "seq_id long, states array<int>, loaded_at timestamp, s string, class string"
 
 
