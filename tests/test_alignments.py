@@ -70,6 +70,32 @@ def test_distances_equal_numpy(msa, rows, block, monkeypatch):
             assert h[100 * k + n] == ((x[n][None] != x).mean(axis=1) < 0.3).sum()
 
 
+@pytest.fixture(scope="module")
+def relatives():
+    rng = np.random.default_rng(8)
+    out = {}
+    for width in (5, 64, 96, 140, 300):
+        base = rng.integers(0, Q, (4, width))
+        x = base[rng.integers(0, 4, 260)]
+        x = np.where(rng.random(x.shape) < rng.choice([0.02, 0.15, 0.3, 0.6], (260, 1)), rng.integers(0, Q, x.shape), x)
+        x[:12, width // 3 :] = 0
+        out[width] = x.astype(np.uint8)
+    return out
+
+
+def test_near_pairs_equal_brute_force(relatives):
+    for x in relatives.values():
+        d = np.array([[dist(a, b) for b in x] for a in x])
+        h = 1 - (x[:, None] == x[None]).sum(axis=2) / x.shape[1]
+        for kind, far in ((D.GAP_AWARE, d), (D.HAMMING, h)):
+            for theta in (0.1, 0.3, 0.8):
+                got = {(int(r), int(c)) for i, j in D.near_pairs(x, None, theta, kind) for r, c in zip(i, j)}
+                assert got == {(r, c) for r, c in zip(*np.nonzero(far < theta)) if r < c}
+                got = {(int(r), int(c)) for i, j in D.near_pairs(x[:90], x[90:], theta, kind) for r, c in zip(i, j)}
+                assert got == {(r, c) for r, c in zip(*np.nonzero(far[:90, 90:] < theta))}
+    assert not list(D.near_pairs(x, None, -0.1, D.HAMMING))
+
+
 @pytest.mark.parametrize("rows_a_task", [7, 100_000])
 def test_block_strength_equals_numpy(msa, rows, rows_a_task):
     got = {(r["family"], r["i"], r["j"]): r["strength"] for r in N.block_strength(rows, rows_a_task=rows_a_task).collect()}
