@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -203,7 +203,20 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, do
         return pd.DataFrame({"plan_name": key[0], "source": key[1], "n_tokens": list(got.keys()), "take": list(got.values())})
 
     # a pool is bounded, and each is solved in a task of its own
-    taken = lengths.groupBy("plan_name", "source").applyInPandas(fill, f"{fields}, n_tokens long, take long")
+    taken = checkpoint(lengths.groupBy("plan_name", "source").applyInPandas(fill, f"{fields}, n_tokens long, take long"))
+
+    # a rest that a pool's lengths don't make up is filled from more documents: all behind, then also more and more of those before
+    met = {(r["plan_name"], r["source"]): r["n"] for r in taken.groupBy("plan_name", "source").agg(F.sum(F.col("n_tokens") * F.col("take")).alias("n")).collect()}
+    open_ = [key for key, c in cut.items() if met.get(key, 0) < c["rest"] - c["sum"] and (c["lo"] or c["hi"] < SLOTS**LEVELS)]
+    if open_:
+        more = _wider(spread, {key: cut[key]["rest"] for key in open_}, {key: int(cut[key]["lo"]) for key in open_}, planned)
+        for key, (lo, left) in more.items():
+            cut[key] |= {"lo": lo, "hi": SLOTS**LEVELS, "sum": cut[key]["rest"] - left}
+        pools = planned([(p, s, int(c["lo"]), int(c["hi"]), int(c["rest"] - c["sum"])) for (p, s), c in cut.items()], "lo int, hi int, left long")
+        placed = spread.join(pools, ["plan_name", "source"]).where("at < hi")
+        pool = placed.where("at >= lo").select("plan_name", "source", "doc_id", "n_tokens", "at", "left")
+        lengths = pool.groupBy("plan_name", "source", "n_tokens").agg(F.count("*").alias("c"), F.max("left").alias("left"))
+        taken = lengths.groupBy("plan_name", "source").applyInPandas(fill, f"{fields}, n_tokens long, take long")
     rank = F.row_number().over(Window.partitionBy("plan_name", "source", "n_tokens").orderBy("at", "doc_id"))
     extra = placed.where("at < lo").select("plan_name", "source", "doc_id").unionByName(
         pool.withColumn("r", rank).join(taken, ["plan_name", "source", "n_tokens"]).where("r <= take").select("plan_name", "source", "doc_id")
@@ -221,6 +234,38 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, do
     return {"selected": selected, "report": report.withColumn("share", F.coalesce(share, F.lit(0.0)))}
 
 
+def _wider(spread: DataFrame, rests: dict[tuple[str, str], int], los: dict[tuple[str, str], int], planned: Callable[[list[tuple], str], DataFrame]) -> dict[tuple[str, str], tuple[int, int]]:
+    """For each plan and source, the slot from which on all documents are given to the knapsack, and what they are then to fill.
+
+    The slot moves to the beginning by halves until the rest is met; at 0 the
+    knapsack is over all documents, and nothing comes closer.
+    """
+    fields = "plan_name string, source string"
+    done: dict[tuple[str, str], tuple[int, int]] = {}
+    while los:
+        at = planned([(p, s, lo, rests[p, s]) for (p, s), lo in los.items()], "lo int, rest long")
+        mine = spread.join(at, ["plan_name", "source"])
+        before = F.coalesce(F.sum(F.when(F.col("at") < F.col("lo"), F.col("n_tokens"))), F.lit(0))
+        left = mine.groupBy("plan_name", "source").agg((F.max("rest") - before).alias("left"))
+        lengths = mine.where("at >= lo").groupBy("plan_name", "source", "n_tokens").agg(F.count("*").alias("c")).join(left, ["plan_name", "source"])
+
+        def fill(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            rest = int(f["left"].iloc[0])
+            got = knapsack({int(k): int(v) for k, v in zip(f["n_tokens"], f["c"], strict=True)}, rest)
+            return pd.DataFrame({"plan_name": key[0], "source": key[1], "left": [rest], "n": [sum(k * v for k, v in got.items())]})
+
+        got = {(r["plan_name"], r["source"]): (r["left"], r["n"]) for r in lengths.groupBy("plan_name", "source").applyInPandas(fill, f"{fields}, left long, n long").collect()}
+        ahead = {}
+        for key, lo in los.items():
+            rest, n = got.get(key, (0, -1))
+            if n == rest or not lo:
+                done[key] = (lo, rest)
+            else:
+                ahead[key] = lo // 2
+        los = ahead
+    return done
+
+
 def _advance(cut: dict[tuple[str, str], dict], slots: pd.DataFrame, width: int) -> None:
     """Moves each cut over whole slots as long as a rest that a pool can fill stays."""
     for key, mine in slots.groupby(["plan_name", "source"]):

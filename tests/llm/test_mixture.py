@@ -96,3 +96,17 @@ def test_coarse_and_fine_slots_fill_alike(spark, slots, monkeypatch):
     plans = [("a", "big one", 1.0, 2, 0.5), ("a", "MID-two", 1.0, 2, 0.5)]
     report, _ = run(spark, docs(spark), plans)
     assert all(r["tokens"] == r["target_tokens"] for r in report.values())
+
+
+def test_a_rest_is_filled_from_documents_beyond_the_pool(spark):
+    # all lengths but those of a few documents, which the pool may not hold, are the same
+    rows = [(k, 10 if k % 1_499 else 7, "s") for k in range(6_000)]
+    d = spark.createDataFrame([(k, "word " * n, s) for k, n, s in rows], "doc_id long, text string, source string")
+    plans = [(f"p{k}", "s", 1.0, 1, 0.3 + k / 60_000) for k in range(12)]
+    report, selected = run(spark, d, plans)
+    sizes = M.token_count(M.F.col("text"))
+    counts = {r["n"]: r["c"] for r in d.select(sizes.alias("n")).groupBy("n").agg(M.F.count("*").alias("c")).collect()}
+    for r in report.values():
+        best = M.knapsack(counts, r["target_tokens"])
+        assert r["tokens"] == sum(k * n for k, n in best.items())
+    assert len({(r["plan_name"], r["doc_id"]) for r in selected}) == len(selected)
