@@ -107,6 +107,13 @@ def test_block_strength_equals_numpy(msa, rows, rows_a_task):
     assert len(got) == sum(x.shape[1] * (x.shape[1] - 1) // 2 for x in msa.values())
 
 
+def test_weighted_products_count_equal_weights_together():
+    rng = np.random.default_rng(4)
+    h = N._one_hot(rng.integers(0, Q, (300, 6)))
+    for w in (np.where(rng.random(300) < 0.9, 1.0, rng.random(300)), rng.random(300), np.full(300, 0.25), np.zeros(300)):
+        assert np.allclose(N._weighted(h, w), (h.astype(float) * w[:, None]).T @ h.astype(float), atol=1e-12)
+
+
 def parts(rows):
     s = N.single_counts(rows)
     v = N.variable_columns(s, 4)
