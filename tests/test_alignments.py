@@ -10,6 +10,8 @@ from seqloom.operators import distances as D
 from seqloom.operators import frequencies as N
 from seqloom.operators import potts as P
 from seqloom.operators import sampling as M
+from seqloom.operators import shuffles as S
+from seqloom.plans import alignments as Q_
 
 Q = A.Q
 
@@ -298,3 +300,42 @@ def test_ranks_over_several_windows(spark):
         for g in "012":
             order = sorted((o, k) for f, k, o in data if f == g and o is not None)
             assert {k: (r + 1, len(order)) for r, (_, k) in enumerate(order)} == {k: v for k, v in got.items() if str(k % 3) == g}
+
+
+def test_draws_by_column_equal_md5():
+    import hashlib
+
+    keys = [0, 7, -3, 12345, 10**18, -(2**63), 2**63 - 1, 99, 100]
+    draws = S.Draws("shuffle", np.array(keys))
+    for pos in (0, 9, 10, 123, 4567):
+        assert draws(pos).tolist() == [int(hashlib.md5(f"shuffle:{pos}:{k}".encode()).hexdigest()[:8], 16) for k in keys]
+
+
+@pytest.mark.parametrize("columns, packed", [(32, 1 << 16), (3, 4)])
+def test_shuffled_checksums_equal_the_sums_of_shuffled_cells(spark, columns, packed, monkeypatch):
+    monkeypatch.setattr(S, "COLUMNS", columns)
+    monkeypatch.setattr(S, "ROWS", packed)
+    rng = np.random.default_rng(3)
+    # rows of unlike width, nulls, a row of nulls, one without columns, states beyond a byte, no group
+    data = [("A", int(n) - 20, [None if rng.random() < 0.1 else int(s) for s in rng.integers(-1, Q, rng.integers(1, 40))]) for n in rng.permutation(60)]
+    data += [("B", 5, [None, None]), ("B", 6, []), ("B", 7, None), ("C", 1, [1 << 20, -(1 << 31)]), ("C", 2, [3, 300]), ("C", 3, [-128, 4]), ("D", -(1 << 62), [2]), ("D", 1 << 62, [9]), (None, 8, [1])]
+    rows = spark.createDataFrame(data, "family string, seq_id long, states array<int>").repartition(3)
+    want = A.shuffle_columns(rows).groupBy("family", "seq_id").agg(F.sum((F.col("pos") + 1) * F.col("state").cast("long")).alias("checksum"))
+    got = sorted(map(tuple, S.shuffled_checksums(rows).collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and ("B", 5, None) in got
+
+
+def test_shuffled_columns_query_makes_no_row_for_each_cell(spark):
+    plan = Q_.QUERIES["r3_shuffled_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
+def test_rows_as_bytes_are_the_rows(spark, tmp_path):
+    from datetime import datetime
+
+    states = [[1, 2], [1, 300], None, [], [None, -129], [None], [127, -128], [1 << 30]]
+    data = [(k, "A", "Train", s, datetime(2026, 1, 1 + day)) for k, s in enumerate(states) for day in (0, k % 2)] + [(0, "A", "Test", [5, 6], datetime(2026, 2, 1)), (None, "A", None, [1], None)]
+    spark.createDataFrame(data, "seq_id long, family string, split string, states array<int>, loaded_at timestamp").write.parquet(f"{tmp_path}/align_rows.parquet")
+    want, got = Q_.rows(spark, str(tmp_path)), Q_.rows_as_bytes(spark, str(tmp_path))
+    assert got.schema == want.schema and want.count() == 7
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
