@@ -254,8 +254,8 @@ def exact_move(a: str, b: str, most: int) -> bool:
     Rows of tables of edit distances are held as bands: after i letters only
     places in b from ``i - most`` to ``i + most`` can be within ``most``
     edits. ``head[x]`` has the distances of the first x letters, ``end[y]``
-    those of the letters from y on. For each x, rows for all m go on from
-    ``head[x]`` with the letters behind m, and where these can end at y the
+    those of the letters from y on. For some x at a time, rows for all m go on
+    from ``head[x]`` with the letters behind m, and where these can end at y the
     letters from x to m follow. Memory grows with length times ``most``.
     """
     u, v = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (a, b))
@@ -291,7 +291,7 @@ def exact_move(a: str, b: str, most: int) -> bool:
     end[:, inside] = back[:, at[inside]]
     least = end.min(axis=1)
 
-    def fits(x: int, m: np.ndarray, y: np.ndarray, cur: np.ndarray) -> bool:
+    def fits(x: np.ndarray, m: np.ndarray, y: np.ndarray, cur: np.ndarray) -> bool:
         """Whether one of the rows, which have read the block from m to y, is within reach after the block from x to m."""
         k = 0
         while len(m):
@@ -300,31 +300,33 @@ def exact_move(a: str, b: str, most: int) -> bool:
                 if ((cur[done] + end[y[done]]).min(axis=1) <= most).any():
                     return True
             left = ~done & (cur.min(axis=1) + least[y] <= most)
-            m, y, cur = m[left], y[left], cur[left]
+            x, m, y, cur = x[left], m[left], y[left], cur[left]
             if len(m):
-                cur = step(cur, u[x + k], near[x + y - m + k])
+                cur = step(cur, u[x + k][:, None], near[x + y - m + k])
             k += 1
         return False
 
-    for x in range(n - 1):
-        if head[x].min() > most:
-            break
-        m = np.arange(x + 1, n)
-        cur = np.repeat(head[x][None], len(m), axis=0)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # beyond a head that is out of reach all are
+    starts = int((np.append(head.min(axis=1), big)[: n - 1] <= most).cumprod().sum())
+    together = max(1, CELLS // 4 // (n * width))
+    for first in range(0, starts, together):
+        x, m = (z.ravel() for z in np.meshgrid(np.arange(first, min(first + together, starts)), np.arange(1, n), indexing="ij"))
+        x, m = x[m > x], m[m > x]
+        cur = head[x]
+        found: list[tuple[np.ndarray, ...]] = []
         held = t = 0
         while len(m):
-            cur = step(cur, u[m + t][:, None], near[x + t][None])
+            cur = step(cur, u[m + t][:, None], near[x + t])
             t += 1
             low = cur.min(axis=1)
             reach = low + least[m + t] <= most
             if reach.any():
-                found.append((m[reach], m[reach] + t, cur[reach]))
+                found.append((x[reach], m[reach], m[reach] + t, cur[reach]))
                 held += int(reach.sum()) * width
             left = (low <= most) & (m + t < n)
-            m, cur = m[left], cur[left]
+            x, m, cur = x[left], m[left], cur[left]
             if found and (held > CELLS // 4 or not len(m)):
-                if fits(x, *(np.concatenate(z) for z in zip(*found, strict=True))):
+                if fits(*(np.concatenate(z) for z in zip(*found, strict=True))):
                     return True
                 found, held = [], 0
     return False

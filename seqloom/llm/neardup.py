@@ -247,7 +247,7 @@ def frequent_counts(rows: DataFrame, states: str) -> np.ndarray:
 
 
 def text_table(rows: DataFrame, key: str, states: str, loaded: str, shared) -> DataFrame:
-    """seq_id, loaded, s (letters without gaps, empty for null), pr (its probes), h and h2, written to the shared folder."""
+    """seq_id, loaded, s (letters without gaps, empty for null) and pr (its probes), written to the shared folder, and the hashes h and h2 of s."""
     base = rows.select(F.col(key).alias("seq_id"), F.col(loaded).alias("loaded"), F.col(states).alias("states"))
     schema = base.select("seq_id", "loaded", F.lit("").alias("s"), F.lit(b"").alias("pr")).schema
 
@@ -260,9 +260,8 @@ def text_table(rows: DataFrame, key: str, states: str, loaded: str, shared) -> D
             ids, when = (part.column(c).combine_chunks() for c in (0, 1))
             yield pa.RecordBatch.from_arrays([ids, when, text, own], names=["seq_id", "loaded", "s", "pr"])
 
-    # texts are told apart by 96 bits
-    out = base.mapInArrow(make, schema).withColumns({"h": F.xxhash64("s"), "h2": F.pmod(F.xxhash64(F.lit(7), "s"), F.lit((1 << 31) - 1)).cast("int")})
-    return stored(out)
+    # texts are told apart by 96 bits, which are made again where they are used, not stored
+    return stored(base.mapInArrow(make, schema)).withColumns({"h": F.xxhash64("s"), "h2": F.pmod(F.xxhash64(F.lit(7), "s"), F.lit((1 << 31) - 1)).cast("int")})
 
 
 #: Rows whose k-mers are worked on at a time, so that they stay in a core's cache.
@@ -503,6 +502,18 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+def _sixes(comp: np.ndarray) -> bytes:
+    """The counts of two letters to a byte, those of the same letters together, which is easier to compress."""
+    return np.stack([(comp >> np.uint64(6 * k)).astype(np.uint8) & np.uint8(63) for k in range(KINDS // 2)]).tobytes()
+
+
+def _of_sixes(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros(raw.shape[1], np.uint64)
+    for k, x in enumerate(raw):
+        out |= x.astype(np.uint64) << np.uint64(6 * k)
+    return out
+
+
 def _blob(p: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray) -> bytes:
     row = (p >> np.uint64(2) & np.uint64((1 << 20) - 1)).astype(np.int64)
     there = np.zeros(len(ids), bool)
@@ -510,7 +521,7 @@ def _blob(p: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray) ->
     local = (np.cumsum(there) - 1)[row]
     g = (p >> np.uint64(22)).astype(np.uint32)
     own = np.diff(ids[there], prepend=0)
-    data = b"".join([_planes(np.diff(g, prepend=np.uint32(0))), _planes((local << 2 | (p & np.uint64(3)).astype(np.int64)).astype(np.uint32)), _planes(own), comp[there].tobytes(), _planes(size[there].astype(np.uint32))])
+    data = b"".join([_planes(np.diff(g, prepend=np.uint32(0))), _planes((local << 2 | (p & np.uint64(3)).astype(np.int64)).astype(np.uint32)), _planes(own), _sixes(comp[there]), _planes(size[there].astype(np.uint32))])
     return np.array([len(g), len(own), len(data)], np.int64).tobytes() + pa.Codec("zstd", 1).compress(data).to_pybytes()
 
 
@@ -520,14 +531,17 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     data = pa.Codec("zstd").decompress(blob[24:], int(size))
     at = 0
 
-    def take(count: int, kind, planes: bool = True) -> np.ndarray:
+    def take(count: int, kind) -> np.ndarray:
         nonlocal at
         width = np.dtype(kind).itemsize
         raw = np.frombuffer(data, np.uint8, count * width, at)
         at += count * width
-        return np.ascontiguousarray(raw.reshape(width, count).T).view(kind).ravel() if planes else raw.view(kind)
+        return np.ascontiguousarray(raw.reshape(width, count).T).view(kind).ravel()
 
-    g, row, ids, comp, length = take(int(n), np.uint32), take(int(n), np.uint32), take(int(m), np.int64), take(int(m), np.uint64, False), take(int(m), np.uint32)
+    g, row, ids = take(int(n), np.uint32), take(int(n), np.uint32), take(int(m), np.int64)
+    comp = _of_sixes(np.frombuffer(data, np.uint8, KINDS // 2 * int(m), at).reshape(KINDS // 2, int(m)))
+    at += KINDS // 2 * int(m)
+    length = take(int(m), np.uint32)
     return np.cumsum(g, dtype=np.uint32), row, np.cumsum(ids), comp, length.astype(np.int64)
 
 
@@ -543,33 +557,40 @@ def _pairs(batches: Iterator[pa.RecordBatch], block: int = 1 << 19) -> Iterator[
     if not parts:
         return
     g, row, flag, ids, comp, length = (np.concatenate(z) for z in zip(*parts, strict=True))
+    # rows by the rank of their id: those of one id compare as equal
+    each, ids = np.unique(ids, return_inverse=True)
     comp = _spread(comp)
     order = np.argsort(g, kind="stable")
-    g, row, flag = g[order], row[order], flag[order]
+    g, row, flag = g[order], row[order].astype(np.int32), flag[order]
     start = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
     size = np.diff(np.concatenate([start, [len(g)]]))
     first, times = np.repeat(start, size), np.repeat(size, size)
     p = np.nonzero((flag > 0) & (times > 1))[0]
     first, times = first[p], times[p]
     ends = np.concatenate([[0], np.cumsum(times)])
+    # of postings: the length of their row, and the least length that it may meet; a row that only probes is met by none
+    long = length[row].astype(np.int32)
+    least = long - budget(long)
+    met = np.where(flag < ONLY_PROBES, long, -1)
     lo = 0
     while lo < len(p):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + block, "right")) - 1)
         t = times[lo:hi]
-        left = np.repeat(p[lo:hi], t)
-        right = np.repeat(first[lo:hi] - (ends[lo:hi] - ends[lo]), t) + np.arange(int(t.sum()))
+        left = np.repeat(p[lo:hi].astype(np.int32), t)
+        right = np.repeat((first[lo:hi] - (ends[lo:hi] - ends[lo])).astype(np.int32), t) + np.arange(int(t.sum()), dtype=np.int32)
         lo = hi
-        fl, fr = flag[left], flag[right]
-        left, right = row[left], row[right]
-        a, b = ids[left], ids[right]
-        la, lb = length[left], length[right]
         # the longer row probes; two probes of a length meet twice: once is enough
-        ok = (a != b) & (fr < ONLY_PROBES) & (la >= lb) & (la - lb <= budget(la)) & ((la > lb) | (fr == FOUND) | (a < b))
+        z = met[right]
+        ok = np.flatnonzero((z <= long[left]) & (z >= least[left]) & (z >= 0))
+        left, right = left[ok], right[ok]
+        la, lb, fr, left, right = long[left], long[right], flag[right], row[left], row[right]
+        a, b = ids[left], ids[right]
+        ok = np.flatnonzero((a != b) & ((la > lb) | (fr == FOUND) | (a < b)))
         left, right, a, b, la, lb = (z[ok] for z in (left, right, a, b, la, lb))
         # an edit moves two counts by one at most, and only one count if it changes the length
         ok = apart(comp[:, left], comp[:, right]) <= 2 * budget(la) - (la - lb)
-        both = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        a, b = np.divmod(np.unique(np.minimum(a[ok], b[ok]) * len(each) + np.maximum(a[ok], b[ok])), len(each))
+        yield pa.RecordBatch.from_arrays([pa.array(each[a]), pa.array(each[b])], names=["a", "b"])
 
 
 #: Bits of the table of rows that are in any candidate.

@@ -243,3 +243,42 @@ def test_long_texts(spark):
     t = s[:100] + "A" + s[101:]
     rows = [(1, states(s), None, None, None), (2, states(t), None, None, None), (3, states(s), None, None, None)] + [(10 + k, states(text(rng, 30)), None, None, None) for k in range(5)]
     assert pairs_of(spark, rows) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_exact_move_takes_many_beginnings_at_a_time(monkeypatch):
+    import sys
+
+    a = "VNPNFASFIYHDMADDISPMMCELRRFMRNWMFAVNGKMMYFNIPSENGCDVHQKWGDCNIQELEDQ"
+    b = "VNPNKFASFIYHDMADDISFPMMCELRRFGMRNWMFAVNGKMMYFNIPSGDCNIQEENGCDVHQKWLEDQ"
+    steps = []
+    sys.setprofile(lambda frame, event, _: event == "call" and frame.f_code.co_name == "step" and steps.append(1))
+    try:
+        assert E.exact_move(a, b, 7)
+    finally:
+        sys.setprofile(None)
+    # one beginning at a time takes 2,810
+    assert len(steps) < 500
+    # and with any number at a time the answer is the same
+    for cells in (1, 5_000, 20_000):
+        monkeypatch.setattr(E, "CELLS", cells)
+        assert E.exact_move(a, b, 3) and not E.exact_move(a[::-1], b, 7)
+
+
+def test_blobs_of_postings_come_back_whole_and_small():
+    rng = np.random.default_rng(2)
+    x, size = E.encode([text(rng, n) for n in rng.integers(60, 120, 20_000)])
+    ids, comp = np.sort(rng.choice(10**7, len(size), replace=False)), N.composition(x, size)
+    row = rng.permutation(len(size)).astype(np.uint64)
+    p = np.sort(rng.integers(0, 1 << 32, len(row)).astype(np.uint64) << np.uint64(22) | row << np.uint64(2) | np.uint64(1))
+    blob = N._blob(p, ids, comp, size)
+    g, local, i, c, n = N._unblob(blob)
+    assert (i == ids).all() and (c == comp).all() and (n == size).all()
+    assert (g == (p >> np.uint64(22)).astype(np.uint32)).all() and (local >> 2 == (p >> np.uint64(2) & np.uint64((1 << 20) - 1)).astype(np.uint32)).all() and (local & 3 == 1).all()
+    # with eight bytes a row for the letters' counts it has 306,097
+    assert len(blob) < 298_000
+
+
+def test_stored_texts_hold_no_hashes(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], 1.0)], "seq_id long, states array<int>, loaded_at double")
+    t = N.text_table(df, "seq_id", "states", "loaded_at", spark.sparkContext.broadcast(np.ones(N.SLOTS, np.float32)))
+    assert spark.read.parquet(*t.inputFiles()).columns == ["seq_id", "loaded", "s", "pr"] and {"h", "h2"} <= set(t.columns)
