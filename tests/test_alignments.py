@@ -339,3 +339,29 @@ def test_rows_as_bytes_are_the_rows(spark, tmp_path):
     want, got = Q_.rows(spark, str(tmp_path)), Q_.rows_as_bytes(spark, str(tmp_path))
     assert got.schema == want.schema and want.count() == 7
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_of_blocks_are_spread_over_partitions(spark, rows, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 10)
+    reps = D.distinct_rows(rows, "family", "seq_id", "states")[0]
+    none = lambda one, two: {"_k": one[0][:0], "value": one[0][:0]}
+    # families of 38, 1 and 9 distinct rows have 4, 1 and 1 blocks, so 12 pairs of blocks
+    assert reps.groupBy("family").count().count() == 3
+    assert D.compare(reps, None, none, "family", "_k long, value long").rdd.getNumPartitions() == 24
+    assert D._partitions(reps, reps, "family") == 2 * (16 + 1 + 1)
+
+
+def test_first_columns_are_not_asked_where_they_leave_too_much(monkeypatch):
+    rng = np.random.default_rng(4)
+    # all rows are about as near to each other, so that the first columns rule hardly any pair out
+    x = np.where(rng.random((600, 96)) < 0.4, rng.integers(0, Q, (600, 96)), rng.integers(1, Q, 96)[None]).astype(np.uint8)
+    calls, call = [], D._Counter.__call__
+    monkeypatch.setattr(D._Counter, "__call__", lambda self, i, j, both=False: calls.append(both) or call(self, i, j, both))
+    least = np.full(len(x), np.inf)
+    D._nearest(x, None, least, least)
+    tiles = sum(1 for _ in D._tiles(len(x), len(x), True))
+    assert len(calls) - sum(calls) < 1.5 * tiles
+    norm, same = ((x[:, None] > 0) | (x[None] > 0)).sum(axis=2), ((x[:, None] == x[None]) & (x[:, None] > 0)).sum(axis=2)
+    d = 1 - same / norm
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(least, d.min(axis=1))
