@@ -365,3 +365,11 @@ def test_first_columns_are_not_asked_where_they_leave_too_much(monkeypatch):
     d = 1 - same / norm
     np.fill_diagonal(d, np.inf)
     assert np.allclose(least, d.min(axis=1))
+
+
+@pytest.mark.parametrize("name", ["j1_diversity_histogram", "j3_nearest_other"])
+def test_distance_queries_send_states_as_bytes(spark, name, monkeypatch):
+    sent = []
+    as_bytes = Q_.rows_as_bytes
+    monkeypatch.setattr(Q_, "rows_as_bytes", lambda *a: sent.append(name) or as_bytes(*a))
+    assert Q_.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and sent == [name]
