@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -30,16 +32,25 @@ _PREAMBLE = (
     "documentclass|usepackage|title|author|date|maketitle|thanks|input|include|newcommand|renewcommand|providecommand|def|DeclareMathOperator|"
     "bibliography|bibliographystyle|label|section|subsection|subsubsection|chapter|paragraph|appendix|tableofcontents|begin|end|centering|toprule|midrule|bottomrule|hline"
 )
-_MATH = r"\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]|\\\([\s\S]*?\\\)|(?<!\\)\$[^$]*\$"
+#: An environment up to its end; what a repeat took it never gives back.
+_ENV = rf"\\begin\{{({_ENVS})\*?\}}(?:[^\\]++|\\(?!end\{{\1\*?\}}))*+(?:\\end\{{\1\*?\}})?+"
+# formulas and bullets begin with a class of signs, which a search skips to; what the sign was is asked behind it
+_MATH = r"[$\\](?:(?<=\$)\$[\s\S]*?\$\$|(?<=\\)\[[\s\S]*?\\\]|(?<=\\)\([\s\S]*?\\\)|(?<=\$)(?<!\\\$)[^$]*+\$)"
 #: Signs that stand at the head of an entry, set as formulas.
-_BULLET = r"(?:\$|\\\()\s*\\(?:bullet|cdot|circ|star|ast|diamond|triangleright|rightarrow|blacksquare|square)\s*(?:\$|\\\))"
+_BULLET = r"[$\\](?:(?<=\$)|(?<=\\)\()\s*+\\(?:bullet|cdot|circ|star|ast|diamond|triangleright|rightarrow|blacksquare|square)\s*+(?:\$|\\\))"
 #: A line of cells; what a repeat took it never gives back, which keeps the time linear in the line.
-_CELLS = r"(?m)^(?:[^\n&]*&[^\n]*\\\\[^\n]*|[^\n\t]*\t[^\n]*|[^\n|]*\|[^\n|]*\|[^\n]*|[^\n,]*+(?:,[-+\d. ]*+){2,}+\r?|[^\n;]*+(?:;[-+\d. ]*+){2,}+\r?|[^\n]*?\S {3,}\S[^\n]*)$"
-_ENTRY = r"(?m)^[ ]*(?:(?:[-–—]{1,3}|[*+•·]|\(?\d{1,4}[ ]?[.):\-]|\(?[a-zA-Z][.)])[ ](?:\S++[ ]++){0,8}\S*+[ ]*|\\(?:item|entry|glsentry)[^\n]{0,90}|[^\n]*(?:\\dotfill|\.{4,}|\\\\)[^\n]{0,12})\r?$"
+_COMMAS = r"[^\n,]*+(?:,[-+\d. ]*+){2,}+\r?"
+_CELLS = rf"(?m)^(?:[^\n&]*&[^\n]*\\\\[^\n]*|[^\n\t]*\t[^\n]*|[^\n|]*\|[^\n|]*\|[^\n]*|{_COMMAS}|[^\n;]*+(?:;[-+\d. ]*+){{2,}}+\r?|[^\n]*?\S {{3,}}\S[^\n]*)$"
+#: Without these a line of cells can only be one of commas.
+_CELL_SIGNS = ("&", "\t", "|", ";", "   ")
+_ITEM = r"(?:[-–—]{1,3}|[*+•·]|\(?\d{1,4}[ ]?[.):\-]|\(?[a-zA-Z][.)])[ ](?:\S++[ ]++){0,8}\S*+[ ]*|\\(?:item|entry|glsentry)[^\n]{0,90}"
+_ENTRY = rf"(?m)^[ ]*(?:{_ITEM}|[^\n]*(?:\\dotfill|\.{{4,}}|\\\\)[^\n]{{0,12}})\r?$"
+#: Without these an entry can only be one with a mark at its head.
+_ENTRY_SIGNS = (r"\dotfill", "....", r"\\")
 #: What no sentence holds; a sentence begins behind it, so that each run of other signs is looked through once. Decimals are taken out before, so that a point ends a sentence.
 _STOP = r".!?\\&|=<>_^*#+@"
 _SENTENCE = rf"(?:^|(?<=[{_STOP}]))[^{_STOP}]{{25,}}+[.!?]"
-_DECIMAL = r"(?<=\d)[.,](?=\d)"
+_DECIMAL = r"[.,](?<=\d[.,])(?=\d)"
 _COMMAND = r"\\[A-Za-z@]+\*?(?:\[[^\]\n]*\])?"
 
 STATS = (
@@ -65,6 +76,21 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _has(c: str, signs: Sequence[str]) -> Column:
+    return reduce(or_, (F.contains(F.col(c), F.lit(s)) for s in signs))
+
+
+def _replaced(c: str, pattern: str, to: str, signs: Sequence[str], other: str | None = None) -> Column:
+    """``c`` with what the pattern finds replaced. A text without any of the signs is searched for ``other`` only, which is all that the pattern can find there (None: nothing)."""
+    rest = F.col(c) if other is None else F.regexp_replace(c, other, to)
+    return F.when(_has(c, signs), F.regexp_replace(c, pattern, to)).otherwise(rest)
+
+
+def _without(c: Column | str, signs: str) -> Column:
+    """``c`` without these signs; on bytes, as ``translate`` looks every letter up."""
+    return reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("")), signs, F.col(c) if isinstance(c, str) else c)
+
+
 def common_words(documents: DataFrame, text: str = "text", n: int = COMMON_WORDS) -> list[str]:
     """The ``n`` words that most documents have, commands left out; counted over all documents, ties by the word."""
     words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"\\[A-Za-z@]+", " ")), r"[^\p{L}]+"))
@@ -78,33 +104,37 @@ def statistics(documents: DataFrame, common_list: Sequence[str], doc_id: str = "
     A null or empty text has statistics of 0. Rows stay as they are: a
     document that comes twice has two rows. Other columns are not used.
     """
-    d = documents.select(F.col(doc_id).alias("doc_id"), F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n").alias("t"))
+    d = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    d = d.select("doc_id", _replaced("t", r"\r\n?", "\n", "\r").alias("t"))
     start = F.instr("t", r"\begin{document}")
     d = d.select("doc_id", F.substring_index(F.when(start > 0, F.expr("substring(t, instr(t, '\\\\begin{document}') + 16)")).otherwise(F.col("t")), r"\end{document}", 1).alias("t"))
-    t = F.regexp_replace("t", r"(?m)(?<!\\)%[^\n]*$", "")
-    t = F.regexp_replace(t, rf"\\begin\{{({_ENVS})\*?\}}[\s\S]*?(?:\\end\{{\1\*?\}}|\z)", "\n\n")
+    d = d.select("doc_id", _replaced("t", r"%(?<!\\%)[^\n]*+", "", "%").alias("t"))
+    t = F.regexp_replace("t", _ENV, "\n\n")
     t = F.regexp_replace(F.regexp_replace(t, _BULLET, "•"), _MATH, "x")
     t = F.regexp_replace(t, rf"(?m)^[ \t]*\\(?:{_PREAMBLE})\b[^\n]*$", "")
     d = d.select("doc_id", t.alias("body"))
     # cells and entries are taken out first: what is left may hold sentences
-    d = d.select("doc_id", "body", F.regexp_replace("body", _CELLS, "").alias("uncelled"))
-    d = d.select("doc_id", "body", "uncelled", F.regexp_replace("uncelled", _ENTRY, "").alias("free"))
-    d = d.select("doc_id", "body", "uncelled", "free", F.regexp_replace(F.regexp_replace(F.translate(F.regexp_replace("free", _COMMAND, ""), "{}~", "   "), _DECIMAL, ""), r"\s+", " ").alias("plain"))
-    size = lambda c: F.length(F.translate(c, " \n\t", ""))
+    d = d.select("doc_id", "body", _replaced("body", _CELLS, "", _CELL_SIGNS, rf"(?m)^{_COMMAS}$").alias("uncelled"))
+    d = d.select("doc_id", "body", "uncelled", _replaced("uncelled", _ENTRY, "", _ENTRY_SIGNS, rf"(?m)^[ ]*(?:{_ITEM})\r?$").alias("free"))
+    plain = reduce(lambda x, s: F.replace(x, F.lit(s), F.lit(" ")), "{}~", F.regexp_replace("free", _COMMAND, ""))
+    d = d.select("doc_id", "body", "uncelled", "free", F.regexp_replace(F.regexp_replace(plain, _DECIMAL, ""), r"\s+", " ").alias("plain"))
+    size = lambda c: F.length(_without(c, " \n\t"))
+    d = d.withColumn("n", size("body"))
+    d = d.withColumn("n1", F.when(F.col("uncelled") == F.col("body"), F.col("n")).otherwise(size("uncelled")))
+    d = d.withColumn("n2", F.when(F.col("free") == F.col("uncelled"), F.col("n1")).otherwise(size("free")))
     d = d.select(
         "doc_id",
         "body",
         F.split(F.trim(F.regexp_replace("body", r"\s+", " ")), " ").alias("w"),
-        size("body").alias("n"),
-        size("uncelled").alias("n1"),
-        size("free").alias("n2"),
-        size("plain").alias("n3"),
-        size(F.regexp_replace("plain", _SENTENCE, "")).alias("n4"),
+        "n",
+        "n1",
+        "n2",
+        F.length(_without("plain", " ")).alias("n3"),
+        F.length(_without(F.regexp_replace("plain", _SENTENCE, ""), " ")).alias("n4"),
         F.split(F.lower("plain"), " ").alias("pw"),
     )
-    common = F.array(*[F.lit(c) for c in common_list]).cast("array<string>")
     words = F.when(F.col("n") > 0, F.size("w")).otherwise(0)
-    lines = F.regexp_count("body", F.lit(r"(?m)^[^\n]*\S[^\n]*$"))
+    lines = F.regexp_count("body", F.lit(r"(?md)^[^\n\S]*+\S"))
     d = d.withColumns({"words": words, "lines": lines})
     n = F.col("n")
     return d.select(
@@ -114,9 +144,9 @@ def statistics(documents: DataFrame, common_list: Sequence[str], doc_id: str = "
         F.col("lines").alias("n_lines"),
         _ratio(n, F.col("words")).alias("mean_word_length"),
         _ratio(F.length(F.regexp_replace("body", r"[\p{L}\p{M}\p{N}\s]+", "")), n).alias("symbol_ratio"),
-        _ratio(n - size(F.translate("body", "0123456789", "")), n).alias("digit_ratio"),
+        _ratio(n - size(_without("body", "0123456789")), n).alias("digit_ratio"),
         _ratio(F.regexp_count("body", F.lit(r"(?m)[.!?][\"')}]{0,3}[ \t]*$")), F.col("lines")).alias("punctuated_lines"),
-        _ratio(F.size(F.filter("pw", lambda x: F.array_contains(common, x))), F.size("pw")).alias("common_words"),
+        _ratio(F.size(F.filter("pw", lambda x: x.isin(*common_list))), F.size("pw")).alias("common_words"),
         _ratio(F.col("n3") - F.col("n4"), n).alias("sentence_share"),
         _ratio(n - F.col("n1"), n).alias("cell_share"),
         _ratio(F.col("n1") - F.col("n2"), n).alias("entry_share"),

@@ -1,6 +1,10 @@
+import re
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import quality as Q
 
@@ -85,3 +89,36 @@ def test_wide_rows_and_long_sentences_count_whole(spark):
 def test_common_words_are_those_of_most_documents(spark):
     d = spark.createDataFrame([(1, "alpha beta \\gamma beta"), (2, "Alpha delta"), (3, None), (4, "")], "doc_id long, text string")
     assert Q.common_words(d, n=2) == ["alpha", "beta"] and Q.common_words(d.limit(0)) == []
+
+
+ODD = [
+    "a,1,2\u2028b,3,4\n x", "....\u2028abc def ghi jkl\n", "$$a$b$$c$ \\$5 $x$ \\(y\\) \\[z\\]", "\\begin{align*}a\\\\b\\end{align}c\\begin{math}x\\end{mat}", "%x\n\\%y%z\r\nq\r%",
+    "$\\bullet$ a\n\\(\\cdot\\) b\n$(\\star$\n$\\bullet\\) c", "1.5,2.5 3.x .4 {~}", "A\u0085B   C\u0085 \n\u3000\n \u2028\n", "x & y \\\\\n|a|b|\n1;2;3\n", "- a b c\n\\item foo\nab\\dotfill 3\n", "\\begin{comment}" + "\\a" * 100_000, "$$" * 2001, "", None,
+]
+
+
+def test_texts_that_lack_the_signs_are_not_searched_in_full(spark):
+    d = spark.createDataFrame(list(enumerate([*ODD, *TEXTS.values()])), "k long, t string")
+    for pattern, signs, other in ((Q._CELLS, Q._CELL_SIGNS, rf"(?m)^{Q._COMMAS}$"), (Q._ENTRY, Q._ENTRY_SIGNS, rf"(?m)^[ ]*(?:{Q._ITEM})\r?$"), (r"\r\n?", "\r", None)):
+        rows = d.select(F.regexp_replace("t", pattern, "").alias("all"), Q._replaced("t", pattern, "", signs, other).alias("some")).collect()
+        assert [r["some"] for r in rows] == [r["all"] for r in rows]
+    rows = d.select(F.translate("t", " \n\t", "").alias("all"), Q._without("t", " \n\t").alias("some")).collect()
+    assert [r["some"] for r in rows] == [r["all"] for r in rows]
+    # where the full search takes time, it is left out
+    prose = spark.range(4_000).select(F.lit(PROSE * 5).alias("t")).repartition(8).localCheckpoint()
+
+    def seconds(column):
+        began = time.perf_counter()
+        prose.select(column).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    full, part = (min(seconds(c) for _ in range(3)) for c in (F.regexp_replace("t", Q._CELLS, ""), Q._replaced("t", Q._CELLS, "", Q._CELL_SIGNS, rf"(?m)^{Q._COMMAS}$")))
+    assert part < 0.8 * full
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if t is not None])
+def test_formulas_are_found_as_before_the_search_began_with_a_class(text):
+    plain = r"\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]|\\\([\s\S]*?\\\)|(?<!\\)\$[^$]*\$"
+    bullet = r"(?:\$|\\\()\s*\\(?:bullet|cdot|circ|star|ast|diamond|triangleright|rightarrow|blacksquare|square)\s*(?:\$|\\\))"
+    env = rf"\\begin\{{({Q._ENVS})\*?\}}[\s\S]*?(?:\\end\{{\1\*?\}}|\Z)"
+    assert re.sub(Q._MATH, "x", text) == re.sub(plain, "x", text) and re.sub(Q._BULLET, "•", text) == re.sub(bullet, "•", text) and re.sub(Q._ENV, "\n\n", text) == re.sub(env, "\n\n", text)
