@@ -80,7 +80,7 @@ def _band(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, e: int)
     a = np.ascontiguousarray(a)
     ramp = np.arange(width, dtype=kind)[:, None]
     cur = np.broadcast_to(np.where(ramp >= e, ramp - e, big), (width, n)).astype(kind)
-    unlike, t = np.empty((width, n), bool), np.empty((width, n), kind)
+    unlike, t, more = np.empty((width, n), bool), np.empty((width, n), kind), np.empty((width, n), kind)
     done = lb - la
     order = np.argsort(la, kind="stable")
     ends = np.searchsorted(la[order], np.arange(a.shape[0] + 2))
@@ -94,8 +94,9 @@ def _band(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, e: int)
                 t[: e - i] = big
                 t[e - i] = i
             step = 1
-            while step < width:  # insertions, a step of 1, 2, 4, ... at a time
-                np.minimum(t[step:], t[:-step] + kind(step), out=t[step:])
+            while step <= e:  # insertions, a step of 1, 2, 4, ... at a time; more than e in a row are too many
+                np.add(t[:-step], kind(step), out=more[step:])
+                np.minimum(t[step:], more[step:], out=t[step:])
                 step *= 2
             np.minimum(t, kind(big), out=cur)
         end = order[ends[i] : ends[i + 1]]
@@ -157,22 +158,26 @@ def _moves(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, most: n
     other = np.full((n, 3 * w), 2, np.uint16)
     other[:, w : w + b.shape[1] - 1] = np.where(np.arange(b.shape[1] - 1)[None] < lb[:, None] - 1, two(b), 2)
     votes = np.zeros((2 * w - 1, n), np.int32)  # diagonal w - 1 is the main one
-    for s in range(0, n, NEAR):  # rows that stay in a core's cache
-        x, y = mine[s : s + NEAR], other[s : s + NEAR]
+    wide, count = b.shape[1], np.uint8 if w <= 256 else np.int32
+    for s in range(0, n, NEAR):  # rows that stay in a core's cache, as columns
+        x, y = np.ascontiguousarray(mine[s : s + NEAR].T), np.ascontiguousarray(other[s : s + NEAR, w : w + wide].T)
         same = np.empty(x.shape, bool)
         for k in range(1, 2 * w - 2):
-            np.equal(x, y[:, k + 1 : k + w], out=same)
-            votes[k, s : s + NEAR] = np.count_nonzero(same, axis=1)
+            first = max(0, w - 1 - k)
+            last = max(first, min(w - 1, wide + w - 1 - k))
+            part = np.equal(x[first:last], y[first + k + 1 - w : last + k + 1 - w], out=same[: last - first])
+            votes[k, s : s + NEAR] = np.add.reduce(part.view(np.uint8), axis=0, dtype=count)
     zero, rows = w - 1, np.arange(n)
     up = np.argsort(-votes[zero + 1 :], axis=0, kind="stable")[:diagonals] + 1
     down = np.argsort(-votes[:zero][::-1], axis=0, kind="stable")[:diagonals] + 1
-    at = np.arange(w - 1)[None]
+    around = np.arange(w - 2, 2 * w + 1)[None]
 
     def agreeing(shift: np.ndarray) -> np.ndarray:
         """Running count of the places that agree on a diagonal or, as an indel within a block shifts it, on its neighbours."""
         near = np.zeros((n, w), bool)
-        for s in (-2, -1, 0, 1, 2):
-            pair = mine == np.take_along_axis(other, np.clip(at + w + shift[:, None] + s, 0, 3 * w - 1), axis=1)
+        near_by = np.take_along_axis(other, np.clip(around + shift[:, None], 0, 3 * w - 1), axis=1)
+        for s in range(5):
+            pair = mine == near_by[:, s : s + w - 1]
             near[:, :-1] |= pair
             near[:, 1:] |= pair
         out = np.zeros((n, w + 1), np.int32)
@@ -362,18 +367,19 @@ def _verify(texts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     ok = banded(each[i], la, each[j], lb, most) <= most
     step = max(1, CELLS // (8 * max(1, each.shape[1])))
 
-    def search(open_: np.ndarray, diagonals: int, tries: int) -> np.ndarray:
-        for one, two, lone, ltwo in ((i, j, la, lb), (j, i, lb, la)):
+    def search(open_: np.ndarray, diagonals: int, tries: int, both: bool) -> np.ndarray:
+        for one, two, lone, ltwo in ((i, j, la, lb), (j, i, lb, la))[: 1 + both]:
             for s in range(0, len(open_), step):
                 k = open_[s : s + step]
                 ok[k] = _moves(each[one[k]], lone[k], each[two[k]], ltwo[k], most[k], diagonals, tries)
             open_ = open_[~ok[open_]]
         return open_
 
-    rest = search(np.nonzero(~ok)[0], 1, 2)
+    # the other way round finds few more: that is left to the wider search
+    rest = search(np.nonzero(~ok)[0], 1, 2, False)
     pairs = [(k, texts[mine[i[k]]], texts[mine[j[k]]], int(most[k])) for k in rest]
     pairs = [(k, x, y, e) for k, x, y, e in pairs if lacking(x, y, e + CUTS) <= e + CUTS and lacking(y, x, e + CUTS) <= e + CUTS]
-    rest = set(search(np.array([k for k, *_ in pairs], np.int64), 7, 12).tolist())
+    rest = set(search(np.array([k for k, *_ in pairs], np.int64), 7, 12, True).tolist())
     for k, x, y, e in pairs:
         if k in rest:
             ok[k] = exact_move(x, y, e)

@@ -79,17 +79,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grams(x: np.ndarray, k: int) -> np.ndarray:
+def _grams(x: np.ndarray, k: int, kind=np.int64) -> np.ndarray:
     """All k-mers as numbers, by doubling the length."""
     if x.shape[1] < k:
-        return np.zeros((len(x), 0), np.int64)
-    power, out, have = (x & 31).astype(np.int64), None, 0
+        return np.zeros((len(x), 0), kind)
+    power, out, have = (x & 31).astype(kind), None, 0
     n = 1
     while n <= k:
         if k & n:
             out = power[:, : x.shape[1] - n + 1] if out is None else (power[:, : x.shape[1] - n - have + 1] << 5 * have) | out[:, n : n + x.shape[1] - n - have + 1]
             have += n
-        power = (power[:, : power.shape[1] - n] << 5 * n) | power[:, n:]
+        if 2 * n <= k:
+            power = (power[:, : power.shape[1] - n] << 5 * n) | power[:, n:]
         n *= 2
     return out
 
@@ -230,13 +231,12 @@ def frequent_counts(rows: DataFrame, states: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x, size in _together(batches, lambda b: _residues(b.column(0))):
-            g = _grams(x, K)
-            g = g[np.arange(g.shape[1])[None] <= (size - K)[:, None]]
-            slot = _slot(g)
-            g = g[np.bincount(slot, minlength=SLOTS)[slot] >= FREQUENT]
-            gram, n = np.unique(g, return_counts=True)
+            g = _grams(x, K, np.uint32)
+            g = np.sort(g[np.arange(g.shape[1])[None] <= (size - K)[:, None]])
+            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            n = np.diff(start, append=len(g))
             often = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(gram[often]), pa.array(n[often])], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[start[often]].astype(np.int64)), pa.array(n[often])], names=["gram", "n"])
 
     found = rows.select(states).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toPandas()
@@ -265,7 +265,7 @@ def text_table(rows: DataFrame, key: str, states: str, loaded: str, shared) -> D
 
 
 #: Rows whose k-mers are worked on at a time, so that they stay in a core's cache.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _keys(x: np.ndarray, size: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -279,7 +279,7 @@ def _keys(x: np.ndarray, size: np.ndarray, table: np.ndarray) -> Iterator[tuple[
         rows = rows[: max(1, CELLS // int(size[rows[-1]] + 1))]
         start += len(rows)
         n, own = size[rows], bits[rows]
-        y = x[rows, : int(n[-1])]
+        y = (x[rows, : int(n[-1])] & 31).astype(np.int64)
         g, have = None, 0
         for k in range(1, int(np.bitwise_or.reduce(own)).bit_length()):
             if not (own >> k & 1).any() or k > y.shape[1]:
@@ -288,36 +288,53 @@ def _keys(x: np.ndarray, size: np.ndarray, table: np.ndarray) -> Iterator[tuple[
                 g = _grams(y, k)
             else:
                 for j in range(have, k):
-                    g = g[:, :-1] << 5 | (y[:, j:] & 31)
+                    g = g[:, :-1] << 5
+                    g |= y[:, j:]
             have = k
-            z = (g << 4 | k).view(np.uint64)
-            hit = _there(table, _bit(z, len(table) * 8, 0).ravel()).reshape(g.shape)
+            # the place of the key, of which only those that are there are made
+            hit = _there(table, _bit(g, len(table) * 8, 0, k))
             hit &= np.arange(g.shape[1])[None] <= np.where(own >> k & 1, n - k, -1)[:, None]
-            row, pos = np.nonzero(hit)
-            yield k, rows[row], pos, z[row, pos].view(np.int64)
+            row, pos = np.divmod(np.flatnonzero(hit), g.shape[1])
+            yield k, rows[row], pos, _key(g[row, pos], k)
 
 
 def _own(x: np.ndarray, size: np.ndarray, pr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position, length and key of the stretches that the rows probe."""
     need, k = needed(size), stretch_length(size)
-    code = np.frombuffer(b"".join(pr.to_pylist()), "<u2").astype(np.int64)
+    code = _flat(pr.combine_chunks() if isinstance(pr, pa.ChunkedArray) else pr)[0].view("<u2").astype(np.int64)
     row = np.repeat(np.arange(len(size)), need)
     i = np.arange(len(row)) - np.repeat(np.cumsum(need) - need, need)
-    pos, length = k[row] * i + code // 2, k[row] + code % 2
-    key = np.zeros(len(row), np.int64)
-    for j in range(int(length.max(initial=0))):
-        on = length > j
-        key = np.where(on, key * 32 + (x[row, np.minimum(pos + j, x.shape[1] - 1)] & 31), key)
-    return row, pos, length, key * 16 + length
-
-
-def _bit(key: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    """The place of a key in a table of so many bits, a power of two."""
-    return (_mix(key.view(np.uint64) + np.uint64(seed)) & np.uint64(bits - 1)).view(np.int64)
+    pos, length = k[row] * i + (code >> 1), k[row] + (code & 1)
+    letters, at, key = (x & 31).ravel(), row * x.shape[1] + pos, np.zeros(len(row), np.int64)
+    least = int(length.min(initial=1 << 20)) if len(row) else 0
+    for j in range(least):
+        key <<= 5
+        key |= letters[at + j]
+    for j in range(least, int(length.max(initial=0))):
+        on = np.flatnonzero(length > j)
+        key[on] = key[on] << 5 | letters[at[on] + j]
+    return row, pos, length, _key(key, length)
+
+
+#: Odd factors of the tables of bits, by seed.
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0, 0xFF51AFD7ED558CCD)
+_MASKS = (128 >> np.arange(8)).astype(np.uint8)
+
+
+def _bit(key: np.ndarray, bits: int, seed: int, length: int | None = None) -> np.ndarray:
+    """The place of a key in a table of so many bits, a power of two: the highest bits of a product. With ``length``, of the key of a k-mer of this length."""
+    factor = _FACTORS[seed]
+    if length is None:
+        out = key.view(np.uint64) * np.uint64(factor)
+    else:  # that of 16 times the k-mer and its length
+        out = key.view(np.uint64) * np.uint64(16 * factor % (1 << 64))
+        out += np.uint64(length * factor % (1 << 64))
+    out >>= np.uint64(65 - bits.bit_length())
+    return out.view(np.int64)
 
 
 def _there(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+    return (table[bit >> 3] & _MASKS[bit & 7]) != 0
 
 
 def _zipped(table: np.ndarray) -> bytes:
@@ -366,7 +383,7 @@ def _packed(context, table: np.ndarray):
 
 
 def _set(table: np.ndarray, bit: np.ndarray) -> None:
-    np.bitwise_or.at(table, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+    np.bitwise_or.at(table, bit >> 3, _MASKS[bit & 7])
 
 
 def probed(rows: DataFrame) -> np.ndarray:
@@ -473,13 +490,13 @@ def postings(rows: DataFrame, counts, buckets: int) -> DataFrame:
             rank[order] = np.arange(len(order))
             comp = composition(x, size)
             row, pos, length, own = _own(x, size, part.column("pr"))
-            mine = np.sort((row << 24 | pos & 0xFFFFFF) << 4 | length)
+            mine = np.zeros(x.shape, np.uint8)
+            mine[row, pos] = length
             packed, sixes = [], _grams(x, K) if any_hot else None
             for k, row, pos, key in _keys(x, size, one):
                 use = np.nonzero(_there(two, _bit(key, TWICE, 1)))[0]
                 row, pos, key = row[use], pos[use], key[use]
-                place = (row << 24 | pos & 0xFFFFFF) << 4 | k
-                probe = mine[np.minimum(np.searchsorted(mine, place), len(mine) - 1)] == place
+                probe = mine[row, pos] == k
                 at, salt, flag = np.arange(len(key)), np.zeros(len(key), np.int64), probe.astype(np.int64)
                 if any_hot and k >= K:
                     # a stretch stands in as many rows as the rarest k-mer in it, at most

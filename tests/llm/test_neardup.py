@@ -282,3 +282,34 @@ def test_stored_texts_hold_no_hashes(spark):
     df = spark.createDataFrame([(1, [1, 2, 3], 1.0)], "seq_id long, states array<int>, loaded_at double")
     t = N.text_table(df, "seq_id", "states", "loaded_at", spark.sparkContext.broadcast(np.ones(N.SLOTS, np.float32)))
     assert spark.read.parquet(*t.inputFiles()).columns == ["seq_id", "loaded", "s", "pr"] and {"h", "h2"} <= set(t.columns)
+
+
+def test_open_pairs_are_searched_one_way_round_first(monkeypatch):
+    rng = np.random.default_rng(41)
+    a = [text(rng, 60) for _ in range(30)]
+    # seven replacements in a block: more than 60 // 10
+    b = [s[:20] + "".join("A" if c != "A" else "C" for c in s[20:27]) + s[27:] for s in a]
+    searched = []
+    moves = E._moves
+    monkeypatch.setattr(E, "_moves", lambda *args: searched.append((len(args[1]), args[-2])) or moves(*args))
+    E.verify(pd.Series(a), pd.Series(b))
+    far = sum(edit_distance(x, y) > 6 for x, y in zip(a, b, strict=True))
+    assert far > 20 and sum(n for n, diagonals in searched if diagonals == 1) == far
+
+
+def test_place_of_a_key_from_its_kmer():
+    rng = np.random.default_rng(43)
+    for k in (1, 6, 9, 12):
+        gram = rng.integers(0, 1 << 5 * k, (7, 30))
+        assert (N._bit(gram, N.PROBED, 0, k) == N._bit(N._key(gram, k), N.PROBED, 0)).all()
+    bit = N._bit(rng.integers(0, 1 << 62, 100_000), N.TWICE, 1)
+    assert bit.min() >= 0 and bit.max() < N.TWICE and len(np.unique(bit)) > 99_900
+
+
+@pytest.mark.parametrize(("n", "m"), [(300, 280), (280, 300), (60, 60)])
+def test_moves_in_texts_of_unlike_widths(n, m):
+    rng = np.random.default_rng(47)
+    s = text(rng, max(n, m))
+    t = s[: n // 5] + s[n // 2 : n // 2 + n // 5] + s[n // 5 : n // 2] + s[n // 2 + n // 5 :]
+    (a, la), (b, lb) = E.encode([s[:n]]), E.encode([t[:m]])
+    assert E._moves(a, la, b, lb, E.budget(np.maximum(la, lb)), 1, 2).all()
